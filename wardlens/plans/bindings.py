@@ -81,14 +81,12 @@ def raw_stays(spark: SparkSession, sf_dir: str, classes=None) -> DataFrame:
 
 # Total order that picks the surviving copy of a repeated id: stop (NULL last),
 # then every other bound column, so the choice is deterministic in any engine.
-DEDUP_ORDER = [F.col("stop_ts").asc_nulls_last(), F.col("organization").asc_nulls_last(),
-               F.col("cost").asc_nulls_last(), F.col("org_id").asc_nulls_last(),
-               F.col("covered").asc_nulls_last(), F.col("cause").asc_nulls_last()]
+DEDUP_ORDER = ("stop_ts", "organization", "cost", "org_id", "covered", "cause")
 
 
 def dedupe_stays(df: DataFrame, keys=("okey", "lnum")) -> DataFrame:
     """One row per id where copies may differ (``row_number`` over a total order)."""
-    w = Window.partitionBy(*keys).orderBy(*DEDUP_ORDER)
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in DEDUP_ORDER])
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
