@@ -137,3 +137,39 @@ def dialog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("step"),
                     F.col("role"), F.sha2(F.col("text"), 256).alias("args_hash"),
                     F.col("text"))
+
+
+def warehouse(spark: SparkSession, sf_dir: str):
+    """The nine-table warehouse roles the injections work on, bound to the driver
+    tables: encounters = every lineitem row (copies kept, stops always set),
+    organizations = suppliers (name = region, city = nation), payers = segments."""
+    from ..operators.quality import Warehouse
+    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    cust = read_table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
+    oc = orders.join(cust, orders.o_custkey == cust.c_custkey)
+    enc = li.join(oc, li.l_orderkey == oc.o_orderkey).select(
+        F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("Id"),
+        F.col("o_orderdate").alias("START"), F.col("l_shipdate").alias("STOP"),
+        F.col("o_custkey").cast("string").alias("PATIENT"),
+        F.col("l_suppkey").cast("string").alias("ORGANIZATION"),
+        F.col("c_mktsegment").alias("PAYER"), F.col("o_orderpriority").alias("ENCOUNTERCLASS"))
+    sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
+    nat = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
+    reg = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")
+    org = (sup.join(F.broadcast(nat), sup.s_nationkey == nat.n_nationkey)
+              .join(F.broadcast(reg), F.col("n_regionkey") == reg.r_regionkey)
+              .select(F.col("s_suppkey").cast("string").alias("Id"), F.col("r_name").alias("NAME"),
+                      F.col("n_name").alias("CITY")))
+    seg = read_table(spark, sf_dir, "customer", "c_mktsegment").distinct()
+    pay = seg.select(F.col("c_mktsegment").alias("Id"),
+                     F.concat(F.upper(F.substring("c_mktsegment", 1, 1)),
+                              F.lower(F.expr("substring(c_mktsegment, 2)"))).alias("NAME"))
+    return Warehouse(enc, org, pay)
+
+
+def recipe():
+    from ..operators.quality import Recipe
+    return Recipe(inpatient=INPATIENT, open_from=OPEN_FROM, reversed_before=OPEN_FROM,
+                  split_date=SPLIT_DATE, merger_date=SPLIT_DATE,
+                  payer_year=(PERIOD_START, PERIOD_END), dup_year=(PERIOD_START, PERIOD_END))
