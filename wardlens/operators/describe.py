@@ -41,9 +41,9 @@ def table_profile(df: DataFrame, table: str) -> DataFrame:
     cols = spark.createDataFrame(
         [(i + 1, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)],
         "position int, column_name string, data_type string, nullable boolean")
-    cnt = df.agg(F.count("*").alias("row_count"))
-    return cols.crossJoin(cnt).select(F.lit(table).alias("table_name"), "position", "column_name",
-                                      "data_type", "nullable", "row_count")
+    cnt = df.agg(F.count("*").alias("row_count")).scalar()
+    return cols.select(F.lit(table).alias("table_name"), "position", "column_name",
+                       "data_type", "nullable", cnt.alias("row_count"))
 
 
 def sample_rows(df: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:

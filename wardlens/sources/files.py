@@ -98,6 +98,6 @@ def describe_result(spark: SparkSession, path: str) -> DataFrame:
     back = spark.read.parquet(path)
     schema = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in back.schema.fields)
     head = back.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in back.columns]).limit(SAMPLE_ROWS)
-    head_json = head.agg(F.to_json(F.collect_list(F.struct(*back.columns))).alias("head"))
-    return back.agg(F.count("*").alias("row_count")).crossJoin(head_json).select(
-        F.lit(path).alias("ref"), F.lit(schema).alias("schema"), "row_count", "head")
+    head_json = head.agg(F.to_json(F.collect_list(F.struct(*back.columns))).alias("head")).scalar()
+    return back.agg(F.count("*").alias("row_count")).select(
+        F.lit(path).alias("ref"), F.lit(schema).alias("schema"), "row_count", head_json.alias("head"))
