@@ -173,3 +173,45 @@ def recipe():
     return Recipe(inpatient=INPATIENT, open_from=OPEN_FROM, reversed_before=OPEN_FROM,
                   split_date=SPLIT_DATE, merger_date=SPLIT_DATE,
                   payer_year=(PERIOD_START, PERIOD_END), dup_year=(PERIOD_START, PERIOD_END))
+
+
+def spans_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B-SPAN as span records (the span-log schema): one span per event, parented by
+    one root span per run whose cost repeats the run total, as a real log does."""
+    from ..sources.files import SPAN_ATTRS
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    start = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    ev = e.select(
+        F.col("user_id").alias("run_id"), F.col("event_id").cast("string").alias("span_id"),
+        F.concat(F.lit("root-"), F.col("user_id").cast("string")).alias("parent_span_id"),
+        F.when(F.col("event_type") == "view", "node").otherwise("tool.call").alias("name"),
+        start.alias("start_time_ns"), (start + F.floor(F.col("value") * 1e6)).alias("end_time_ns"),
+        F.col("value").alias("duration_ms"),
+        F.col("event_type").alias("tool"), F.col("props").alias("args"),
+        F.round(F.col("value") / 1000, 6).alias("cost"),
+        F.floor(F.col("value") * 10).alias("bundle"),
+        F.when(F.col("event_type") == "error", F.lit(False)).when(F.col("event_type") == "purchase", F.lit(True))
+         .alias("passed"),
+        F.when(F.col("event_type") == "view", "planner").otherwise("sql_analyst").alias("role"),
+        F.when(F.col("event_type") != "error", F.concat(F.lit("ref-"), F.col("event_id").cast("string")))
+         .alias("ref"))
+    root = ev.groupBy("run_id").agg(F.min("start_time_ns").alias("start_time_ns"),
+                                     F.max("end_time_ns").alias("end_time_ns"),
+                                     F.round(F.sum("cost"), 6).alias("cost")).select(
+        "run_id", F.concat(F.lit("root-"), F.col("run_id").cast("string")).alias("span_id"),
+        F.lit(None).cast("string").alias("parent_span_id"), F.lit("run").alias("name"),
+        "start_time_ns", "end_time_ns", F.lit(0.0).alias("duration_ms"),
+        F.lit(None).cast("string").alias("tool"), F.lit(None).cast("string").alias("args"), "cost",
+        F.lit(None).cast("bigint").alias("bundle"), F.lit(None).cast("boolean").alias("passed"),
+        F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("ref"))
+    allspans = ev.unionByName(root)
+    attrs = F.struct(*[
+        (F.col("tool") if f.name == "tool.name" else F.col("args") if f.name == "tool.args_hash"
+         else F.col("cost") if f.name == "cost.usd" else F.col("bundle") if f.name == "context.bundle_tokens"
+         else F.col("passed") if f.name == "validation.passed" else F.col("role") if f.name == "agent.role"
+         else F.col("ref") if f.name == "result_ref" else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in SPAN_ATTRS.fields])
+    return allspans.select("run_id", "span_id", F.col("run_id").cast("string").alias("trace_id"),
+                           "parent_span_id", "name", "start_time_ns", "end_time_ns", "duration_ms",
+                           F.when(F.col("passed") == F.lit(False), "ERROR").otherwise("OK").alias("status"),
+                           attrs.alias("attributes"))

@@ -88,7 +88,8 @@ def q_content_hash_drift(spark, sf):
 @query("drift_verdict", f"""WITH {CORPUS_SQL},
 first_turn AS (SELECT conv_id, sha256(text) AS h FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) rn
   FROM conversations) WHERE rn = 1),
-runs AS (SELECT f.conv_id AS run_id, CASE WHEN f.conv_id % 2 = 0 THEN (SELECT corpus_version FROM cv) END AS warehouse,
+sys AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system'),
+runs AS (SELECT f.conv_id AS run_id, CASE WHEN f.conv_id IN (SELECT conv_id FROM sys) THEN (SELECT corpus_version FROM cv) END AS warehouse,
   f.h AS prompts, (SELECT corpus_version FROM cv) AS corpus, NULL AS sandbox FROM first_turn f),
 cur AS (SELECT (SELECT corpus_version FROM cv) AS warehouse,
   (SELECT h FROM first_turn ORDER BY conv_id DESC LIMIT 1) AS prompts, (SELECT corpus_version FROM cv) AS corpus, NULL AS sandbox)
@@ -99,14 +100,16 @@ SELECT run_id, CASE WHEN warehouse IS NULL AND prompts IS NULL AND corpus IS NUL
   WHEN sandbox IS DISTINCT FROM (SELECT sandbox FROM cur) THEN 'sandbox' ELSE 'current' END AS stale_axis FROM runs""")
 def q_drift_verdict(spark, sf):
     """Runs = conversations.  Each run recorded the corpus version and a prompt
-    version (hash of its opening turn); even-numbered runs also recorded the
+    version (hash of its opening turn); runs with a system turn also recorded the
     warehouse version.  Current prompt version = opening turn of the latest run."""
     cv = I.corpus_version(read_table(spark, sf, "documents", "doc_id", "text"))
-    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "text")
+    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
     first = I.window_first(conv, "conv_id", "turn", "text", "t").select("conv_id", F.sha2("t", 256).alias("h"))
+    sys = conv.where(F.col("role") == "system").select("conv_id").distinct().withColumn("has_sys", F.lit(True))
     version = cv.select("corpus_version").scalar()
-    runs = first.select(F.col("conv_id").alias("run_id"),
-                        F.when(F.col("conv_id") % 2 == 0, version).alias("warehouse"),
+    runs = first.join(sys, "conv_id", "left").select(
+                        F.col("conv_id").alias("run_id"),
+                        F.when(F.col("has_sys"), version).alias("warehouse"),
                         F.col("h").alias("prompts"), version.alias("corpus"),
                         F.lit(None).cast("string").alias("sandbox"))
     latest = first.orderBy(F.desc("conv_id")).limit(1)
