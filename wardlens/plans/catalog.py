@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_describe, q_identity, q_metrics, q_quality, q_relational, q_runs  # noqa: F401
+from . import (q_describe, q_identity, q_metrics, q_quality, q_relational, q_retrieval,  # noqa: F401
+               q_runs, q_screening)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
