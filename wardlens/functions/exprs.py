@@ -46,17 +46,31 @@ def normalise_name(c) -> Column:
 
 
 def md5_mod(text, modulus: int = DIGEST_MODULUS) -> Column:
+    return md5_hex_mod(F.md5(col_(text)), modulus)
+
+
+def md5_hex_mod(hexs: Column, modulus: int = DIGEST_MODULUS) -> Column:
     """``md5`` digest read as a little-endian 128-bit integer, modulo ``modulus``.
 
-    Horner's rule from the most significant byte (the last hex pair) down,
-    keeping the accumulator below ``modulus * 256`` so it fits a bigint.
+    The digest is split into four little-endian 32-bit words w0..w3 (value =
+    w0 + w1*2^32 + w2*2^64 + w3*2^96) and folded with Horner's rule on
+    ``2^32 mod modulus``; every intermediate stays below 2^61, so plain bigint
+    arithmetic inside whole-stage codegen is exact.  ``hexs`` is the md5 hex digest.
     """
-    hexs = F.md5(col_(text))
-    positions = F.sequence(F.lit(15), F.lit(0), F.lit(-1))
-    return F.aggregate(
-        positions, F.lit(0).cast("bigint"),
-        lambda acc, i: (acc * 256 + F.conv(F.substring(hexs, i * 2 + 1, 2), 16, 10).cast("bigint"))
-        % F.lit(modulus))
+
+    def byte(i: int) -> Column:
+        return F.substring(hexs, 2 * i + 1, 2)
+
+    def word(j: int) -> Column:
+        le = F.concat(byte(4 * j + 3), byte(4 * j + 2), byte(4 * j + 1), byte(4 * j))
+        return F.conv(le, 16, 10).cast("bigint")
+
+    r = (1 << 32) % modulus
+    m = F.lit(modulus).cast("bigint")
+    acc = word(3) % m
+    for j in (2, 1, 0):
+        acc = (acc * F.lit(r).cast("bigint") + word(j)) % m
+    return acc
 
 
 def canonical_field(c: Column, dtype: str) -> Column:
@@ -64,9 +78,9 @@ def canonical_field(c: Column, dtype: str) -> Column:
     if dtype in ("double", "float"):
         s = c.cast("double").cast("decimal(38,10)").cast("string")
     elif dtype.startswith("timestamp"):
-        s = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        s = F.unix_micros(c.cast("timestamp")).cast("string")      # wall clock, session zone UTC
     elif dtype == "date":
-        s = F.date_format(c, "yyyy-MM-dd")
+        s = F.unix_date(c).cast("string")
     elif dtype.startswith("array"):
         s = F.array_join(F.transform(c, lambda x: x.cast("double").cast("decimal(38,10)").cast("string")), ",")
     else:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import DIGEST_MODULUS, canonical_row, md5_mod
+from ..functions.exprs import DIGEST_MODULUS, canonical_row, md5_hex_mod, md5_mod
 
 CORPUS_BUCKET = 65_536   # ids per leaf of the corpus hash tree (bounds every fold)
 
@@ -21,8 +21,9 @@ def row_digest(df: DataFrame) -> F.Column:
 def table_digest(df: DataFrame, name: str) -> DataFrame:
     """(table, row count, sum of row digests): summed, never XOR-ed, so identical
     rows do not cancel; the sum is decimal(38,0) so it cannot overflow."""
-    return df.agg(F.count("*").alias("row_count"),
-                  F.coalesce(F.sum(row_digest(df).cast("decimal(38,0)")),
+    h = df.select(F.md5(canonical_row(df)).alias("_h"))   # one digest per row, computed once
+    return h.agg(F.count("*").alias("row_count"),
+                  F.coalesce(F.sum(md5_hex_mod(F.col("_h"), DIGEST_MODULUS).cast("decimal(38,0)")),
                              F.lit(0).cast("decimal(38,0)")).cast("decimal(38,0)").alias("digest")) \
         .select(F.lit(name).alias("table_name"), "row_count", "digest")
 

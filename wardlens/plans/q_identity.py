@@ -22,7 +22,7 @@ def canonical_field_sql(name: str, dtype: str) -> str:
         # double -> decimal cast starts from
         s = f"CAST(CAST(CAST(CAST({c} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,10)) AS VARCHAR)"
     elif dtype.startswith("timestamp"):
-        s = f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
+        s = f"CAST(epoch_us({c}) AS VARCHAR)"
     elif dtype.startswith("array"):
         s = (f"array_to_string(list_transform({c}, lambda x: CAST(CAST(CAST(CAST(x AS DOUBLE) AS VARCHAR) AS DECIMAL(38,10)) AS VARCHAR)), ',')")
     else:
