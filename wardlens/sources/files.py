@@ -55,8 +55,8 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 def corpus_source(spark: SparkSession, corpus_dir: str) -> DataFrame:
     """Every ``.md`` / ``.txt`` file below ``corpus_dir`` as one document; id = file stem."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", "*.{md,txt}").text(corpus_dir))
+    df = (spark.read.option("recursiveFileLookup", True)
+          .option("pathGlobFilter", "*.{md,txt}").text(corpus_dir, wholetext=True))
     path = F.col("_metadata.file_path")
     return df.select(F.regexp_extract(path, r"([^/]+)\.(md|txt)$", 1).alias("doc_id"),
                      path.alias("path"), F.col("value").alias("text"))
