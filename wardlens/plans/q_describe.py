@@ -141,3 +141,13 @@ def q_span_source(spark, sf):
                         F.col("attributes.`tool.name`").alias("tool_name"),
                         F.col("attributes.`cost.usd`").alias("cost_usd"),
                         F.col("attributes.`validation.passed`").alias("validation_passed"))
+
+
+@query("corpus_source", "SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS text_sha FROM documents")
+def q_corpus_source(spark, sf):
+    """documents written as a file corpus (one file per document), read back whole."""
+    path = Fs.write_corpus(T(spark, sf, "documents", "doc_id", "text"), Fs.scratch_path(spark, "corpus"))
+    c = Fs.corpus_source(spark, path, id_from_dir="doc_id")
+    text = F.regexp_replace("text", "\n$", "")      # the writer's record terminator
+    return c.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length(text).alias("n_chars"),
+                    F.sha2(text, 256).alias("text_sha"))

@@ -174,3 +174,19 @@ def q_sample_determinism(spark, sf):
         .withColumn("in_second", F.lit(True))
     return a.join(b, "Id", "full").select("Id", F.coalesce("in_first", F.lit(False)).alias("in_first"),
                                           F.coalesce("in_second", F.lit(False)).alias("in_second"))
+
+
+@query("win_canonical_name", MESSY + """SELECT payer_key, NAME AS display_name, n_ids FROM (
+  SELECT upper(trim(NAME)) AS payer_key, NAME, count(*) OVER (PARTITION BY upper(trim(NAME))) AS n_ids,
+  row_number() OVER (PARTITION BY upper(trim(NAME)) ORDER BY NAME, Id) AS rn FROM pay2) WHERE rn = 1""")
+def q_win_canonical_name(spark, sf):
+    """One display spelling per normalised payer name of the injected payers
+    (smallest spelling, then id), with the number of ids sharing the key."""
+    from pyspark.sql import Window
+    from ..functions.exprs import normalise_name
+    wh, _, _ = _run(spark, sf)
+    p = wh.payers.withColumn("payer_key", normalise_name("NAME"))
+    w = Window.partitionBy("payer_key")
+    return (p.withColumn("n_ids", F.count("*").over(w))
+             .withColumn("_rn", F.row_number().over(w.orderBy("NAME", "Id"))).where("_rn = 1")
+             .select("payer_key", F.col("NAME").alias("display_name"), "n_ids"))

@@ -53,13 +53,23 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def corpus_source(spark: SparkSession, corpus_dir: str) -> DataFrame:
-    """Every ``.md`` / ``.txt`` file below ``corpus_dir`` as one document; id = file stem."""
+def corpus_source(spark: SparkSession, corpus_dir: str, id_from_dir: str | None = None) -> DataFrame:
+    """Every ``.md`` / ``.txt`` file below ``corpus_dir`` as one document; id = file
+    stem, or the ``<id_from_dir>=<id>`` folder the file sits in when given."""
     df = (spark.read.option("recursiveFileLookup", True)
           .option("pathGlobFilter", "*.{md,txt}").text(corpus_dir, wholetext=True))
     path = F.col("_metadata.file_path")
-    return df.select(F.regexp_extract(path, r"([^/]+)\.(md|txt)$", 1).alias("doc_id"),
-                     path.alias("path"), F.col("value").alias("text"))
+    doc_id = (F.regexp_extract(path, rf"/{id_from_dir}=([^/]+)/[^/]+$", 1) if id_from_dir
+              else F.regexp_extract(path, r"([^/]+)\.(md|txt)$", 1))
+    return df.select(doc_id.alias("doc_id"), path.alias("path"), F.col("value").alias("text"))
+
+
+def write_corpus(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """One text file per document, in a ``<id_col>=<id>`` folder (Spark's text writer
+    ends each record with a newline)."""
+    (docs.select(id_col, text_col).repartition(id_col).write.mode("overwrite")
+         .option("maxRecordsPerFile", 1).partitionBy(id_col).text(path))
+    return path
 
 
 SPAN_ATTRS = T.StructType([
