@@ -114,3 +114,21 @@ def test_coverage_is_ratio_of_sums(spark):
                                "id string, payer string, cost double, covered double")
     r = one(M.coverage_rate(df.withColumn("class", F.lit(IP))))
     assert abs(r["coverage_rate"] - 350 / 400) < 1e-12 and r["n_encounters"] == 2
+
+
+def test_exact_percentiles_hot_group_matches_numpy(spark):
+    import numpy as np
+    from wardlens.operators.relational import exact_percentiles
+    rng = np.random.default_rng(1)
+    hot = rng.normal(size=5000)
+    cold = rng.normal(size=7)
+    rows = [("hot", float(v)) for v in hot] + [("cold", float(v)) for v in cold] + [("one", 3.5)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", {"p50": 0.5, "p90": 0.9}).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for g, vals in (("hot", hot), ("cold", cold), ("one", np.array([3.5]))):
+        assert abs(got[g]["p50"] - np.quantile(vals, 0.5)) < 1e-6
+        assert abs(got[g]["p90"] - np.quantile(vals, 0.9)) < 1e-6

@@ -143,11 +143,12 @@ def los_calendar_days(s: DataFrame, inpatient: str, start=None, end=None) -> Dat
 
 def los_hours(s: DataFrame, classes, start=None, end=None) -> DataFrame:
     """Elapsed clock hours per class (for ED and observation stays)."""
-    x = with_flags(scope(s, classes, start, end)).where("is_complete")
-    h = elapsed_hours("start_ts", "stop_ts")
-    return x.groupBy("class").agg(F.count("*").alias("n_measured"),
-                                  F.round(F.avg(h), 6).alias("mean_hours"),
-                                  F.round(F.percentile(h, 0.5), 6).alias("median_hours"))
+    from .relational import exact_percentiles
+    x = with_flags(scope(s, classes, start, end)).where("is_complete") \
+        .withColumn("_h", elapsed_hours("start_ts", "stop_ts"))
+    g = x.groupBy("class").agg(F.count("*").alias("n_measured"), F.round(F.avg("_h"), 6).alias("mean_hours"))
+    med = exact_percentiles(x, ["class"], "_h", {"median_hours": 0.5})
+    return g.join(med, "class")
 
 
 def observation_stay(s: DataFrame, observation_classes, start=None, end=None) -> DataFrame:

@@ -133,3 +133,49 @@ def result_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Multiset difference both ways, tagged with the side the rows are missing from."""
     return (a.exceptAll(b).withColumn("only_in", F.lit("left"))
             .unionByName(b.exceptAll(a).withColumn("only_in", F.lit("right"))))
+
+
+def exact_percentiles(df: DataFrame, keys, value: str, probs: dict[str, float], digits: int = 6) -> DataFrame:
+    """Exact interpolated percentiles per group (``quantile_cont`` semantics) without
+    ever buffering a group in one task.
+
+    1. a range-partitioned sort by (keys, value): a hot group spans many partitions;
+    2. per (group, partition) counts -> each partition's rank offset inside its group
+       (a small table: at most groups + partitions rows);
+    3. the rows at the two ranks around ``p * (n - 1)`` are addressed directly: after
+       the sort, ``monotonically_increasing_id`` is (partition << 33) + position, and
+       a group's rows in a partition are contiguous, so the rank maps to one id;
+    4. those few rows are fetched with an equi-join on the id and interpolated.
+    """
+    keys = list(keys)
+    x = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    order = [F.col(k).asc_nulls_last() for k in keys] + [F.col("_v")]
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # an explicit partition count: AQE leaves it alone, so every read of the sorted
+    # rows sees the same partitions and ids
+    srt = x.repartitionByRange(n_parts, *order).sortWithinPartitions(*order) \
+        .withColumn("_mid", F.monotonically_increasing_id())
+    srt = srt.withColumn("_pid", F.shiftright("_mid", 33))
+    part = srt.groupBy(*keys, "_pid").agg(F.count("*").alias("_c"), F.min("_mid").alias("_m0"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))) \
+        .withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    # target ranks: for every probability the floor and ceiling of p * (n - 1)
+    tk = [f"_tk{i}" for i in range(len(keys))]
+    tg = part.select(*[F.col(k).alias(t) for k, t in zip(keys, tk)], "_n").distinct().select(
+        *tk, "_n", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"))
+                                       for name, p in probs.items()])).alias("t"))
+    tg = tg.select(*tk, "t.name", (F.col("t.p") * (F.col("_n") - 1)).alias("_pos"))
+    tg = tg.select(*tk, "name", "_pos", F.explode(F.array_distinct(F.array(
+        F.floor("_pos"), F.ceil("_pos")))).alias("_rank"))
+    pr = part.select(*[F.col(k).alias(f"_pk{i}") for i, k in enumerate(keys)], "_off", "_c", "_m0")
+    cond = [F.col(t).eqNullSafe(F.col(f"_pk{i}")) for i, t in enumerate(tk)] + [
+        F.col("_rank") >= F.col("_off"), F.col("_rank") < F.col("_off") + F.col("_c")]
+    loc = tg.join(pr, cond).select(*[F.col(t).alias(k) for t, k in zip(tk, keys)], "name", "_pos", "_rank",
+                                   (F.col("_m0") + F.col("_rank") - F.col("_off")).alias("_mid"))
+    vals = loc.join(srt.select("_mid", "_v"), "_mid")
+    g = vals.groupBy(*keys, "name", "_pos").agg(
+        F.min_by("_v", "_rank").alias("_lo"), F.max_by("_v", "_rank").alias("_hi"))
+    res = g.select(*keys, "name", F.round(F.col("_lo") + (F.col("_pos") - F.floor("_pos")) * (F.col("_hi") - F.col("_lo")),
+                                          digits).alias("q"))
+    return res.groupBy(*keys).pivot("name", list(probs)).agg(F.first("q"))

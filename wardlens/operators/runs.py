@@ -259,9 +259,11 @@ def transfer_integrity(ordered: DataFrame) -> DataFrame:
 
 
 def latency_quantiles(steps: DataFrame, key: str = "tool") -> DataFrame:
-    return steps.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.round(F.percentile("duration_ms", 0.5), 6).alias("p50_ms"),
-        F.round(F.percentile("duration_ms", 0.95), 6).alias("p95_ms"))
+    """p50 / p95 of span durations per key, exact and without buffering a key's
+    durations in one task (``exact_percentiles``)."""
+    from .relational import exact_percentiles
+    return exact_percentiles(steps.where(F.col(key).isNotNull()), [key], "duration_ms",
+                             {"p50_ms": 0.5, "p95_ms": 0.95})
 
 
 def regression_gate(metrics: DataFrame, baseline: DataFrame | None = None, tolerance: float = 0.0,

@@ -42,7 +42,7 @@ def supplier_org(spark: SparkSession, sf_dir: str) -> DataFrame:
                .select(F.col("s_suppkey"), F.col("r_name").alias("organization")))
 
 
-def raw_stays(spark: SparkSession, sf_dir: str, classes=None) -> DataFrame:
+def raw_stays(spark: SparkSession, sf_dir: str, classes=None, start_window=None) -> DataFrame:
     """B-STAY before de-duplication: one row per lineitem (copies share an id).
 
     The class filter is applied to ``orders`` before the joins (class is a
@@ -53,6 +53,12 @@ def raw_stays(spark: SparkSession, sf_dir: str, classes=None) -> DataFrame:
                         "o_orderpriority")
     if classes is not None:
         orders = orders.where(F.col("o_orderpriority").isin(list(classes)))
+    if start_window is not None:
+        # start is the order date, equal on every copy of an id: filtering the order
+        # before the joins keeps the de-duplication exact and reaches the scan
+        lo, hi = start_window
+        orders = orders.where((F.col("o_orderdate") >= F.lit(lo).cast("timestamp_ntz"))
+                              & (F.col("o_orderdate") < F.lit(hi).cast("timestamp_ntz")))
     cust = read_table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey",
                     "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -90,9 +96,9 @@ def dedupe_stays(df: DataFrame, keys=("okey", "lnum")) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def stays(spark: SparkSession, sf_dir: str, classes=None) -> DataFrame:
+def stays(spark: SparkSession, sf_dir: str, classes=None, start_window=None) -> DataFrame:
     """B-STAY, de-duplicated: one row per encounter id."""
-    return dedupe_stays(raw_stays(spark, sf_dir, classes))
+    return dedupe_stays(raw_stays(spark, sf_dir, classes, start_window))
 
 
 def from_encounters(enc: DataFrame) -> DataFrame:

@@ -15,8 +15,11 @@ AS_OF = B.PERIOD_END
 BEDS_PER_ORG = 500
 
 
-def _stays(spark, sf, classes=None):
-    return B.stays(spark, sf, classes)
+def _stays(spark, sf, classes=None, window=None):
+    return B.stays(spark, sf, classes, window)
+
+
+PW = (P, E)   # period as a start-date window pushed to the orders scan
 
 
 def orgs(spark, sf):
@@ -40,25 +43,25 @@ def q_encounter_dedup(spark, sf):
 SELECT count(DISTINCT id) AS n_admissions, count(DISTINCT id) FILTER (WHERE is_open) AS n_open_included
 FROM flagged WHERE class = {IP} AND {IN_PERIOD}""")
 def q_admission_count(spark, sf):
-    return M.admission_count(_stays(spark, sf, [IPC]), IPC, P, E)
+    return M.admission_count(_stays(spark, sf, [IPC], PW), IPC, P, E)
 
 
 @query("encounter_volume", f"""WITH {STAYS}
 SELECT class, count(DISTINCT id) AS n_encounters FROM flagged WHERE {IN_PERIOD} GROUP BY class""")
 def q_encounter_volume(spark, sf):
-    return M.encounter_volume(_stays(spark, sf), P, E)
+    return M.encounter_volume(_stays(spark, sf, None, PW), P, E)
 
 
 @query("patient_volume", f"""WITH {STAYS}
 SELECT count(DISTINCT patient) AS n_patients FROM flagged WHERE class = {IP} AND {IN_PERIOD}""")
 def q_patient_volume(spark, sf):
-    return M.patient_volume(_stays(spark, sf, [IPC]), [IPC], P, E)
+    return M.patient_volume(_stays(spark, sf, [IPC], PW), [IPC], P, E)
 
 
 @query("ed_visits", f"""WITH {STAYS}
 SELECT count(DISTINCT id) AS n_ed_visits FROM flagged WHERE class = {ED} AND {IN_PERIOD}""")
 def q_ed_visits(spark, sf):
-    return M.ed_visits(_stays(spark, sf, [B.EMERGENCY]), B.EMERGENCY, P, E)
+    return M.ed_visits(_stays(spark, sf, [B.EMERGENCY], PW), B.EMERGENCY, P, E)
 
 
 @query("ed_admission_rate", f"""WITH {STAYS},
@@ -137,7 +140,7 @@ SELECT count(*) AS n_observation_stays, count(*) FILTER (WHERE is_complete) AS n
        round(avg(CASE WHEN is_complete THEN {HOURS} END)::DOUBLE, 6) AS mean_hours
 FROM flagged WHERE class = {OBS} AND {IN_PERIOD}""")
 def q_observation_stay(spark, sf):
-    return M.observation_stay(_stays(spark, sf, [B.OBSERVATION]), [B.OBSERVATION], P, E)
+    return M.observation_stay(_stays(spark, sf, [B.OBSERVATION], PW), [B.OBSERVATION], P, E)
 
 
 BED_DAYS_CTE = f"""bd AS (
@@ -239,7 +242,7 @@ def q_exclusion_report(spark, sf):
 SELECT org_id AS provider, count(DISTINCT id) AS n_encounters FROM flagged WHERE class = {IP} AND {IN_PERIOD}
 GROUP BY org_id""")
 def q_provider_volume(spark, sf):
-    return M.provider_volume(_stays(spark, sf, [IPC]), "org_id", [IPC], P, E)
+    return M.provider_volume(_stays(spark, sf, [IPC], PW), "org_id", [IPC], P, E)
 
 
 @query("org_identity", f"""WITH {SUPPLIER_ORG}
@@ -255,7 +258,7 @@ g AS (SELECT o.name, o.city, count(DISTINCT f.id) AS n_encounters FROM flagged f
 SELECT name, city, n_encounters, CAST(row_number() OVER (ORDER BY n_encounters DESC, name, city) AS INTEGER) AS rank
 FROM g ORDER BY n_encounters DESC, name, city LIMIT 10""")
 def q_org_volume_ranking(spark, sf):
-    return M.org_volume_ranking(_stays(spark, sf, [IPC]), orgs(spark, sf), IPC, P, E, 10)
+    return M.org_volume_ranking(_stays(spark, sf, [IPC], PW), orgs(spark, sf), IPC, P, E, 10)
 
 
 @query("health_system_rollup", f"""WITH {STAYS}, {SUPPLIER_ORG},
@@ -269,7 +272,7 @@ def q_health_system_rollup(spark, sf):
     m = orgs(spark, sf).where("region_key <> 0").select(
         F.col("org_key").alias("org_id"),
         F.concat(F.lit("system-"), F.col("region_key").cast("string")).alias("system"))
-    return M.health_system_rollup(_stays(spark, sf), m, P, E)
+    return M.health_system_rollup(_stays(spark, sf, None, PW), m, P, E)
 
 
 @query("patient_dedup", f"""WITH {STAYS},
@@ -305,7 +308,7 @@ SELECT payer_key, count(DISTINCT id) AS n_encounters, (SELECT count(DISTINCT id)
        round(count(DISTINCT id)::DOUBLE / (SELECT count(DISTINCT id) FROM x), 9) AS share
 FROM x GROUP BY payer_key""")
 def q_payer_mix_encounters(spark, sf):
-    return M.payer_mix_encounters(_stays(spark, sf, [IPC]), None, [IPC], P, E)
+    return M.payer_mix_encounters(_stays(spark, sf, [IPC], PW), None, [IPC], P, E)
 
 
 @query("payer_mix_patients", f"""WITH {STAYS},
@@ -314,7 +317,7 @@ SELECT payer_key, count(DISTINCT patient) AS n_patients, (SELECT count(DISTINCT
        round(count(DISTINCT patient)::DOUBLE / (SELECT count(DISTINCT patient) FROM x), 9) AS share
 FROM x GROUP BY payer_key""")
 def q_payer_mix_patients(spark, sf):
-    return M.payer_mix_patients(_stays(spark, sf, [IPC]), [IPC], P, E)
+    return M.payer_mix_patients(_stays(spark, sf, [IPC], PW), [IPC], P, E)
 
 
 @query("payer_mix_member_months", f"""

@@ -252,8 +252,7 @@ def q_agg_sum_coalesce(spark, sf):
   round(quantile_cont(o_totalprice, 0.9), 6) AS p90_price FROM orders GROUP BY 1""")
 def q_agg_percentile(spark, sf):
     o = T(spark, sf, "orders", "o_orderpriority", "o_totalprice")
-    return o.groupBy("o_orderpriority").agg(F.round(F.percentile("o_totalprice", 0.5), 6).alias("median_price"),
-                                            F.round(F.percentile("o_totalprice", 0.9), 6).alias("p90_price"))
+    return R.exact_percentiles(o, ["o_orderpriority"], "o_totalprice", {"median_price": 0.5, "p90_price": 0.9})
 
 
 @query("agg_share", """SELECT round(avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END)::DOUBLE, 9) AS share_discounted
@@ -284,8 +283,7 @@ def q_agg_share_of_total(spark, sf):
   round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1""")
 def q_agg_latency_quantiles(spark, sf):
     e = T(spark, sf, "events", "event_type", "value")
-    return e.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"),
-                                       F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    return R.exact_percentiles(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 # --- 2.6 windows ----------------------------------------------------------------------------
