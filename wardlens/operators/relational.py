@@ -67,9 +67,11 @@ def share_of_total(grouped: DataFrame, count_col: str, out: str = "share") -> Da
 # --- windows ---------------------------------------------------------------------------
 
 def dedupe_by(df: DataFrame, keys, order) -> DataFrame:
-    """One row per key under a total order (copies may differ)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """One row per key: the first under ``order`` (column names, ascending, NULLs
+    last), i.e. ``row_number() = 1`` over the key.  Evaluated as a map-side-combined
+    ``min(struct)`` aggregation so a hot key is never gathered in one task."""
+    from ..plans.bindings import dedupe_min
+    return dedupe_min(df, keys, tuple(order))
 
 
 def step_order(df: DataFrame, run: str, order) -> DataFrame:

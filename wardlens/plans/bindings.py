@@ -42,47 +42,51 @@ def supplier_org(spark: SparkSession, sf_dir: str) -> DataFrame:
                .select(F.col("s_suppkey"), F.col("r_name").alias("organization")))
 
 
-def raw_stays(spark: SparkSession, sf_dir: str, classes=None, start_window=None) -> DataFrame:
-    """B-STAY before de-duplication: one row per lineitem (copies share an id).
+def line_stays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lineitem-level roles of B-STAY (everything that may differ between copies
+    of an id): stop, organisation, supplier, cost, covered, cause."""
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey",
+                    "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
+    lis = li.join(supplier_org(spark, sf_dir), li.l_suppkey == F.col("s_suppkey"))
+    return lis.select(
+        F.col("l_orderkey").alias("okey"), F.col("l_linenumber").alias("lnum"),
+        F.when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), F.lit(None))
+         .otherwise(F.col("l_shipdate")).cast("timestamp_ntz").alias("stop_ts"),
+        F.col("organization"), F.col("l_suppkey").alias("org_id"), F.col("l_extendedprice").alias("cost"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("covered"),
+        F.col("l_returnflag").alias("cause"))
 
-    The class filter is applied to ``orders`` before the joins (class is a
-    property of the order, hence equal on every copy of an id), so it reaches
-    the parquet scan as a pushed filter.
-    """
+
+def order_roles(spark: SparkSession, sf_dir: str, classes=None, start_window=None) -> DataFrame:
+    """The order-level roles (equal on every copy of an id): start, patient, class, payer.
+
+    Class and start-window filters are applied here, before any join, so they reach
+    the parquet scan as pushed filters."""
     orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate",
                         "o_orderpriority")
     if classes is not None:
         orders = orders.where(F.col("o_orderpriority").isin(list(classes)))
     if start_window is not None:
-        # start is the order date, equal on every copy of an id: filtering the order
-        # before the joins keeps the de-duplication exact and reaches the scan
         lo, hi = start_window
         orders = orders.where((F.col("o_orderdate") >= F.lit(lo).cast("timestamp_ntz"))
                               & (F.col("o_orderdate") < F.lit(hi).cast("timestamp_ntz")))
     cust = read_table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
-    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey",
-                    "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
     oc = orders.join(cust, orders.o_custkey == cust.c_custkey)
-    # supplier join first, order join last: the final shuffle is on the order key,
-    # which also satisfies the per-id de-duplication window (id = order key + line).
-    lis = li.join(supplier_org(spark, sf_dir), li.l_suppkey == F.col("s_suppkey"))
-    j = lis.join(oc, lis.l_orderkey == oc.o_orderkey)
+    return oc.select(F.col("o_orderkey").alias("okey"), F.col("o_orderdate").alias("start_ts"),
+                     F.col("o_custkey").alias("patient"), F.col("o_orderpriority").alias("class"),
+                     F.col("c_mktsegment").alias("payer"))
+
+
+def _finish(j: DataFrame) -> DataFrame:
     return j.select(
-        F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("id"),
-        F.col("l_orderkey").alias("okey"),
-        F.col("l_linenumber").alias("lnum"),
-        F.col("o_orderdate").alias("start_ts"),
-        F.when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), F.lit(None))
-         .otherwise(F.col("l_shipdate")).cast("timestamp_ntz").alias("stop_ts"),
-        F.col("o_custkey").alias("patient"),
-        F.col("organization"),
-        F.col("l_suppkey").alias("org_id"),
-        F.col("o_orderpriority").alias("class"),
-        F.col("c_mktsegment").alias("payer"),
-        F.col("l_extendedprice").alias("cost"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("covered"),
-        F.col("l_returnflag").alias("cause"),
-    )
+        F.concat(F.col("okey").cast("string"), F.lit("-"), F.col("lnum").cast("string")).alias("id"),
+        "okey", "lnum", "start_ts", "stop_ts", "patient", "organization", "org_id", "class", "payer",
+        "cost", "covered", "cause")
+
+
+def raw_stays(spark: SparkSession, sf_dir: str, classes=None, start_window=None) -> DataFrame:
+    """B-STAY before de-duplication: one row per lineitem (copies share an id)."""
+    return _finish(line_stays(spark, sf_dir).join(order_roles(spark, sf_dir, classes, start_window), "okey"))
 
 
 # Total order that picks the surviving copy of a repeated id: stop (NULL last),
@@ -90,15 +94,33 @@ def raw_stays(spark: SparkSession, sf_dir: str, classes=None, start_window=None)
 DEDUP_ORDER = ("stop_ts", "organization", "cost", "org_id", "covered", "cause")
 
 
+def dedupe_min(df: DataFrame, keys, order=DEDUP_ORDER) -> DataFrame:
+    """One row per key: the row that is smallest under ``order`` (ascending, NULLs
+    last), then under the remaining columns.
+
+    Written as ``min(struct)`` per key, so the aggregation combines copies map-side
+    before the shuffle: a group of copies holding a third of all rows is reduced in
+    every input partition first and never lands whole in one task."""
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    fields = [e for c in order for e in (F.col(c).isNull().alias(f"_n_{c}"), F.col(c).alias(c))]
+    fields += [F.col(c).alias(c) for c in rest]
+    m = df.groupBy(*keys).agg(F.min(F.struct(*fields)).alias("_m"))
+    return m.select(*keys, *[F.col(f"_m.{c}").alias(c) for c in list(order) + rest]).select(*df.columns)
+
+
 def dedupe_stays(df: DataFrame, keys=("okey", "lnum")) -> DataFrame:
-    """One row per id where copies may differ (``row_number`` over a total order)."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in DEDUP_ORDER])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """One row per id where copies may differ (see ``dedupe_min``)."""
+    return dedupe_min(df, keys)
 
 
 def stays(spark: SparkSession, sf_dir: str, classes=None, start_window=None) -> DataFrame:
-    """B-STAY, de-duplicated: one row per encounter id."""
-    return dedupe_stays(raw_stays(spark, sf_dir, classes, start_window))
+    """B-STAY, de-duplicated: one row per encounter id.
+
+    Copies are collapsed at line level (where all differing columns live) with a
+    map-side-combined aggregation, then joined to the order roles."""
+    lines = dedupe_min(line_stays(spark, sf_dir), ["okey", "lnum"])
+    return _finish(lines.join(order_roles(spark, sf_dir, classes, start_window), "okey"))
 
 
 def from_encounters(enc: DataFrame) -> DataFrame:

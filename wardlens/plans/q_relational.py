@@ -296,8 +296,7 @@ LINE_ORDER_SQL = ("l_shipdate, l_suppkey, l_partkey, l_quantity, l_extendedprice
   ORDER BY {LINE_ORDER_SQL}) AS rn FROM lineitem) WHERE rn = 1""")
 def q_win_dedupe(spark, sf):
     li = T(spark, sf, "lineitem")
-    return R.dedupe_by(li, ["l_orderkey", "l_linenumber"],
-                       [F.col(c).asc_nulls_last() for c in LINE_ORDER_SQL.split(", ")])
+    return R.dedupe_by(li, ["l_orderkey", "l_linenumber"], LINE_ORDER_SQL.split(", "))
 
 
 @query("win_step_order", """SELECT user_id AS run_id, event_id, CAST(row_number() OVER (PARTITION BY user_id
