@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import DIGEST_MODULUS, canonical_row, md5_hex_mod, md5_mod
@@ -100,5 +100,5 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def window_first(df: DataFrame, part: str, order: str, value: str, out: str) -> DataFrame:
-    w = Window.partitionBy(part).orderBy(order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(part, F.col(value).alias(out))
+    """The value of the first row per ``part`` by ``order`` (a combinable aggregate)."""
+    return df.groupBy(part).agg(F.min_by(value, order).alias(out))

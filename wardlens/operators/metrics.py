@@ -322,11 +322,11 @@ def org_volume_ranking(s: DataFrame, orgs: DataFrame, inpatient: str, start=None
 
 
 def org_identity(orgs: DataFrame) -> DataFrame:
-    """Identity of each organisation id: (name, city), with the ids sharing it."""
-    w = Window.partitionBy("name", "city")
-    return orgs.select(F.col("org_key"), "name", "city",
-                       F.count("*").over(w).alias("ids_with_identity"),
-                       F.min("org_key").over(w).alias("identity_key"))
+    """Identity of each organisation id: (name, city), with the ids sharing it
+    (one aggregate per identity joined back, no window over a hot identity)."""
+    g = orgs.groupBy("name", "city").agg(F.count("*").alias("ids_with_identity"),
+                                         F.min("org_key").alias("identity_key"))
+    return orgs.select("org_key", "name", "city").join(g, ["name", "city"])
 
 
 def health_system_rollup(s: DataFrame, facility_to_system: DataFrame, start=None, end=None,
@@ -341,8 +341,8 @@ def health_system_rollup(s: DataFrame, facility_to_system: DataFrame, start=None
 
 def patient_dedup(patients: DataFrame, s: DataFrame) -> DataFrame:
     """Exact stable key -> canonical patient (smallest id); facts re-keyed to it."""
-    w = Window.partitionBy("person_key")
-    canon = patients.select("patient", F.min("patient").over(w).alias("canonical_patient"))
+    keyed = patients.groupBy("person_key").agg(F.min("patient").alias("canonical_patient"))
+    canon = patients.join(keyed, "person_key").select("patient", "canonical_patient")
     j = s.select("id", "patient").join(canon, "patient", "left")
     return j.groupBy(F.coalesce("canonical_patient", "patient").alias("canonical_patient")) \
         .agg(F.count_distinct("patient").alias("n_source_ids"),

@@ -75,19 +75,18 @@ def dedupe_by(df: DataFrame, keys, order) -> DataFrame:
 
 
 def step_order(df: DataFrame, run: str, order) -> DataFrame:
-    return df.withColumn("step", F.row_number().over(Window.partitionBy(run).orderBy(*order)))
+    """Steps numbered 1.. per run (skew-safe ``row_number``)."""
+    return ranked_within(df, [run], order, rank_col="step")
 
 
 def repeats(df: DataFrame, run: str, key_cols, order) -> DataFrame:
     """Every occurrence after the first of the same key inside a run."""
-    w = Window.partitionBy(run, *key_cols).orderBy(*order)
-    return df.withColumn("occurrence", F.row_number().over(w)).where("occurrence > 1")
+    return ranked_within(df, [run, *key_cols], order, rank_col="occurrence").where("occurrence > 1")
 
 
 def loop_window(df: DataFrame, run: str, key_cols, step: str, width: int) -> DataFrame:
     """How many of the previous ``width`` steps of the run repeat this step's key."""
-    w = Window.partitionBy(run, *key_cols).orderBy(step).rangeBetween(-width, -1)
-    return df.withColumn("repeats_in_window", F.count("*").over(w))
+    return repeats_in_previous(df, run, key_cols, step, width)
 
 
 # --- sorts, limits, samples ----------------------------------------------------------------
@@ -137,6 +136,13 @@ def result_diff(a: DataFrame, b: DataFrame) -> DataFrame:
             .unionByName(b.exceptAll(a).withColumn("only_in", F.lit("right"))))
 
 
+def _pin(df: DataFrame, name: str) -> DataFrame:
+    """Row ids that encode the sorted partition are layout-dependent: store them once
+    so the offset table and the rows it is joined back to agree."""
+    from ..sources.files import materialise
+    return materialise(df, name)
+
+
 def exact_percentiles(df: DataFrame, keys, value: str, probs: dict[str, float], digits: int = 6) -> DataFrame:
     """Exact interpolated percentiles per group (``quantile_cont`` semantics) without
     ever buffering a group in one task.
@@ -148,6 +154,8 @@ def exact_percentiles(df: DataFrame, keys, value: str, probs: dict[str, float],
        the sort, ``monotonically_increasing_id`` is (partition << 33) + position, and
        a group's rows in a partition are contiguous, so the rank maps to one id;
     4. those few rows are fetched with an equi-join on the id and interpolated.
+
+    The sorted, id-stamped rows are written once (``_pin``) so both uses agree.
     """
     keys = list(keys)
     x = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
@@ -157,7 +165,7 @@ def exact_percentiles(df: DataFrame, keys, value: str, probs: dict[str, float],
     # rows sees the same partitions and ids
     srt = x.repartitionByRange(n_parts, *order).sortWithinPartitions(*order) \
         .withColumn("_mid", F.monotonically_increasing_id())
-    srt = srt.withColumn("_pid", F.shiftright("_mid", 33))
+    srt = _pin(srt.withColumn("_pid", F.shiftright("_mid", 33)), "percentile-sorted")
     part = srt.groupBy(*keys, "_pid").agg(F.count("*").alias("_c"), F.min("_mid").alias("_m0"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))) \
@@ -181,3 +189,59 @@ def exact_percentiles(df: DataFrame, keys, value: str, probs: dict[str, float],
     res = g.select(*keys, "name", F.round(F.col("_lo") + (F.col("_pos") - F.floor("_pos")) * (F.col("_hi") - F.col("_lo")),
                                           digits).alias("q"))
     return res.groupBy(*keys).pivot("name", list(probs)).agg(F.first("q"))
+
+
+def ranked_within(df: DataFrame, keys, order, sum_col: str | None = None, rank_col: str = "_rank",
+                  cum_col: str = "_cum") -> DataFrame:
+    """``row_number()`` over (keys ordered by ``order``), and optionally the sum of
+    ``sum_col`` over the strictly preceding rows, without gathering a group in one
+    task: a range-partitioned sort spreads a hot group over many partitions; per
+    (group, partition) counts and sums give each partition's offsets (a small
+    table); a row's rank is its partition offset plus its position, which
+    ``monotonically_increasing_id`` encodes after the sort (the sorted, id-stamped
+    rows are written once so offsets and rows agree).  ``order`` must make the order
+    total inside a group."""
+    keys, order = list(keys), list(order)
+    cols = df.columns
+    by = [F.col(k).asc_nulls_last() for k in keys] + [F.col(c).asc_nulls_last() for c in order]
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    srt = df.repartitionByRange(n_parts, *by).sortWithinPartitions(*by) \
+        .withColumn("_mid", F.monotonically_increasing_id())
+    srt = _pin(srt.withColumn("_pid", F.shiftright("_mid", 33)), "ranked-sorted")
+    aggs = [F.count("*").alias("_c"), F.min("_mid").alias("_m0")]
+    if sum_col:
+        aggs.append(F.sum(sum_col).alias("_s"))
+    part = srt.groupBy(*keys, "_pid").agg(*aggs)
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    if sum_col:
+        part = part.withColumn("_soff", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    pk = [f"_pk{i}" for i in range(len(keys))]
+    pr = part.select(*[F.col(k).alias(p) for k, p in zip(keys, pk)], F.col("_pid").alias("_ppid"), "_off", "_m0",
+                     *(["_soff"] if sum_col else []))
+    cond = [F.col(k).eqNullSafe(F.col(p)) for k, p in zip(keys, pk)] + [F.col("_pid") == F.col("_ppid")]
+    j = srt.join(pr, cond).withColumn(rank_col, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("int"))
+    out = [*cols, rank_col]
+    if sum_col:
+        # running sum inside one (group, partition): bounded by the partition size
+        w = Window.partitionBy(*keys, "_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+        j = j.withColumn(cum_col, F.col("_soff") + F.coalesce(F.sum(sum_col).over(w), F.lit(0)))
+        out.append(cum_col)
+    return j.select(*out)
+
+
+def repeats_in_previous(df: DataFrame, run: str, key_cols, step: str, width: int,
+                        out: str = "repeats_in_window") -> DataFrame:
+    """For each row, how many of the previous ``width`` steps of its run carry the
+    same key.  Steps are consecutive integers per run, so each row probes the exact
+    (run, key, step - d) rows with an equi-join on a unique key: no window over a
+    run, no pair explosion inside a hot key."""
+    key_cols = list(key_cols)
+    probes = df.select(run, *key_cols, step, F.explode(F.sequence(F.col(step) - width, F.col(step) - 1))
+                       .alias("_prev"))
+    targets = df.select(F.col(run).alias("_r"), *[F.col(k).alias(f"_t_{k}") for k in key_cols],
+                        F.col(step).alias("_s"))
+    cond = [probes[run].eqNullSafe(targets["_r"]), probes["_prev"] == targets["_s"]] + \
+        [probes[k].eqNullSafe(targets[f"_t_{k}"]) for k in key_cols]
+    hits = probes.join(targets, cond).groupBy(run, step).agg(F.count("*").alias(out))
+    return df.join(hits, [run, step], "left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))

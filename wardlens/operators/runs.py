@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import ranked_within, repeats_in_previous
+
 # Fixed values of the scoring rules.
 STEP_SPANS = ("node", "tool.call")          # spans that count as steps
 TASK_SUCCESS_FLOOR = 1.0
@@ -42,9 +44,9 @@ def span_steps(spans: DataFrame) -> DataFrame:
 
 
 def trajectory_order(steps: DataFrame) -> DataFrame:
-    """Steps numbered by start time (missing start = 0), ties by span id."""
-    w = Window.partitionBy("run_id").orderBy(F.col("start_ns"), F.col("span_id"))
-    return steps.withColumn("step_no", F.row_number().over(w))
+    """Steps numbered by start time (missing start = 0), ties by span id; skew-safe
+    (a run holding a third of all spans is still spread over many tasks)."""
+    return ranked_within(steps, ["run_id"], ["start_ns", "span_id"], rank_col="step_no")
 
 
 def span_tree(steps: DataFrame, max_depth: int = 8) -> DataFrame:
@@ -64,16 +66,18 @@ def span_tree(steps: DataFrame, max_depth: int = 8) -> DataFrame:
 def tool_calls(ordered: DataFrame) -> DataFrame:
     """The run's tool calls in step order, one row each (never collected into a list)."""
     t = ordered.where((F.col("name") == "tool.call") & F.col("tool").isNotNull() & (F.col("tool") != ""))
-    w = Window.partitionBy("run_id").orderBy("step_no")
-    return t.select("run_id", F.row_number().over(w).alias("call_no"), "tool")
+    return ranked_within(t.select("run_id", "step_no", "tool"), ["run_id"], ["step_no"], rank_col="call_no") \
+        .select("run_id", "call_no", "tool")
 
 
 def with_repeat_flag(ordered: DataFrame) -> DataFrame:
     """Flag every tool call after the first with the same (tool, args hash) in its run."""
-    w = Window.partitionBy("run_id", "tool", "args_hash").orderBy("step_no")
     eligible = ((F.col("name") == "tool.call") & F.coalesce(F.col("tool") != "", F.lit(False))
                 & F.coalesce(F.col("args_hash") != "", F.lit(False)))
-    return ordered.withColumn("is_repeat", eligible & (F.row_number().over(w) > 1))
+    x = ordered.withColumn("_elig", eligible)
+    r = ranked_within(x.where("_elig"), ["run_id", "tool", "args_hash"], ["step_no"], rank_col="_occ")
+    rest = x.where(~F.col("_elig")).withColumn("_occ", F.lit(1))
+    return r.unionByName(rest).withColumn("is_repeat", F.col("_elig") & (F.col("_occ") > 1)).drop("_elig", "_occ")
 
 
 def run_summary(ordered: DataFrame) -> DataFrame:
@@ -220,8 +224,9 @@ def trajectory_efficiency(summary: DataFrame, min_steps: int) -> DataFrame:
 
 def loop_rate(ordered: DataFrame, width: int = 5) -> DataFrame:
     """Share of runs with a call repeating one of the previous ``width`` steps."""
-    w = Window.partitionBy("run_id", "tool", "args_hash").orderBy("step_no").rangeBetween(-width, -1)
-    x = ordered.where(F.col("name") == "tool.call").withColumn("in_loop", F.count("*").over(w) > 0)
+    calls = ordered.where(F.col("name") == "tool.call").select("run_id", "tool", "args_hash", "step_no")
+    x = repeats_in_previous(calls, "run_id", ["tool", "args_hash"], "step_no", width, "_n") \
+        .withColumn("in_loop", F.col("_n") > 0)
     per_run = x.groupBy("run_id").agg(F.bool_or("in_loop").alias("looped"))
     return per_run.agg(F.count("*").alias("n_runs"), F.count_if("looped").alias("n_looped"),
                        F.round(F.avg(F.col("looped").cast("double")), 9).alias("loop_rate"))
@@ -247,8 +252,7 @@ def transfer_integrity(ordered: DataFrame) -> DataFrame:
     """Per run: share of validated calls that passed on their first attempt, the same
     (tool, args) called by more than one role, and results without provenance."""
     calls = ordered.where(F.col("name") == "tool.call")
-    w = Window.partitionBy("run_id", "tool", "args_hash").orderBy("step_no")
-    first = calls.withColumn("_k", F.row_number().over(w)).where("_k = 1")
+    first = ranked_within(calls, ["run_id", "tool", "args_hash"], ["step_no"], rank_col="_k").where("_k = 1")
     fv = first.groupBy("run_id").agg(
         F.round(F.avg(F.when(F.col("passed").isNotNull(), F.col("passed").cast("double"))), 9)
          .alias("first_time_valid"))

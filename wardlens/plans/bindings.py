@@ -136,11 +136,15 @@ def from_encounters(enc: DataFrame) -> DataFrame:
 
 def coverage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B-COV: patient, payer, from = order date, to = next order date of the customer."""
+    from ..operators.relational import ranked_within
     o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return o.select(F.col("o_custkey").alias("patient"), F.col("o_orderpriority").alias("payer"),
-                    F.col("o_orderdate").alias("from_ts"),
-                    F.lead("o_orderdate").over(w).alias("to_ts"))
+    # next order of the customer: rank orders per customer (skew-safe), then an
+    # equi-join on (customer, rank + 1) instead of a lead() window over the customer
+    r = ranked_within(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], rank_col="_r")
+    nxt = r.select(F.col("o_custkey").alias("_c"), (F.col("_r") - 1).alias("_r"), F.col("o_orderdate").alias("to_ts"))
+    j = r.join(nxt, (r.o_custkey == nxt._c) & (r._r == nxt._r), "left")
+    return j.select(F.col("o_custkey").alias("patient"), F.col("o_orderpriority").alias("payer"),
+                    F.col("o_orderdate").alias("from_ts"), "to_ts")
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,13 +114,15 @@ SELECT run_id, turn, input_tokens, output_tokens,
 def q_call_cost(spark, sf):
     """Assistant turns as model calls: input = all earlier turns of the dialogue,
     output = the turn itself, priced by the synthesizer role."""
-    from pyspark.sql import Window
-    c = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
-    tok = token_estimate("text")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    calls = c.select(F.col("conv_id").alias("run_id"), "turn", F.col("role").alias("speaker"),
-                     F.coalesce(F.sum(tok).over(w), F.lit(0)).cast("bigint").alias("input_tokens"),
-                     tok.alias("output_tokens"), F.lit("synthesizer").alias("role")) \
+    from ..operators.relational import ranked_within
+    c = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text") \
+        .withColumn("tok", token_estimate("text"))
+    # tokens of all earlier turns: a skew-safe prefix sum per dialogue
+    cum = ranked_within(c.select("conv_id", "turn", "role", "tok"), ["conv_id"], ["turn"], sum_col="tok",
+                        cum_col="input_tokens")
+    calls = cum.select(F.col("conv_id").alias("run_id"), "turn", F.col("role").alias("speaker"),
+                       F.col("input_tokens").cast("bigint").alias("input_tokens"),
+                       F.col("tok").alias("output_tokens"), F.lit("synthesizer").alias("role")) \
         .where(F.col("speaker") == "assistant")
     prices = spark.createDataFrame(PRICES, "role string, price_in double, price_out double")
     return R.call_cost(calls, prices).select("run_id", "turn", "input_tokens", "output_tokens", "cost_usd")

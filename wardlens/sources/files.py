@@ -22,6 +22,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared checkpoint folder and continue from
+    the stored rows: cuts lineage, survives executor loss, and pins values that
+    depend on physical layout (partition ids) so every later read sees the same."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def typed_csv_ingest(spark: SparkSession, path: str, schema: T.StructType,
                      timestamp_ntz_format: str = CSV_TIMESTAMP_NTZ_FORMAT) -> DataFrame:
     """Declared types, never inferred; empty string -> NULL; a bad value or a header
