@@ -7,8 +7,8 @@
   partition scores its rows with one matrix product and emits only its k best per
   query; a final per-query window keeps the global k.  No query x corpus pair
   is ever materialised as a row.
-* ``bm25_topk``: term postings joined to query terms (equi join on the term),
-  partial aggregation per (query, doc), then a per-query top-k window.
+* ``bm25_topk``: exact BM25 top-k with MaxScore-style pruning: only documents
+  holding one of a query's rarest terms are scored, the rest are bounded above.
 * ``hybrid_rrf``: reciprocal-rank fusion of two ranked candidate lists.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .relational import ranked_within  # noqa: F401
 from ..functions.exprs import CHUNK_OVERLAP, CHUNK_TOKENS, HYBRID_CANDIDATES, RRF_K, TOPK_MAX
 
 MAX_BROADCAST_QUERIES = 2_048   # query rows per broadcast block (x 10k-row Arrow batch)
@@ -121,33 +122,109 @@ def rank_topk(cand: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 def tokens(text_col: str = "text") -> F.Column:
     """Lower-case word tokens (letters and digits, any script)."""
-    return F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), "")
 
 
 def bm25_index(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Postings (term, item_id, tf, doc_len) and the corpus stats row (n_docs, avgdl)."""
-    t = docs.select(F.col(id_col).alias("item_id"), tokens().alias("toks"))
-    t = t.select("item_id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term"))
-    post = t.groupBy("term", "item_id", "doc_len").agg(F.count("*").alias("tf"))
-    stats = t.select("item_id", "doc_len").distinct().agg(F.count("*").alias("n_docs"),
-                                                          F.avg("doc_len").alias("avgdl"))
+    """Postings (term, item_id, tf, doc_len) and the corpus stats row (n_docs, avgdl).
+
+    Term frequencies are combined map-side (a document's tokens sit in one row, so
+    the partial aggregate already reduces them to distinct (document, term) pairs);
+    the stats come from token-array sizes, without a second explode."""
+    t = docs.select(F.col(id_col).alias("item_id"), tokens().alias("toks")) \
+        .withColumn("doc_len", F.size("toks")).where(F.col("doc_len") > 0)
+    post = t.select("item_id", "doc_len", F.explode("toks").alias("term")) \
+        .groupBy("term", "item_id", "doc_len").agg(F.count("*").alias("tf"))
+    stats = t.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avgdl"))
     return post, stats
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, qid: str = "item_id", did: str = "doc_id",
-              k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """BM25 top-k per query.  queries: (qid, text); docs: (did, text)."""
-    post, stats = bm25_index(docs, did)
-    df_t = post.groupBy("term").agg(F.count("*").alias("df"))
-    n_docs = stats.select("n_docs").scalar()
-    avgdl = stats.select("avgdl").scalar()
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+              k1: float = BM25_K1, b: float = BM25_B, first_terms: int = 3) -> DataFrame:
+    """Exact BM25 top-k per query without pairing every query with every document
+    that shares a common word (MaxScore-style pruning).
+
+    Per query the terms are ordered rarest first.  Documents containing one of the
+    ``m`` rarest terms are scored exactly (all their query terms); any other
+    document can score at most the sum of the remaining terms' upper bounds
+    ``idf * (k1 + 1)``.  Round 1 scores the documents of the 3 rarest terms and
+    yields theta, a lower bound on each query's k-th best score; each query then
+    takes the fewest rarest terms whose remaining bound stays below theta (by more
+    than the rounding used for ranking), and round 2 scores exactly those
+    candidates.  A query made only of common words ends with all its terms
+    essential, which is plain exhaustive scoring for it alone.
+    """
+    return bm25_topk_prepared(bm25_prepare(queries, docs, qid, did, k1), k, k1, b, first_terms)
+
+
+def bm25_prepare(queries: DataFrame, docs: DataFrame, qid: str = "item_id", did: str = "doc_id",
+                 k1: float = BM25_K1) -> dict:
+    """Index the corpus and the queries once: postings of the query terms (stored),
+    query terms with idf, upper bound and rarity position (stored), corpus stats."""
+    from ..sources.files import materialise
+    post, _ = bm25_index(docs, did)
+    stats = post.groupBy("item_id").agg(F.max("doc_len").alias("doc_len")) \
+        .agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avgdl"))
+    n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
     qt = queries.select(F.col(qid).alias("query_id"), F.explode(F.array_distinct(tokens())).alias("term"))
-    j = qt.join(df_t, "term").join(post, "term")
+    # postings of query terms only, stored once (every round reads them)
+    post_q = materialise(post.join(qt.select("term").distinct(), "term", "left_semi"), "bm25-postings")
+    df_t = post_q.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # query terms with idf, upper bound and rarity position; one small table, stored
+    qtd = qt.join(df_t, "term").withColumn("idf", idf).withColumn("ub", F.col("idf") * (k1 + 1))
+    qtd = ranked_terms(qtd)
+    qtd = materialise(qtd, "bm25-query-terms")
+    return {"post_q": post_q, "qtd": qtd, "avgdl": avgdl}
+
+
+def bm25_topk_prepared(prep: dict, k: int, k1: float = BM25_K1, b: float = BM25_B,
+                       first_terms: int = 3) -> DataFrame:
+    """Pruned exact top-k over a prepared index (see ``bm25_topk``)."""
+    from ..sources.files import materialise
+    post_q, qtd, avgdl = prep["post_q"], prep["qtd"], prep["avgdl"]
+    if k1 != BM25_K1:
+        qtd = qtd.withColumn("ub", F.col("idf") * (k1 + 1))
     tf = F.col("tf").cast("double")
-    contrib = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / avgdl))
-    scores = j.groupBy("query_id", "item_id").agg(F.sum(contrib).alias("score"))
-    return rank_topk(scores, k)
+    contrib = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / avgdl))
+    margin = 10.0 ** (-SCORE_DIGITS)
+
+    # suffix bound: the most any document can score from the terms at positions >= pos
+    after = Window.partitionBy("query_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    bounds = qtd.select("query_id", "pos", F.coalesce(F.sum("ub").over(after), F.lit(0.0)).alias("rest_ub"))
+    n_terms = qtd.groupBy("query_id").agg(F.max("pos").alias("n_terms"))
+
+    def exact_top(m_table: DataFrame) -> DataFrame:
+        """Exact top-k of the documents holding one of each query's m rarest terms."""
+        ess = qtd.join(m_table, "query_id").where(F.col("pos") <= F.col("m"))
+        cand = ess.select("query_id", "term").join(post_q.select("term", "item_id"), "term") \
+            .select("query_id", "item_id").distinct()
+        full = cand.join(qtd.select("query_id", "term", "idf"), "query_id") \
+            .join(post_q, ["term", "item_id"]).groupBy("query_id", "item_id").agg(F.sum(contrib).alias("score"))
+        return materialise(rank_topk(full, k), "bm25-round")
+
+    # round 1: the few rarest terms give a lower bound theta on each k-th best score
+    m1 = n_terms.select("query_id", F.least(F.lit(first_terms), F.col("n_terms")).alias("m"))
+    top1 = exact_top(m1)
+    theta = top1.groupBy("query_id").agg(F.count("*").alias("n_top"), F.min("score").alias("theta"))
+    # smallest m whose remaining bound cannot reach theta: documents without any of
+    # those m terms cannot enter the top k (theta only grows with more candidates)
+    ok = bounds.join(theta, "query_id").where((F.col("n_top") >= k) & (F.col("rest_ub") + margin < F.col("theta")))
+    m_need = ok.groupBy("query_id").agg(F.min("pos").alias("m_ok"))
+    plan = n_terms.join(m1.withColumnRenamed("m", "m1"), "query_id").join(m_need, "query_id", "left") \
+        .withColumn("m", F.coalesce("m_ok", "n_terms"))
+    plan = materialise(plan, "bm25-plan")
+    settled = plan.where(F.col("m") <= F.col("m1")).select("query_id")
+    # round 2, only for queries that need more terms: exact by construction
+    m2 = plan.where(F.col("m") > F.col("m1")).select("query_id", "m")
+    out = top1.join(settled, "query_id", "left_semi").unionByName(exact_top(m2))
+    return out
+
+
+def ranked_terms(qtd: DataFrame) -> DataFrame:
+    """Position of each query term from rarest (1) to most common (ties by term)."""
+    w = Window.partitionBy("query_id").orderBy(F.asc("df"), F.asc("term"))
+    return qtd.withColumn("pos", F.row_number().over(w))
 
 
 def hybrid_rrf(a: DataFrame, b: DataFrame, k: int, k_rrf: int = RRF_K,

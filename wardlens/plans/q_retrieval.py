@@ -90,7 +90,12 @@ f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.item_id, b
 SELECT query_id, item_id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
   PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f) WHERE rank <= 10""")
 def q_hybrid_rrf(spark, sf):
-    return RV.hybrid_rrf(bm25_ranked(spark, sf, 50), bm25_ranked(spark, sf, 50, b=0.0), K_LEX)
+    # one index, two pruned exact rankings (with and without length normalisation)
+    prep = RV.bm25_prepare(read_table(spark, sf, "benchmark", "item_id", "text"),
+                           read_table(spark, sf, "documents", "doc_id", "text"))
+    a = RV.bm25_topk_prepared(prep, 50, b=RV.BM25_B)
+    b = RV.bm25_topk_prepared(prep, 50, b=0.0)
+    return RV.hybrid_rrf(a, b, K_LEX)
 
 
 CHUNK_SQL = """cw AS (SELECT doc_id, regexp_split_to_array(trim(text), '\\s+') AS words FROM documents),
