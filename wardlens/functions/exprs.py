@@ -108,3 +108,17 @@ def dot(a, b) -> Column:
     """Inner product of two equal-length float arrays."""
     return F.aggregate(F.zip_with(col_(a), col_(b), lambda x, y: x.cast("double") * y.cast("double")),
                        F.lit(0.0).cast("double"), lambda acc, v: acc + v)
+
+
+def day_bucket(ts, width_days: int) -> Column:
+    """Bucket of a timestamp's calendar day, ``width_days`` days wide."""
+    return F.floor(F.unix_date(F.to_date(col_(ts))) / F.lit(width_days)).cast("bigint")
+
+
+def window_buckets(lo_ts, days: int, width_days: int) -> Column:
+    """Every day bucket a window ``[lo, lo + days]`` touches (at most two when the
+    bucket width equals the window): exploded on the probing side of a range join,
+    so the equi-key becomes (entity, bucket) and only stays near in time meet."""
+    lo = F.unix_date(F.to_date(col_(lo_ts)))
+    return F.sequence(F.floor(lo / F.lit(width_days)).cast("bigint"),
+                      F.floor((lo + F.lit(days)) / F.lit(width_days)).cast("bigint"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import elapsed_hours, los_capped, midnights, normalise_name
+from ..functions.exprs import day_bucket, elapsed_hours, los_capped, midnights, normalise_name, window_buckets
 
 D = "double"
 
@@ -76,10 +76,12 @@ def ed_admission_rate(s: DataFrame, emergency: str, inpatient: str, start=None,
     """Share of ED visits followed, within ``within_days`` of their start, by an
     inpatient encounter of the same patient (a semi join on patient + time range)."""
     ed = scope(s, [emergency], start, end).select("id", "patient", "start_ts")
-    ip = scope(s, [inpatient]).select(F.col("patient").alias("p2"), F.col("start_ts").alias("s2"))
-    cond = ((ed.patient == ip.p2) & (ip.s2 >= ed.start_ts)
-            & (ip.s2 <= ed.start_ts + F.expr(f"INTERVAL {int(within_days)} DAYS")))
-    followed = ed.join(ip, cond, "left_semi").select("id").withColumn("f", F.lit(1))
+    ip = scope(s, [inpatient]).select(F.col("patient").alias("p2"), F.col("start_ts").alias("s2"),
+                                      day_bucket("start_ts", within_days).alias("b2"))
+    probe = ed.withColumn("b", F.explode(window_buckets("start_ts", within_days, within_days)))
+    cond = ((probe.patient == ip.p2) & (probe.b == ip.b2) & (ip.s2 >= probe.start_ts)
+            & (ip.s2 <= probe.start_ts + F.expr(f"INTERVAL {int(within_days)} DAYS")))
+    followed = probe.join(ip, cond, "left_semi").select("id").distinct().withColumn("f", F.lit(1))
     flagged = ed.join(followed, "id", "left")
     return flagged.agg(
         F.count("*").alias("n_ed_visits"),
@@ -195,13 +197,14 @@ def transfer_pairs(s: DataFrame, inpatient: str, gap_days: int = 1) -> DataFrame
     ``gap_days``: an equi join on patient plus a time-range residual."""
     a = with_flags(scope(s, [inpatient])).where("is_complete").select(
         F.col("id").alias("from_id"), F.col("patient"), F.col("organization").alias("from_org"),
-        F.col("stop_ts").alias("from_stop"))
+        F.col("stop_ts").alias("from_stop"), F.explode(window_buckets("stop_ts", gap_days, gap_days)).alias("b"))
     b = with_flags(scope(s, [inpatient])).where(~F.col("is_reversed")).select(
         F.col("id").alias("to_id"), F.col("patient").alias("p2"), F.col("organization").alias("to_org"),
-        F.col("start_ts").alias("to_start"))
-    cond = ((a.patient == b.p2) & (a.from_org != b.to_org) & (b.to_start >= a.from_stop)
+        F.col("start_ts").alias("to_start"), day_bucket("start_ts", gap_days).alias("b2"))
+    cond = ((a.patient == b.p2) & (a.b == b.b2) & (a.from_org != b.to_org) & (b.to_start >= a.from_stop)
             & (b.to_start <= a.from_stop + F.expr(f"INTERVAL {int(gap_days)} DAYS"))
             & (a.from_id != b.to_id))
+    # a pair lies in exactly one bucket of the target's start, so no duplicates arise
     return a.join(b, cond).select("from_id", "to_id", "patient", "from_org", "to_org")
 
 
@@ -260,15 +263,16 @@ def readmission_flags(s: DataFrame, inpatient: str, start: str, end: str, window
     fu = base.where(~F.col("is_reversed")).select(
         F.col("id").alias("fu_id"), F.col("patient").alias("fu_patient"),
         F.col("start_ts").alias("fu_start"), F.col("organization").alias("fu_org"),
-        F.col("cause").alias("fu_cause"))
-    e = idx.where("eligible")
-    cond = ((e.patient == fu.fu_patient) & (fu.fu_id != e.id) & (fu.fu_start > e.anchor_ts)
+        F.col("cause").alias("fu_cause"), day_bucket("start_ts", window_days).alias("fu_b"))
+    # equi-key (patient, day bucket): a patient's stays only meet follow-ups near in time
+    e = idx.where("eligible").withColumn("_b", F.explode(window_buckets("anchor_ts", window_days, window_days)))
+    cond = ((e.patient == fu.fu_patient) & (e._b == fu.fu_b) & (fu.fu_id != e.id) & (fu.fu_start > e.anchor_ts)
             & (fu.fu_start <= e.anchor_ts + F.expr(f"INTERVAL {int(window_days)} DAYS")))
     if same_facility:
         cond = cond & (fu.fu_org == e.organization)
     if same_cause:
         cond = cond & (fu.fu_cause == e.cause)
-    hit = e.join(fu, cond, "left_semi").select("id").withColumn("readmitted", F.lit(True))
+    hit = e.join(fu, cond, "left_semi").select("id").distinct().withColumn("readmitted", F.lit(True))
     return (idx.join(hit, "id", "left")
                .withColumn("readmitted", F.coalesce("readmitted", F.lit(False)) & F.col("eligible")))
 

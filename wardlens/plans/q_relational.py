@@ -150,11 +150,13 @@ FROM flagged e JOIN flagged fu ON fu.patient = e.patient AND fu.id <> e.id
  AND fu.start_ts > e.stop_ts AND fu.start_ts <= e.stop_ts + INTERVAL 30 DAY
 WHERE e.class = {IP} AND e.is_complete AND fu.class = {IP} AND NOT fu.is_reversed""")
 def q_join_range_followup(spark, sf):
+    from ..functions.exprs import day_bucket, window_buckets
     s = M.with_flags(B.stays(spark, sf, [B.INPATIENT]))
-    e = s.where("is_complete").select(F.col("id").alias("index_id"), "patient", F.col("stop_ts").alias("stop"))
+    e = s.where("is_complete").select(F.col("id").alias("index_id"), "patient", F.col("stop_ts").alias("stop"),
+                                      F.explode(window_buckets("stop_ts", 30, 30)).alias("b"))
     fu = s.where(~F.col("is_reversed")).select(F.col("id").alias("followup_id"), F.col("patient").alias("p2"),
-                                               F.col("start_ts").alias("s2"))
-    cond = ((e.patient == fu.p2) & (e.index_id != fu.followup_id) & (fu.s2 > e.stop)
+                                               F.col("start_ts").alias("s2"), day_bucket("start_ts", 30).alias("b2"))
+    cond = ((e.patient == fu.p2) & (e.b == fu.b2) & (e.index_id != fu.followup_id) & (fu.s2 > e.stop)
             & (fu.s2 <= e.stop + F.expr("INTERVAL 30 DAYS")))
     return e.join(fu, cond).select("index_id", "followup_id")
 
@@ -175,11 +177,15 @@ FROM flagged e JOIN flagged i ON i.patient = e.patient AND i.start_ts >= e.start
  AND i.start_ts <= e.start_ts + INTERVAL 1 DAY
 WHERE e.class = '{B.EMERGENCY}' AND i.class = {IP}""")
 def q_join_event_to_event(spark, sf):
+    from ..functions.exprs import day_bucket, window_buckets
     s = B.stays(spark, sf, [B.EMERGENCY, B.INPATIENT])
-    e = s.where(F.col("class") == B.EMERGENCY).select(F.col("id").alias("ed_id"), "patient", "start_ts")
+    e = s.where(F.col("class") == B.EMERGENCY).select(F.col("id").alias("ed_id"), "patient", "start_ts",
+                                                      F.explode(window_buckets("start_ts", 1, 1)).alias("b"))
     i = s.where(F.col("class") == B.INPATIENT).select(F.col("id").alias("inpatient_id"),
-                                                     F.col("patient").alias("p2"), F.col("start_ts").alias("s2"))
-    cond = (e.patient == i.p2) & (i.s2 >= e.start_ts) & (i.s2 <= e.start_ts + F.expr("INTERVAL 1 DAYS"))
+                                                     F.col("patient").alias("p2"), F.col("start_ts").alias("s2"),
+                                                     day_bucket("start_ts", 1).alias("b2"))
+    cond = ((e.patient == i.p2) & (e.b == i.b2) & (i.s2 >= e.start_ts)
+            & (i.s2 <= e.start_ts + F.expr("INTERVAL 1 DAYS")))
     return e.join(i, cond).select("ed_id", "inpatient_id")
 
 
