@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .relational import ranked_within  # noqa: F401
 from ..functions.exprs import CHUNK_OVERLAP, CHUNK_TOKENS, HYBRID_CANDIDATES, RRF_K, TOPK_MAX
 
 MAX_BROADCAST_QUERIES = 2_048   # query rows per broadcast block (x 10k-row Arrow batch)
@@ -159,23 +158,27 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, qid: str = "item_id",
 
 def bm25_prepare(queries: DataFrame, docs: DataFrame, qid: str = "item_id", did: str = "doc_id",
                  k1: float = BM25_K1) -> dict:
-    """Index the corpus and the queries once: postings of the query terms (stored),
-    query terms with idf, upper bound and rarity position (stored), corpus stats."""
+    """Index the corpus for the given queries once: postings of the query terms only
+    (tokens are filtered against the small query-term list before term frequencies
+    are aggregated, so the rest of the vocabulary is never aggregated), query terms
+    with idf, upper bound and rarity position, and the corpus stats."""
     from ..sources.files import materialise
-    post, _ = bm25_index(docs, did)
-    stats = post.groupBy("item_id").agg(F.max("doc_len").alias("doc_len")) \
-        .agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avgdl"))
-    n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
+    t = docs.select(F.col(did).alias("item_id"), tokens().alias("toks")) \
+        .withColumn("doc_len", F.size("toks")).where(F.col("doc_len") > 0)
+    # corpus stats: one bounded row, computed once and used as literals by every round
+    st = t.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avgdl")).first()
+    n_docs, avgdl = F.lit(int(st["n_docs"] or 0)), float(st["avgdl"] or 0.0)
     qt = queries.select(F.col(qid).alias("query_id"), F.explode(F.array_distinct(tokens())).alias("term"))
-    # postings of query terms only, stored once (every round reads them)
-    post_q = materialise(post.join(qt.select("term").distinct(), "term", "left_semi"), "bm25-postings")
+    terms = qt.select("term").distinct()
+    post_q = t.select("item_id", "doc_len", F.explode("toks").alias("term")) \
+        .join(terms, "term", "left_semi") \
+        .groupBy("term", "item_id", "doc_len").agg(F.count("*").alias("tf"))
+    post_q = materialise(post_q, "bm25-postings")
     df_t = post_q.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # query terms with idf, upper bound and rarity position; one small table, stored
     qtd = qt.join(df_t, "term").withColumn("idf", idf).withColumn("ub", F.col("idf") * (k1 + 1))
-    qtd = ranked_terms(qtd)
-    qtd = materialise(qtd, "bm25-query-terms")
-    return {"post_q": post_q, "qtd": qtd, "avgdl": avgdl}
+    qtd = materialise(ranked_terms(qtd), "bm25-query-terms")
+    return {"post_q": post_q, "qtd": qtd, "avgdl": F.lit(avgdl)}
 
 
 def bm25_topk_prepared(prep: dict, k: int, k1: float = BM25_K1, b: float = BM25_B,

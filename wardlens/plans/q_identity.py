@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import identity as I
-from ..operators import quality as Q
 from ..sources.tables import DRIVER_TABLES, TABLE_NAMES, read_table
 from . import bindings as B
 from .q_quality import MESSY
@@ -136,8 +135,9 @@ SELECT coalesce(b.table_name, a.table_name) AS table_name, b.row_count AS rows_b
 FROM bef b FULL JOIN aft a ON b.table_name = a.table_name""")
 def q_snapshot_diff(spark, sf):
     """Digests of the warehouse snapshot before and after the injections."""
+    from .q_quality import injected
     base = B.warehouse(spark, sf)
-    after, _, _ = Q.messify(base, B.recipe())
+    after, _, _ = injected(spark, sf)
     names = ("encounters", "organizations", "payers")
     bd = I.table_digests({n: getattr(base, n) for n in names})
     ad = I.table_digests({n: getattr(after, n) for n in names})

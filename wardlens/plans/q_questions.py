@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..operators import questions as QS
-from ..operators import quality as Q
 from . import bindings as B
 from .q_quality import MESSY
 from .registry import query
@@ -14,7 +13,8 @@ P0, P1 = f"TIMESTAMP '{B.PERIOD_START}'", f"TIMESTAMP '{B.PERIOD_END}'"
 
 
 def _wh(spark, sf):
-    wh, _, _ = Q.messify(B.warehouse(spark, sf), B.recipe())
+    from .q_quality import injected
+    wh, _, _ = injected(spark, sf)
     return wh
 
 
