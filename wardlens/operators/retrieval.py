@@ -204,7 +204,7 @@ def bm25_topk_prepared(prep: dict, k: int, k1: float = BM25_K1, b: float = BM25_
             .select("query_id", "item_id").distinct()
         full = cand.join(qtd.select("query_id", "term", "idf"), "query_id") \
             .join(post_q, ["term", "item_id"]).groupBy("query_id", "item_id").agg(F.sum(contrib).alias("score"))
-        return materialise(rank_topk(full, k), "bm25-round")
+        return rank_topk(full, k)
 
     # round 1: the few rarest terms give a lower bound theta on each k-th best score
     m1 = n_terms.select("query_id", F.least(F.lit(first_terms), F.col("n_terms")).alias("m"))
@@ -216,7 +216,7 @@ def bm25_topk_prepared(prep: dict, k: int, k1: float = BM25_K1, b: float = BM25_
     m_need = ok.groupBy("query_id").agg(F.min("pos").alias("m_ok"))
     plan = n_terms.join(m1.withColumnRenamed("m", "m1"), "query_id").join(m_need, "query_id", "left") \
         .withColumn("m", F.coalesce("m_ok", "n_terms"))
-    plan = materialise(plan, "bm25-plan")
+    plan = plan.cache()   # tiny (one row per query), read twice below
     settled = plan.where(F.col("m") <= F.col("m1")).select("query_id")
     # round 2, only for queries that need more terms: exact by construction
     m2 = plan.where(F.col("m") > F.col("m1")).select("query_id", "m")
