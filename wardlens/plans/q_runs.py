@@ -122,7 +122,9 @@ def q_call_cost(spark, sf):
                         cum_col="input_tokens")
     calls = cum.select(F.col("conv_id").alias("run_id"), "turn", F.col("role").alias("speaker"),
                        F.col("input_tokens").cast("bigint").alias("input_tokens"),
-                       F.col("tok").alias("output_tokens"), F.lit("synthesizer").alias("role")) \
+                       F.col("tok").alias("output_tokens"),
+                       # model role of the call: assistant turns are synthesizer calls
+                       F.when(F.col("role") == "assistant", "synthesizer").alias("role")) \
         .where(F.col("speaker") == "assistant")
     prices = spark.createDataFrame(PRICES, "role string, price_in double, price_out double")
     return R.call_cost(calls, prices).select("run_id", "turn", "input_tokens", "output_tokens", "cost_usd")
