@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, license_scan, nearest, packing
+from . import exact_dedup, html_extract, language_id, license_scan, nearest, packing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
+    "op5_html_extract": lambda spark, d: html_extract.extract(table(spark, d, "pages")),
     "op7_language_id": lambda spark, d: language_id.language_id(table(spark, d, "documents")),
     "op8_license_scan": lambda spark, d: license_scan.license_scan(table(spark, d, "documents")),
     "op9_packing": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
