@@ -128,7 +128,8 @@ def _same_as_smallest(rows: DataFrame, members: DataFrame) -> DataFrame:
     group = ["f1", "f2", "n_bytes"]
     first = members.groupBy(*group).agg(F.min("id").alias("id"))
     first = members.join(first, [*group, "id"]).groupBy(*group, "id").agg(F.min("tkey").alias("tkey"))
-    texts = rows.withColumn("tkey", text_key()).join(members.select("id", "tkey"), ["id", "tkey"], "left_semi")
+    # always by sorting: texts are as large as the corpus, and so may their copies be
+    texts = rows.withColumn("tkey", text_key()).join(members.select("id", "tkey").hint("merge"), ["id", "tkey"], "left_semi")
     chunks = texts.select("id", "tkey", "text").mapInArrow(_chunks, _ddl(BYTES))
     keyed = chunks.join(members, ["id", "tkey"])
     mine = keyed.select(*group, "chunk_no", "id", "tkey", "chunk")
