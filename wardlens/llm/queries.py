@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, language_id, license_scan, nearest, packing
+from . import exact_dedup, html_extract, language_id, license_scan, line_dedup, mixing, nearest, packing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": lambda spark, d: line_dedup.query(table(spark, d, "documents")),
     "op3_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
     "op5_html_extract": lambda spark, d: html_extract.extract(table(spark, d, "pages")),
+    "op6_mixing": lambda spark, d: mixing.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_language_id": lambda spark, d: language_id.language_id(table(spark, d, "documents")),
     "op8_license_scan": lambda spark, d: license_scan.license_scan(table(spark, d, "documents")),
     "op9_packing": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
@@ -19,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op3_exact_dedup": r"""
         WITH k AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
