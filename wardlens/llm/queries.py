@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, language_id, license_scan, line_dedup, mixing, nearest, packing
+from . import exact_dedup, html_extract, jaccard_join, language_id, license_scan, line_dedup, mixing, nearest, packing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": lambda spark, d: line_dedup.query(table(spark, d, "documents")),
     "op3_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
+    "op4_jaccard_join": lambda spark, d: jaccard_join.jaccard_join(table(spark, d, "documents")),
     "op5_html_extract": lambda spark, d: html_extract.extract(table(spark, d, "pages")),
     "op6_mixing": lambda spark, d: mixing.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_language_id": lambda spark, d: language_id.language_id(table(spark, d, "documents")),
