@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, jaccard_join, language_id, license_scan, line_dedup, mixing, nearest, packing
+from . import exact_dedup, html_extract, jaccard_join, language_id, license_scan, line_dedup, mixing, nearest, packing, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": lambda spark, d: suffix_dedup.suffix_dedup(table(spark, d, "documents")),
     "op2_line_dedup": lambda spark, d: line_dedup.query(table(spark, d, "documents")),
     "op3_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
     "op4_jaccard_join": lambda spark, d: jaccard_join.jaccard_join(table(spark, d, "documents")),

@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and its inverse for i < n, modulo 2^64."""
-    size = 1 << max(n - 1, 1).bit_length()
+    size = 1 << max(int(n) - 1, 1).bit_length()
     if size not in _POWERS:
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
         up, down = np.full(size, BASE), np.full(size, inverse)
