@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +38,21 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes
+    for themselves, the others for code points from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordTokenizer:
     """Ids of whole texts.  Texts of plain Latin letters are cut at white space, where the
     vocabulary always ends a token, and the ids of each word are looked up; any other
     text goes to the tokenizer as it is.  Both ways give the tokenizer's ids."""
 
     # the vocabulary's word pattern, for the characters that OTHER leaves
-    WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+    PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
     OTHER = re.compile("[^\t-\r -~À-įı-ɏ]")
 
     def __init__(self, path: str):
@@ -51,43 +60,46 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True       # their names in a text are text
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.end = np.array([END_ID], "<u4").tobytes()
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}                 # of late
         self.older: dict[str, bytes] = {}
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Of each text the little-endian unsigned 32-bit ids, the closing one included."""
-        words = [None if self.OTHER.search(t) else t.lower().split() for t in texts]
-        self._learn(set().union(*filter(None, words)))
-        find = self.words.__getitem__
-        return [(self._encode(t).tobytes() if ws is None else b"".join(map(find, ws))) + self.end
-                for t, ws in zip(texts, words)]
-
-    def _learn(self, wanted: set[str]) -> None:
-        """All wanted words are known then; those not wanted of late are forgotten."""
-        if len(self.words) > CACHE_WORDS:
+    def _word(self, word: str) -> bytes:
+        known = self.older.get(word)
+        if known is None:
+            ids = []
+            for part in self.PART.findall(word):
+                if not part.isascii():
+                    part = part.encode().decode("latin-1").translate(self.letters)
+                ids.extend(t.id for t in self.model.tokenize(part))
+            known = np.array(ids, "<u4").tobytes()
+        self.words[word] = known
+        return known
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, the closing one included."""
+        if len(self.words) > CACHE_WORDS:                 # words not met of late are forgotten
             self.words, self.older = {}, self.words
-        missing = wanted.difference(self.words)
-        known = {w for w in missing if w in self.older}
-        self.words.update((w, self.older[w]) for w in known)
-        missing = list(missing - known)
-        for lo in range(0, len(missing), 2000):
-            part = missing[lo:lo + 2000]
-            ids = self._encode(" ".join(part))
-            ends = np.flatnonzero(self.last[ids]) + 1     # of parts; a word may have several
-            parts = np.cumsum([len(self.WORD.findall(w)) for w in part])
-            if len(ends) != parts[-1]:
-                raise ValueError("the word pattern does not fit this tokenizer")
-            raw, at = ids.tobytes(), 0
-            for w, e in zip(part, (ends[parts - 1] * 4).tolist()):
-                self.words[w] = raw[at:e]
-                at = e
+        other = [bool(self.OTHER.search(t)) for t in texts]
+        plain = pa.array(["" if o else t for t, o in zip(texts, other)], pa.large_string())
+        split = pc.utf8_split_whitespace(pc.utf8_lower(plain))
+        coded = split.values.dictionary_encode()
+        find = self.words.get
+        raw = [find(w) or self._word(w) for w in coded.dictionary.to_pylist()]
+        raw.append(np.array([END_ID], "<u4").tobytes())
+        flat = np.frombuffer(b"".join(raw), "<u4")
+        sizes = np.array([len(r) >> 2 for r in raw])
+        starts = np.cumsum(sizes) - sizes
+        # the closing id goes after the last word of each text
+        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        word = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(raw) - 1)
+        n = sizes[word]
+        upto = np.cumsum(n)
+        out = flat[np.repeat(starts[word] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        at = [0, *upto[ends + np.arange(len(ends))].tolist()]
+        return [np.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4"), np.uint32(END_ID)).astype("<u4")
+                if o else out[lo:hi] for t, o, lo, hi in zip(texts, other, at, at[1:])]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -186,11 +198,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
         shard = group.column("shard")[0].as_py()
         group = group.sort_by([("id", "ascending"), ("tkey", "ascending")])
         own = tokenizer(path)
-        raw = own.ids(group.column("text").to_pylist())
+        tokens = own.ids(group.column("text").to_pylist())
         ids = group.column("id").to_pylist()
-        pieces = pack([np.frombuffer(r, "<u4") for r in raw], window)
-        rows = [(ids[i], s, n, zlib.crc32(memoryview(raw[i])[4 * s:4 * (s + n)]), len(raw[i]) // 4, (shard << 32) + seq, at)
-                for i, s, n, seq, at in pieces]
+        rows = [(ids[i], s, n, zlib.crc32(np.ascontiguousarray(tokens[i][s:s + n])), len(tokens[i]), (shard << 32) + seq, at)
+                for i, s, n, seq, at in pack(tokens, window)]
         return pa.Table.from_batches([record(PIECE, *([r[j] for r in rows] for j in range(7)))])
 
     return keyed.groupBy("shard").applyInArrow(run, PIECE_DDL).select(as_doc_id().alias("doc_id"), "start", "length", "ids_crc32",
