@@ -32,7 +32,8 @@ SEED = 20_11
 
 ROW = pa.schema([("tbl", pa.int32()), ("key", pa.int64()), ("kind", pa.int32()), ("id", pa.int64()), ("vec", pa.binary())])
 ROW_DDL = "tbl int, key long, kind int, id long, vec binary"
-HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+FOUND = pa.schema([("query_id", pa.int64()), ("ids", pa.binary()), ("scores", pa.binary())])
+HIT = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
@@ -159,19 +160,53 @@ def _ranked(k: int):
                         score(queries, ids, data)
                         ids, data = [], []
         score(queries, ids, data)
-        for qid, (s, v) in best.items():
-            yield record(HIT, [qid] * len(s), v, s)
+        done = list(best.items())
+        for lo in range(0, len(done), 4096):
+            part = done[lo:lo + 4096]
+            yield record(FOUND, [q for q, _ in part], [v.tobytes() for _, (_, v) in part], [s.tobytes() for _, (s, _) in part])
+    return run
+
+
+def _best_of(k: int):
+    """Rows sorted by query, one a partition that scored it: the k best of each query."""
+    def top(qid, ids, scores):
+        v, first = np.unique(np.frombuffer(b"".join(ids), np.int64), return_index=True)
+        s = np.frombuffer(b"".join(scores))[first]
+        order = np.lexsort((v, -s))[:k]
+        return record(HIT, [qid] * len(order), list(range(1, len(order) + 1)), v[order], s[order])
+
+    def run(batches):
+        query, ids, scores = None, [], []
+        for b in batches:
+            for qid, v, s in zip(*(b.column(c).to_pylist() for c in ("query_id", "ids", "scores"))):
+                if qid != query and ids:
+                    yield top(query, ids, scores)
+                    ids, scores = [], []
+                query = qid
+                ids.append(v)
+                scores.append(s)
+        if ids:
+            yield top(query, ids, scores)
     return run
 
 
 def _merge(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     """index, probes: (tbl, key, salt, kind, id, vec).  The k best of each query."""
-    hits = (index.unionByName(probes).repartition("tbl", "key", "salt")
+    return (index.unionByName(probes).repartition("tbl", "key", "salt")
             .sortWithinPartitions("tbl", "key", "salt", "kind")
-            .mapInArrow(_ranked(k), "query_id long, vec_id long, score double")
-            .groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .mapInArrow(_ranked(k), "query_id long, ids binary, scores binary")
+            .repartition("query_id").sortWithinPartitions("query_id")
+            .mapInArrow(_best_of(k), "query_id long, rank int, vec_id long, score double"))
+
+
+def _packed(rows: DataFrame, kind: int) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            raw = [np.array(v, float).tobytes() for v in b.column("embedding").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("tbl"), b.column("key"), b.column("salt"), pa.array([kind] * len(b), pa.int32()), b.column("id"),
+                 pa.array(raw, pa.binary())], ["tbl", "key", "salt", "kind", "id", "vec"])
+    return rows.select("tbl", "key", "salt", "id", "embedding").mapInArrow(run, "tbl int, key long, salt int, kind int, id long, vec binary")
 
 
 def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
@@ -214,14 +249,4 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, probes: int =
         all_rows = data.select(F.col("vec_id").alias("id"), vec, *as_row).join(dims, "key").withColumn("salt", spread)
         full = _merge(_packed(all_rows, 1), _packed(probes_all, 0), k)
         result = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(full)
-    return result.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _packed(rows: DataFrame, kind: int) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            raw = [np.array(v, float).tobytes() for v in b.column("embedding").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("tbl"), b.column("key"), b.column("salt"), pa.array([kind] * len(b), pa.int32()), b.column("id"),
-                 pa.array(raw, pa.binary())], ["tbl", "key", "salt", "kind", "id", "vec"])
-    return rows.select("tbl", "key", "salt", "id", "embedding").mapInArrow(run, "tbl int, key long, salt int, kind int, id long, vec binary")
+    return result.select("query_id", "rank", "vec_id", "score")
