@@ -35,6 +35,16 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(text)
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns _id and _tkey of ``doc_rows`` and ``text_key``."""
+    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))) \
+        .withColumn("_tkey", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def own_columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def as_doc_id(col: str = "id") -> Column:
     return F.when(F.col(col) != NO_ID, F.col(col))
 

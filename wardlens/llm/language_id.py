@@ -3,8 +3,8 @@
 A text becomes a normalised TF-IDF vector of hashed letter n-grams.  Each language has
 several centroids, clustered by spherical k-means from a bounded sample of labelled
 texts; the language of the closest centroid by cosine wins.  A text is rejected when it
-has no letter, or lies further from its centroid than ``slack`` times the distance of
-the language's farthest training text.
+has no letter, or is much further from its centroid than the language's farthest
+training text (``SLACK``): short texts are far by nature, and stay.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ DIMS = 4096                  # hashed n-gram space
 SAMPLE_PER_LANG = 2000       # labelled texts per language to learn from, on average
 CENTROIDS = 4                # per language
 ROUNDS = 8                   # of k-means
+SLACK = 0.25                 # a text is too far with less than this part of the cosine of the farthest training text
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
@@ -28,7 +29,7 @@ NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 VECTOR = pa.schema([("lang", pa.string()), ("order", pa.int64()), ("vec", pa.binary())])
 CENTROID = pa.schema([("lang", pa.string()), ("c", pa.int32()), ("reach", pa.float64()), ("vec", pa.binary())])
 LABEL = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()),
-                   ("score", pa.float64()), ("rejected", pa.bool_()), ("tkey", pa.int64())])
+                   ("score", pa.float64()), ("rejected", pa.bool_())])
 
 
 def _prepared(texts: pa.Array) -> pa.Array:
@@ -131,30 +132,51 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, k: int = CENTROIDS):
     return [r["lang"] for r in found], centroids, np.array([r["reach"] for r in found]), idf
 
 
-def predict(docs: DataFrame, model, slack: float = 1.02) -> DataFrame:
+def _labels(texts: pa.Array, model, slack: float):
+    """(language, score, rejected) arrays of the texts."""
     langs, centroids, reach, idf = model
-    shared = docs.sparkSession.sparkContext.broadcast((langs, centroids, reach, idf))   # CENTROIDS x DIMS a language
+    n = len(texts)
+    lettered = np.array([bool(LETTER.search(t.decode("utf-8", "replace"))) for t in strings_of(texts.fill_null(""))], bool)
+    score, pred, out = np.zeros(n), [UNKNOWN] * n, np.ones(n, bool)
+    if langs:
+        for lo, hi, m in counts(_prepared(texts.fill_null(""))):
+            cos = _vectors(m, idf) @ centroids.T
+            near = cos.argmax(axis=1)
+            score[lo:hi] = cos[np.arange(hi - lo), near].clip(0, 1)
+            out[lo:hi] = score[lo:hi] < slack * (1 - reach[near])
+            for i, j in enumerate(near):
+                pred[lo + i] = langs[j]
+    score[~lettered], out[~lettered] = 0, True
+    return [p if ok else UNKNOWN for p, ok in zip(pred, lettered)], score, out
+
+
+def predict(docs: DataFrame, model, slack: float = SLACK) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model)       # CENTROIDS x DIMS a language
 
     def label(batches):
-        langs, centroids, reach, idf = shared.value
         for b in batches:
-            lettered = np.array([bool(LETTER.search(t.decode("utf-8", "replace"))) for t in strings_of(b.column("text"))], bool)
-            score, pred, out = np.zeros(len(b)), [UNKNOWN] * len(b), np.ones(len(b), bool)
-            if langs:
-                for lo, hi, m in counts(_prepared(b.column("text"))):
-                    cos = _vectors(m, idf) @ centroids.T
-                    near = cos.argmax(axis=1)
-                    score[lo:hi] = cos[np.arange(hi - lo), near].clip(0, 1)
-                    out[lo:hi] = 1 - score[lo:hi] > np.minimum(reach[near] * slack, 1 - 1e-9)
-                    for i, j in enumerate(near):
-                        pred[lo + i] = langs[j]
-            score[~lettered], out[~lettered] = 0, True
-            pred = [p if ok else UNKNOWN for p, ok in zip(pred, lettered)]
-            yield record(LABEL, b.column("id"), b.column("held_out"), pred, score, out, b.column("tkey"))
+            yield record(LABEL, b.column("id"), b.column("held_out"), *_labels(b.column("text"), shared.value, slack))
 
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 0"), F.lit(True))
-    rows = doc_rows(docs, held.alias("held_out")).withColumn("tkey", text_key())
-    return rows.mapInArrow(label, "id long, held_out boolean, lang_pred string, score double, rejected boolean, tkey long")
+    return doc_rows(docs, held.alias("held_out")) \
+        .mapInArrow(label, "id long, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def keep_known(docs: DataFrame, slack: float = SLACK) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, as they are; it learns from ``docs``.
+    If no row is labelled there is nothing to compare with, and lettered texts stay."""
+    small_batches(docs.sparkSession)
+    model = fit(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for b in batches:
+            pred, _, out = _labels(b.column(b.schema.names.index("text")), shared.value, slack)
+            if not shared.value[0]:
+                out = np.array([not LETTER.search((t or "")) for t in b.column(b.schema.names.index("text")).to_pylist()], bool)
+            yield b.filter(pa.array(~out))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_rows, store, text_key
+from .common import doc_rows, store, text_key, with_key
 
 DEPTH = 3
 MIN_DOCS = 10
@@ -92,9 +92,7 @@ def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, si
     lines = store(candidate_lines(rows, depth, min_docs).distinct(), "op2-lines")
     drop = recurring(lines, min_docs, similarity).groupBy("id", "tkey").agg(F.collect_set("pos").alias("_drop"))
     drop = store(drop.select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), "_drop"), "op2-drop")
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))) \
-        .withColumn("_tkey", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = keyed.join(drop.hint("merge"), ["_id", "_tkey"], "left")
+    out = with_key(docs).join(drop.hint("merge"), ["_id", "_tkey"], "left")
     kept = F.expr(f"array_join(filter({LINES}, (l, i) -> not array_contains(_drop, i)), '\\n')")
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)
     total = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.expr(LINES))).cast("long")
@@ -103,6 +101,15 @@ def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, si
                       F.greatest(F.size("_drop"), F.lit(0)).cast("long").alias("lines_dropped"))
 
 
+def without_recurring(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the columns as they are; n_chars, if there, is that of the
+    text left."""
+    out = line_dedup(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[c for c in docs.columns])
+
+
 def query(docs: DataFrame) -> DataFrame:
     out = line_dedup(docs.select("doc_id", "text"))
     return out.select("doc_id", "lines_total", "lines_dropped", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_doc_id, doc_rows, store, text_key
+from .common import as_doc_id, doc_rows, own_columns, store, text_key, with_key
 
 DOMAINS = ("clean", "low", "toxic")
 DOMAIN_OF = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low' ELSE 'clean' END"
@@ -106,16 +106,19 @@ def posteriors(docs: DataFrame, fitted) -> DataFrame:
     return found.select("id", "tkey", "n_tokens", "n_rows", *[(o / whole).alias(f"p_{d}") for o, d in zip(odds, DOMAINS)])
 
 
-def rate(steps: list[list[float]]) -> Column:
-    """The rate after ``steps``: from 1, each step down the gradient and up to 0 at least."""
+def rate(steps: list[list[float]], most: float | None = None) -> Column:
+    """The rate after ``steps``: from 1, each step down the gradient and back to 0 at least
+    (and ``most`` at most)."""
     r: Column = F.lit(1.0)
     for s in steps:
         move = sum((F.col(f"p_{d}") * F.lit(x) for d, x in zip(DOMAINS, s)), F.lit(0.0))
         r = F.greatest(F.lit(0.0), r - move)
+        r = r if most is None else F.least(F.lit(float(most)), r)
     return r
 
 
-def fit_rates(members: DataFrame, weights=None, repeat: float = REPEAT, rounds: int = ROUNDS) -> tuple[list[list[float]], list[float]]:
+def fit_rates(members: DataFrame, weights=None, repeat: float = REPEAT, rounds: int = ROUNDS,
+              most: float | None = None) -> tuple[list[list[float]], list[float]]:
     """(steps, targets): the gradient steps whose fold gives every document's rate."""
     weights = weights or WEIGHTS
     def totals(r: Column) -> list[float]:
@@ -132,13 +135,13 @@ def fit_rates(members: DataFrame, weights=None, repeat: float = REPEAT, rounds:
     for _ in range(rounds):
         residual = [(x - t) / h if h > 0 else 0.0 for x, t, h in zip(now, targets, have)]
         steps.append(residual)
-        before, now = now, totals(rate(steps))
+        before, now = now, totals(rate(steps, most))
         if all(abs(x - y) <= CLOSE * h for x, y, h in zip(before, now, have)):
             break
     return steps, targets
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, weights=None, repeat: float = REPEAT) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, weights=None, repeat: float = REPEAT, most: float | None = None) -> DataFrame:
     """Per different document: id, tkey, n_tokens, n_rows, p_<domain>..., rate, copies.
 
     ``copies`` is the rate rounded up or down by a hash of the row, in proportion, so the
@@ -147,19 +150,19 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights=None, repeat: float
     as they stand; without labels every posterior is the same; an empty table gives an
     empty result."""
     members = store(posteriors(docs, fit(docs, labels)), "op6-members")
-    steps, _ = fit_rates(members, weights, repeat)
+    steps, _ = fit_rates(members, weights, repeat, most=most)
     chance = F.pmod(F.xxhash64("id", "tkey", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return members.withColumn("rate", rate(steps)).withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
+    return members.withColumn("rate", rate(steps, most)).withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights=None, repeat: float = REPEAT) -> DataFrame:
-    """The rows of ``docs``, each as often as its rate says (not at all, once or more)."""
-    rates = mixing_rates(docs, labels, weights, repeat).select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), F.col("copies").alias("_copies"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))) \
-        .withColumn("_tkey", F.xxhash64(F.coalesce("text", F.lit(""))))
+def mix(docs: DataFrame, labels: DataFrame, weights=None, repeat: float = REPEAT, most: float | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as its rate says (not at all, once or more; with
+    ``most`` = 1 never twice)."""
+    rates = mixing_rates(docs, labels, weights, repeat, most).where("copies > 0") \
+        .select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), F.col("copies").alias("_copies"))
     # always by sorting: rates are as many as documents
-    return keyed.join(rates.where("_copies > 0").hint("merge"), ["_id", "_tkey"]) \
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_key(docs).join(rates.hint("merge"), ["_id", "_tkey"]) \
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*own_columns(docs))
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
