@@ -22,7 +22,7 @@ DEPTH = 3
 MIN_DOCS = 10
 SIMILARITY = 0.8
 FIELD = "<*>"
-BLANKS = "[ \\t\\x0B\\f\\r]+"
+BLANKS = r"[ \\t\\x0B\\f\\r]+"       # as a SQL literal
 
 LINES = "split(text, '\\n')"
 TOKENS = f"filter(split(line, '{BLANKS}'), t -> t != '')"
@@ -92,22 +92,22 @@ def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, si
     lines = store(candidate_lines(rows, depth, min_docs).distinct(), "op2-lines")
     drop = recurring(lines, min_docs, similarity).groupBy("id", "tkey").agg(F.collect_set("pos").alias("_drop"))
     drop = store(drop.select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), "_drop"), "op2-drop")
-    out = with_key(docs).join(drop.hint("merge"), ["_id", "_tkey"], "left")
+    out = with_key(docs).join(drop.hint("merge"), ["_id", "_tkey"], "left").withColumn("text", F.col("doc.text"))
     kept = F.expr(f"array_join(filter({LINES}, (l, i) -> not array_contains(_drop, i)), '\\n')")
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)
     total = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.expr(LINES))).cast("long")
     names = [c for c in docs.columns if c not in ("lines_total", "lines_dropped")]
-    return out.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], total.alias("lines_total"),
+    return out.select(*[text.alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in names], total.alias("lines_total"),
                       F.greatest(F.size("_drop"), F.lit(0)).cast("long").alias("lines_dropped"))
 
 
 def without_recurring(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the columns as they are; n_chars, if there, is that of the
-    text left."""
+    """The rows and columns of ``docs``; n_chars, if there, is that of the text left (and two
+    columns named like the counts hold these)."""
     out = line_dedup(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[c for c in docs.columns])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:
