@@ -26,7 +26,7 @@ from .common import BATCH_ROWS, record, store
 
 K = 20
 EVERY = 20
-TABLES, HASHES, WIDTH, PROBES = 4, 5, 2.0, 30
+TABLES, HASHES, WIDTH, PROBES = 4, 5, 2.0, 40
 BLOCK = 4096
 SEED = 20_11
 
