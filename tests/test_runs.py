@@ -27,16 +27,41 @@ def test_summary_rules(spark):
     o = R.trajectory_order(R.span_steps(spans(spark, rows)))
     order = [r["span_id"] for r in o.orderBy("step_no").collect()]
     assert order == ["root", "s1", "s2", "s3", "s4", "s5"]
-    s = R.run_summary(o).collect()[0]
+    s = R.run_summary(R.span_steps(spans(spark, rows))).collect()[0]
     assert s["steps"] == 4 and s["tool_calls"] == 3 and s["validation_failures"] == 1
     assert s["repeated_calls"] == 1 and s["max_bundle"] == 640
     assert abs(s["cost_usd"] - 0.03) < 1e-12                     # root total not counted twice
     depth = {r["span_id"]: r["depth"] for r in R.span_tree(R.span_steps(spans(spark, rows))).collect()}
     assert depth["root"] == 0 and depth["s1"] == 1
-    calls = [r["tool"] for r in R.tool_calls(o).orderBy("call_no").collect()]
+    calls = [r["tool"] for r in R.tool_calls(R.span_steps(spans(spark, rows))).orderBy("call_no").collect()]
     assert calls == ["run_sql", "run_sql", "search"]
 
 
+def test_any_step_with_a_tool_counts(spark):
+    rows = [("n1", None, "node", 1, "search", "h", 0.02, None, None), ("n2", None, "node", 2, "search", "h", 0.0, None, None),
+            ("n3", None, "tool.call", 3, "search", None, 0.0, None, None), ("r", None, "run", 0, None, None, 0.02, None, None)]
+    steps = R.span_steps(spans(spark, rows))
+    s = R.run_summary(steps).collect()[0]
+    assert (s["tool_calls"], s["repeated_calls"], s["cost_usd"]) == (3, 1, 0.02)     # all parents missing
+    assert [r["span_id"] for r in R.repeated_calls(steps).collect()] == ["n2"]
+
+
+def test_deep_chains_and_cycles(spark):
+    import pytest
+    chain = [(f"s{i}", f"s{i - 1}" if i else None, "node", i, None, None, 0.0, None, None) for i in range(31)]
+    depth = {r["span_id"]: r["depth"] for r in R.span_tree(R.span_steps(spans(spark, chain))).collect()}
+    assert depth == {f"s{i}": i for i in range(31)}
+    loop = [("a", "b", "node", 0, None, None, 0.0, None, None), ("b", "a", "node", 1, None, None, 0.0, None, None)]
+    with pytest.raises(ValueError):
+        R.span_tree(R.span_steps(spans(spark, loop)))
+
+
+def test_totals_take_one_shuffle(spark):
+    rows = [("a", None, "node", 1, "t", "h", 0.1, True, 3)]
+    plan = R.run_totals(R.span_steps(spans(spark, rows)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_task_success_rules(spark):
     answers = spark.createDataFrame([("a", "t1", 133.0), ("b", "t1", 145.0), ("c", "t1", None), ("d", "t2", 5.0)],
                                     "run_id string, task_id string, produced double")

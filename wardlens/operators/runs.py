@@ -18,11 +18,13 @@ from .relational import ranked_within, repeats_in_previous
 
 # Fixed values of the scoring rules.
 STEP_SPANS = ("node", "tool.call")          # spans that count as steps
+ROOT_SPAN = "run"
 TASK_SUCCESS_FLOOR = 1.0
 TARGET_FLOORS = (("task_success", ">=", 0.85), ("tool_accuracy", ">=", 0.90),
                  ("efficiency", "<=", 1.5), ("loop_rate", "<=", 0.0), ("recovery_rate", ">=", 0.70))
 CONFIDENCE_NEEDS_ASSUMPTIONS = 0.8
-REQUIRED_ATTRIBUTES = ("tool.name", "tool.args_hash", "cost.usd", "agent.role")
+REQUIRED_ATTRIBUTES = ("subtask.id", "agent.role", "tool.name", "tool.args_hash", "context.bundle_tokens", "result_ref",
+                       "cost.usd", "model.id", "validation.passed", "cassette.mode")
 
 
 def span_steps(spans: DataFrame) -> DataFrame:
@@ -49,49 +51,63 @@ def trajectory_order(steps: DataFrame) -> DataFrame:
     return ranked_within(steps, ["run_id"], ["start_ns", "span_id"], rank_col="step_no")
 
 
-def span_tree(steps: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Depth of every span below its run's root by bounded parent look-ups
-    (each level one equi-join on (run_id, span_id))."""
-    parents = steps.select(F.col("run_id").alias("p_run"), F.col("span_id").alias("p_id"),
-                           F.col("parent_span_id").alias("p_parent"))
-    cur = steps.select("run_id", "span_id", F.col("parent_span_id").alias("anc"), F.lit(0).alias("depth"))
-    for _ in range(max_depth):
-        j = cur.join(parents, (F.col("run_id") == F.col("p_run")) & (F.col("anc") == F.col("p_id")), "left")
-        cur = j.select("run_id", "span_id",
-                       F.col("p_parent").alias("anc"),
-                       (F.col("depth") + F.when(F.col("anc").isNotNull(), 1).otherwise(0)).alias("depth"))
+def span_tree(steps: DataFrame) -> DataFrame:
+    """Depth of every span below its run's root.  Each round doubles the distance that a
+    span looks up (one equi-join on (run_id, span_id)), so a chain of any length takes
+    log2 of it; a parent that is not in the run counts as one step.  A cycle never comes
+    to an end and is an error."""
+    from ..sources.files import materialise
+    cur = materialise(steps.select("run_id", "span_id", F.col("parent_span_id").alias("anc"),
+                                   F.col("parent_span_id").isNotNull().cast("int").alias("depth")), "span-tree")
+    rounds = max(cur.count(), 1).bit_length() + 1
+    while not cur.where(F.col("anc").isNotNull()).isEmpty():
+        if rounds == 0:
+            raise ValueError("the parents of some spans form a cycle")
+        rounds -= 1
+        up = cur.select("run_id", F.col("span_id").alias("anc"), F.col("anc").alias("next"), F.col("depth").alias("more"))
+        cur = materialise(cur.join(up, ["run_id", "anc"], "left").select(
+            "run_id", "span_id", F.col("next").alias("anc"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "span-tree")
     return cur.select("run_id", "span_id", "depth")
 
 
-def tool_calls(ordered: DataFrame) -> DataFrame:
-    """The run's tool calls in step order, one row each (never collected into a list)."""
-    t = ordered.where((F.col("name") == "tool.call") & F.col("tool").isNotNull() & (F.col("tool") != ""))
-    return ranked_within(t.select("run_id", "step_no", "tool"), ["run_id"], ["step_no"], rank_col="call_no") \
-        .select("run_id", "call_no", "tool")
+def uses_tool() -> F.Column:
+    """A step of any kind that names a tool."""
+    return F.coalesce(F.col("tool") != "", F.lit(False))
 
 
-def with_repeat_flag(ordered: DataFrame) -> DataFrame:
-    """Flag every tool call after the first with the same (tool, args hash) in its run."""
-    eligible = ((F.col("name") == "tool.call") & F.coalesce(F.col("tool") != "", F.lit(False))
-                & F.coalesce(F.col("args_hash") != "", F.lit(False)))
-    x = ordered.withColumn("_elig", eligible)
-    r = ranked_within(x.where("_elig"), ["run_id", "tool", "args_hash"], ["step_no"], rank_col="_occ")
-    rest = x.where(~F.col("_elig")).withColumn("_occ", F.lit(1))
-    return r.unionByName(rest).withColumn("is_repeat", F.col("_elig") & (F.col("_occ") > 1)).drop("_elig", "_occ")
+def repeatable() -> F.Column:
+    return uses_tool() & F.coalesce(F.col("args_hash") != "", F.lit(False))
 
 
-def run_summary(ordered: DataFrame) -> DataFrame:
-    """Steps, tool calls, validation failures, repeats, largest handoff and cost
-    (root span excluded, rounded to 6) in ONE grouped aggregation per run."""
-    x = with_repeat_flag(ordered)
-    return x.groupBy("run_id").agg(
+def tool_calls(steps: DataFrame) -> DataFrame:
+    """The run's tool uses in step order, one row each (never collected into a list)."""
+    return ranked_within(steps.where(uses_tool()).select("run_id", "start_ns", "span_id", "tool"), ["run_id"], ["start_ns", "span_id"],
+                         rank_col="call_no").select("run_id", "call_no", "tool")
+
+
+def repeated_calls(steps: DataFrame) -> DataFrame:
+    """Every step after the first with the same (tool, args hash) in its run."""
+    x = steps.where(repeatable()).select("run_id", "tool", "args_hash", "span_id", F.struct("start_ns", "span_id").alias("at"))
+    first = x.groupBy("run_id", "tool", "args_hash").agg(F.min("at").alias("first"))
+    return x.join(first, ["run_id", "tool", "args_hash"]).where(F.col("at") > F.col("first")).select("run_id", "span_id")
+
+
+def run_totals(steps: DataFrame) -> DataFrame:
+    """Steps, tool uses, validation failures, largest handoff and cost (the root span
+    repeats the total and is left out; rounded to 6): one aggregation per run."""
+    return steps.groupBy("run_id").agg(
         F.count_if(F.col("name").isin(*STEP_SPANS)).alias("steps"),
-        F.count_if(F.col("name") == "tool.call").alias("tool_calls"),
+        F.count_if(uses_tool()).alias("tool_calls"),
         F.count_if(F.col("passed") == F.lit(False)).alias("validation_failures"),
-        F.count_if("is_repeat").alias("repeated_calls"),
         F.max(F.when(F.col("bundle_tokens") != 0, F.col("bundle_tokens"))).alias("max_bundle"),
-        F.round(F.sum(F.when(F.col("parent_span_id").isNotNull(), F.col("cost_usd")).otherwise(0.0)), 6)
-         .alias("cost_usd"))
+        F.round(F.sum(F.when(F.coalesce(F.col("name") != ROOT_SPAN, F.lit(True)), F.col("cost_usd")).otherwise(0.0)), 6).alias("cost_usd"))
+
+
+def run_summary(steps: DataFrame) -> DataFrame:
+    """``run_totals`` and the number of repeats: uses of a (tool, args hash) less one each."""
+    repeats = steps.where(repeatable()).groupBy("run_id", "tool", "args_hash").agg((F.count("*") - 1).alias("n")) \
+        .groupBy("run_id").agg(F.sum("n").alias("repeated_calls"))
+    return run_totals(steps).join(repeats, "run_id", "left").fillna(0, ["repeated_calls"])
 
 
 def call_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
@@ -103,9 +119,11 @@ def call_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def required_attributes(spans: DataFrame, required=REQUIRED_ATTRIBUTES) -> DataFrame:
-    """Required attributes with no value anywhere in a run: one flag per attribute,
-    unpivoted, then one grouped aggregation."""
-    stack = ", ".join(f"'{k}', attributes.`{k}` IS NOT NULL" for k in required)
+    """Required attributes with no value anywhere in a run (an attribute that the log's
+    schema lacks has none): one flag per attribute, unpivoted, then one grouped
+    aggregation."""
+    known = set(spans.schema["attributes"].dataType.fieldNames())
+    stack = ", ".join(f"'{k}', " + (f"attributes.`{k}` IS NOT NULL" if k in known else "false") for k in required)
     u = spans.selectExpr("run_id", f"stack({len(required)}, {stack}) AS (attribute, has_value)")
     g = u.groupBy("run_id", "attribute").agg(F.bool_or("has_value").alias("present"))
     return g.where(~F.col("present")).select("run_id", F.col("attribute").alias("missing_attribute"))
@@ -194,25 +212,25 @@ def tool_call_accuracy(used: DataFrame, task: dict) -> DataFrame:
                     F.size(F.array_intersect("tools", forb)).alias("forbidden_used"))
 
 
-def required_order(ordered: DataFrame, pairs) -> DataFrame:
+def required_order(steps: DataFrame, pairs) -> DataFrame:
     """Each required pair (a, b) for every run: the first a comes before the first b
-    (a missing tool fails the pair).  Pairs are a small task parameter, expanded
-    per run with a generator rather than a join."""
-    first = ordered.where(F.col("tool").isNotNull()).groupBy("run_id", "tool").agg(F.min("step_no").alias("first"))
-    fa = first.select("run_id", F.col("tool").alias("a"), F.col("first").alias("first_a"))
-    fb = first.select("run_id", F.col("tool").alias("b"), F.col("first").alias("first_b"))
-    grid = ordered.select("run_id").distinct().select(
-        "run_id", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs]))
-        .alias("p")).select("run_id", "p.a", "p.b")
-    j = grid.join(fa, ["run_id", "a"], "left").join(fb, ["run_id", "b"], "left")
-    return j.select("run_id", "a", "b", F.coalesce(F.col("first_a") < F.col("first_b"), F.lit(False)).alias("in_order"))
+    (a missing tool fails the pair).  One aggregation: the first use of each tool named
+    in a pair, by (start, span id)."""
+    at = F.struct("start_ns", "span_id")
+    tools = sorted({t for p in pairs for t in p})
+    first = steps.groupBy("run_id").agg(*[F.min(F.when(F.col("tool") == t, at)).alias(f"first_{i}") for i, t in enumerate(tools)])
+    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
+                     F.coalesce(F.col(f"first_{tools.index(a)}") < F.col(f"first_{tools.index(b)}"), F.lit(False)).alias("in_order"))
+            for a, b in pairs]
+    return first.select("run_id", F.explode(F.array(*rows)).alias("p")).select("run_id", "p.a", "p.b", "p.in_order")
 
 
 def must_cite(cited_docs: DataFrame, required) -> DataFrame:
-    req = F.array(*[F.lit(d) for d in required])
-    s = cited_docs.groupBy("run_id").agg(F.collect_set("doc_id").alias("cited"))
-    missing = F.array_sort(F.array_except(req, "cited"))
-    return s.select("run_id", F.array_join(missing, ",").alias("missing"), (F.size(missing) == 0).alias("ok"))
+    """Which of the required documents a run does not cite: one flag for each of them."""
+    flags = cited_docs.groupBy("run_id").agg(*[F.bool_or(F.coalesce(F.col("doc_id") == d, F.lit(False))).alias(f"has_{i}")
+                                               for i, d in enumerate(required)])
+    missing = F.array_sort(F.filter(F.array(*[F.when(~F.col(f"has_{i}"), F.lit(d)) for i, d in enumerate(required)]), lambda x: x.isNotNull()))
+    return flags.select("run_id", F.array_join(missing, ",").alias("missing"), (F.size(missing) == 0).alias("ok"))
 
 
 def trajectory_efficiency(summary: DataFrame, min_steps: int) -> DataFrame:
@@ -232,34 +250,33 @@ def loop_rate(ordered: DataFrame, width: int = 5) -> DataFrame:
                        F.round(F.avg(F.col("looped").cast("double")), 9).alias("loop_rate"))
 
 
-def recovery_rate(ordered: DataFrame, success_tool: str) -> DataFrame:
+def recovery_rate(steps: DataFrame, success_tool: str) -> DataFrame:
     """After the first failure of a run: detected (a later step exists), replanned
-    (a later 'node' step) and succeeded (a later successful call)."""
-    fail = ordered.where(F.col("passed") == F.lit(False)).groupBy("run_id").agg(F.min("step_no").alias("f"))
-    j = ordered.join(fail, "run_id")
-    later = F.col("step_no") > F.col("f")
-    per = j.groupBy("run_id").agg(
-        F.bool_or(later).alias("detected"),
-        F.bool_or(later & (F.col("name") == "node")).alias("replanned"),
-        F.bool_or(later & (F.col("tool") == success_tool)).alias("succeeded"))
+    (a later 'node' step) and succeeded (a later successful call).  The last step of each
+    kind tells, so one aggregation per run does."""
+    at = F.struct("start_ns", "span_id")
+    per = steps.groupBy("run_id").agg(
+        F.min(F.when(F.col("passed") == F.lit(False), at)).alias("f"), F.max(at).alias("last"),
+        F.max(F.when(F.col("name") == "node", at)).alias("node"),
+        F.max(F.when(F.col("tool") == success_tool, at)).alias("success")).where(F.col("f").isNotNull())
+    later = lambda c: F.coalesce(F.col(c) > F.col("f"), F.lit(False)).cast("double")
     return per.agg(F.count("*").alias("n_failed_runs"),
-                   F.round(F.avg(F.col("detected").cast("double")), 9).alias("detected_rate"),
-                   F.round(F.avg(F.col("replanned").cast("double")), 9).alias("replanned_rate"),
-                   F.round(F.avg(F.col("succeeded").cast("double")), 9).alias("recovery_rate"))
+                   F.round(F.avg(later("last")), 9).alias("detected_rate"),
+                   F.round(F.avg(later("node")), 9).alias("replanned_rate"),
+                   F.round(F.avg(later("success")), 9).alias("recovery_rate"))
 
 
-def transfer_integrity(ordered: DataFrame) -> DataFrame:
+def transfer_integrity(steps: DataFrame) -> DataFrame:
     """Per run: share of validated calls that passed on their first attempt, the same
-    (tool, args) called by more than one role, and results without provenance."""
-    calls = ordered.where(F.col("name") == "tool.call")
-    first = ranked_within(calls, ["run_id", "tool", "args_hash"], ["step_no"], rank_col="_k").where("_k = 1")
-    fv = first.groupBy("run_id").agg(
-        F.round(F.avg(F.when(F.col("passed").isNotNull(), F.col("passed").cast("double"))), 9)
-         .alias("first_time_valid"))
-    roles = calls.groupBy("run_id", "tool", "args_hash").agg(F.count_distinct("role").alias("nr")) \
-        .groupBy("run_id").agg(F.count_if(F.col("nr") > 1).alias("cross_role_repeats"))
-    prov = calls.groupBy("run_id").agg(F.count_if(F.col("result_ref").isNull()).alias("no_provenance"))
-    return fv.join(roles, "run_id", "full").join(prov, "run_id", "full")
+    (tool, args) called by more than one role, and results without provenance.  Two
+    aggregations, by call and by run."""
+    calls = steps.where(F.col("name") == "tool.call").groupBy("run_id", "tool", "args_hash").agg(
+        F.min_by(F.struct("passed"), F.struct("start_ns", "span_id"))["passed"].alias("passed"),
+        (F.min("role") < F.max("role")).alias("several"),
+        F.count_if(F.col("result_ref").isNull()).alias("none"))
+    return calls.groupBy("run_id").agg(
+        F.round(F.avg(F.col("passed").cast("double")), 9).alias("first_time_valid"),
+        F.count_if("several").alias("cross_role_repeats"), F.sum("none").alias("no_provenance"))
 
 
 def latency_quantiles(steps: DataFrame, key: str = "tool") -> DataFrame:

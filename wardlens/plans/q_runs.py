@@ -41,12 +41,12 @@ root AS (SELECT run_id, 'root-' || CAST(run_id AS VARCHAR) AS span_id, NULL::VAR
   NULL::VARCHAR AS result_ref FROM ev GROUP BY run_id),
 steps AS (SELECT * FROM ev UNION ALL SELECT * FROM root),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY start_ns, span_id) AS step_no FROM steps),
-flagged AS (SELECT *, name = 'tool.call' AND coalesce(tool <> '', false) AND coalesce(args_hash <> '', false)
+flagged AS (SELECT *, coalesce(tool <> '', false) AND coalesce(args_hash <> '', false)
   AND row_number() OVER (PARTITION BY run_id, tool, args_hash ORDER BY step_no) > 1 AS is_repeat FROM ordered),
 summary AS (SELECT run_id, count(*) FILTER (WHERE name IN ('node', 'tool.call')) AS steps,
-  count(*) FILTER (WHERE name = 'tool.call') AS tool_calls, count(*) FILTER (WHERE passed = false) AS validation_failures,
+  count(*) FILTER (WHERE tool <> '') AS tool_calls, count(*) FILTER (WHERE passed = false) AS validation_failures,
   count(*) FILTER (WHERE is_repeat) AS repeated_calls, max(CASE WHEN bundle_tokens <> 0 THEN bundle_tokens END) AS max_bundle,
-  round(sum(CASE WHEN parent_span_id IS NOT NULL THEN cost_usd ELSE 0.0 END), 6) AS cost_usd FROM flagged GROUP BY run_id)"""
+  round(sum(CASE WHEN name <> 'run' THEN cost_usd ELSE 0.0 END), 6) AS cost_usd FROM flagged GROUP BY run_id)"""
 
 W = f"WITH {SPANS_SQL}"
 
@@ -63,43 +63,43 @@ def q_trajectory_order(spark, sf):
 
 @query("span_tree", f"{W} SELECT run_id, span_id, CASE WHEN parent_span_id IS NULL THEN 0 ELSE 1 END AS depth FROM steps")
 def q_span_tree(spark, sf):
-    return R.span_tree(_steps(spark, sf), max_depth=4)
+    return R.span_tree(_steps(spark, sf))
 
 
 @query("tool_calls", f"""{W} SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY step_no) AS INTEGER) AS call_no, tool
-FROM ordered WHERE name = 'tool.call' AND tool IS NOT NULL AND tool <> ''""")
+FROM ordered WHERE tool <> ''""")
 def q_tool_calls(spark, sf):
-    return R.tool_calls(_ordered(spark, sf))
+    return R.tool_calls(_steps(spark, sf))
 
 
 @query("run_cost", f"{W} SELECT run_id, cost_usd FROM summary")
 def q_run_cost(spark, sf):
-    return R.run_summary(_ordered(spark, sf)).select("run_id", "cost_usd")
+    return R.run_totals(_steps(spark, sf)).select("run_id", "cost_usd")
 
 
 @query("step_count", f"{W} SELECT run_id, steps FROM summary")
 def q_step_count(spark, sf):
-    return R.run_summary(_ordered(spark, sf)).select("run_id", "steps")
+    return R.run_totals(_steps(spark, sf)).select("run_id", "steps")
 
 
 @query("validation_failures", f"{W} SELECT run_id, validation_failures FROM summary")
 def q_validation_failures(spark, sf):
-    return R.run_summary(_ordered(spark, sf)).select("run_id", "validation_failures")
+    return R.run_totals(_steps(spark, sf)).select("run_id", "validation_failures")
 
 
 @query("repeated_calls", f"{W} SELECT run_id, span_id FROM flagged WHERE is_repeat")
 def q_repeated_calls(spark, sf):
-    return R.with_repeat_flag(_ordered(spark, sf)).where("is_repeat").select("run_id", "span_id")
+    return R.repeated_calls(_steps(spark, sf))
 
 
 @query("max_bundle", f"{W} SELECT run_id, max_bundle FROM summary")
 def q_max_bundle(spark, sf):
-    return R.run_summary(_ordered(spark, sf)).select("run_id", "max_bundle")
+    return R.run_totals(_steps(spark, sf)).select("run_id", "max_bundle")
 
 
 @query("run_summary", f"{W} SELECT * FROM summary")
 def q_run_summary(spark, sf):
-    return R.run_summary(_ordered(spark, sf))
+    return R.run_summary(_steps(spark, sf))
 
 
 DIALOG_SQL = """d AS (SELECT conv_id AS run_id, turn, role, greatest(1, floor(length(text) / 4)) AS tokens FROM conversations),
@@ -136,11 +136,13 @@ def q_call_cost(spark, sf):
   SELECT run_id, 'cost.usd', cost_usd IS NOT NULL FROM steps UNION ALL
   SELECT run_id, 'agent.role', role IS NOT NULL FROM steps UNION ALL
   SELECT run_id, 'validation.passed', passed IS NOT NULL FROM steps UNION ALL
-  SELECT run_id, 'gen_ai.usage.input_tokens', false FROM steps)
+  SELECT run_id, 'context.bundle_tokens', bundle_tokens IS NOT NULL FROM steps UNION ALL
+  SELECT run_id, 'result_ref', result_ref IS NOT NULL FROM steps UNION ALL
+  SELECT run_id, unnest(['subtask.id', 'model.id', 'cassette.mode']), false FROM steps)
 SELECT run_id, attribute AS missing_attribute FROM u GROUP BY run_id, attribute HAVING NOT bool_or(has)""")
 def q_required_attributes(spark, sf):
-    return R.required_attributes(B.spans_from_events(spark, sf),
-                                 list(R.REQUIRED_ATTRIBUTES) + ["validation.passed", "gen_ai.usage.input_tokens"])
+    """The bound spans name no subtask, model or recording mode, so these are missing."""
+    return R.required_attributes(B.spans_from_events(spark, sf))
 
 
 ANSWERS_SQL = """ans AS (SELECT user_id AS run_id, 'purchase_path' AS task_id,
@@ -191,13 +193,13 @@ scored AS (SELECT s.run_id, s.task_id, s.score, s.passed AND s.score >= 1.0 AS p
 
 @query("score_runs", f"{SCORE_SQL} SELECT * FROM scored")
 def q_score_runs(spark, sf):
-    return R.score_runs(_success(spark, sf), R.run_summary(_ordered(spark, sf)))
+    return R.score_runs(_success(spark, sf), R.run_summary(_steps(spark, sf)))
 
 
 @query("gate_verdict", f"""{SCORE_SQL} SELECT run_id, CASE WHEN passed THEN 'PASS' WHEN stale_reason IS NOT NULL THEN 'STALE'
   ELSE 'FAIL' END AS verdict FROM scored""")
 def q_gate_verdict(spark, sf):
-    return R.gate_verdict(R.score_runs(_success(spark, sf), R.run_summary(_ordered(spark, sf))))
+    return R.gate_verdict(R.score_runs(_success(spark, sf), R.run_summary(_steps(spark, sf))))
 
 
 @query("citation_check", """WITH res AS (SELECT user_id AS run_id, 'ref-' || CAST(event_id AS VARCHAR) AS ref FROM events
@@ -259,12 +261,12 @@ def q_assumption_check(spark, sf):
 
 
 @query("tool_call_accuracy", f"""{W}, u AS (SELECT run_id, list_sort(list(DISTINCT tool)) AS tools FROM ordered
-  WHERE name = 'tool.call' AND tool IS NOT NULL GROUP BY run_id)
+  WHERE tool <> '' GROUP BY run_id)
 SELECT run_id, round(len(list_intersect(tools, ['view', 'click', 'purchase']))::DOUBLE / nullif(len(tools), 0), 9) AS precision,
   round(len(list_intersect(tools, ['view', 'click', 'purchase']))::DOUBLE / 3.0, 9) AS recall,
   len(list_intersect(tools, ['error'])) AS forbidden_used FROM u""")
 def q_tool_call_accuracy(spark, sf):
-    used = _ordered(spark, sf).where((F.col("name") == "tool.call") & F.col("tool").isNotNull()).select("run_id", "tool")
+    used = _steps(spark, sf).where(R.uses_tool()).select("run_id", "tool")
     return R.tool_call_accuracy(used, TASK)
 
 
@@ -273,7 +275,7 @@ grid AS (SELECT DISTINCT run_id, p.a, p.b FROM ordered, (VALUES ('view', 'purcha
 SELECT g.run_id, g.a, g.b, coalesce(fa.f < fb.f, false) AS in_order FROM grid g
 LEFT JOIN first fa ON fa.run_id = g.run_id AND fa.tool = g.a LEFT JOIN first fb ON fb.run_id = g.run_id AND fb.tool = g.b""")
 def q_required_order(spark, sf):
-    return R.required_order(_ordered(spark, sf), TASK["required_order"])
+    return R.required_order(_steps(spark, sf), TASK["required_order"])
 
 
 @query("must_cite", """WITH c AS (SELECT user_id AS run_id, list(DISTINCT 'doc-' || event_type) AS cited
@@ -305,7 +307,7 @@ def q_arg_correctness(spark, sf):
 @query("trajectory_efficiency", f"""{W} SELECT run_id, round(steps::DOUBLE / 3.0, 9) AS efficiency,
   round(repeated_calls::DOUBLE / nullif(steps, 0), 9) AS redundant_rate FROM summary""")
 def q_trajectory_efficiency(spark, sf):
-    return R.trajectory_efficiency(R.run_summary(_ordered(spark, sf)), TASK["min_steps"])
+    return R.trajectory_efficiency(R.run_summary(_steps(spark, sf)), TASK["min_steps"])
 
 
 @query("loop_rate", f"""{W}, x AS (SELECT run_id, count(*) OVER (PARTITION BY run_id, tool, args_hash ORDER BY step_no
@@ -323,7 +325,7 @@ SELECT count(*) AS n_failed_runs, round(avg(CASE WHEN detected THEN 1.0 ELSE 0.0
   round(avg(CASE WHEN replanned THEN 1.0 ELSE 0.0 END)::DOUBLE, 9) AS replanned_rate,
   round(avg(CASE WHEN succeeded THEN 1.0 ELSE 0.0 END)::DOUBLE, 9) AS recovery_rate FROM p""")
 def q_recovery_rate(spark, sf):
-    return R.recovery_rate(_ordered(spark, sf), "purchase")
+    return R.recovery_rate(_steps(spark, sf), "purchase")
 
 
 @query("transfer_integrity", f"""{W}, calls AS (SELECT * FROM ordered WHERE name = 'tool.call'),
@@ -335,7 +337,7 @@ pv AS (SELECT run_id, count(*) FILTER (WHERE result_ref IS NULL) AS no_provenanc
 SELECT coalesce(fv.run_id, ro.run_id, pv.run_id) AS run_id, first_time_valid, cross_role_repeats, no_provenance
 FROM fv FULL JOIN ro ON fv.run_id = ro.run_id FULL JOIN pv ON coalesce(fv.run_id, ro.run_id) = pv.run_id""")
 def q_transfer_integrity(spark, sf):
-    return R.transfer_integrity(_ordered(spark, sf))
+    return R.transfer_integrity(_steps(spark, sf))
 
 
 @query("latency_quantiles", f"""{W} SELECT tool, round(quantile_cont(duration_ms, 0.5), 6) AS p50_ms,
@@ -354,7 +356,7 @@ SELECT m.metric, round(m.value, 9) AS value, f.op, f.floor,
 FROM m LEFT JOIN f ON m.metric = f.metric""")
 def q_regression_gate(spark, sf):
     s = _success(spark, sf).agg(F.avg("score").alias("value")).select(F.lit("task_success").alias("metric"), "value")
-    eff = R.run_summary(_ordered(spark, sf)).agg(F.avg(F.col("steps") / 3.0).alias("value")) \
+    eff = R.run_summary(_steps(spark, sf)).agg(F.avg(F.col("steps") / 3.0).alias("value")) \
         .select(F.lit("efficiency").alias("metric"), "value")
     m = s.unionByName(eff).withColumn("value", F.round("value", 9))
     return R.regression_gate(m).select("metric", "value", "op", "floor", "meets_floor")
