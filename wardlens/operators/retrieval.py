@@ -56,34 +56,26 @@ _CAND_SCHEMA = T.StructType([T.StructField("query_id", T.LongType()), T.StructFi
                              T.StructField("score", T.DoubleType())])
 
 
-def _partition_topk(queries_pdf: pd.DataFrame, k: int):
+def _partition_topk(queries, k: int):
     """Per partition: score each Arrow batch (queries x batch rows, bounded by the
-    query block and the batch size), keep a running k best per query, emit them."""
-    qids = queries_pdf["query_id"].to_numpy()
-    qmat = np.stack(queries_pdf["query_vec"].to_numpy()).astype(np.float64) if len(queries_pdf) else None
-
+    query block and the batch size), keep a running k best per query in the order of the
+    final rank (rounded score, then id), emit them.  ``queries`` is a broadcast."""
     def run(batches):
+        qids, qvecs = queries.value
         best_s = best_i = None
         for b in batches:
-            if qmat is None or len(b) == 0:
+            if not len(qids) or len(b) == 0:
                 continue
             mat = np.stack(b["vec"].to_numpy()).astype(np.float64)
-            ids = b["item_id"].to_numpy().astype("int64")
-            sc = qmat @ mat.T
+            ids = np.broadcast_to(b["item_id"].to_numpy().astype("int64"), (len(qids), len(b)))
+            sc = np.round(qvecs @ mat.T, SCORE_DIGITS)
             if best_s is not None:
-                sc = np.concatenate([best_s, sc], axis=1)
-                ids_all = np.concatenate([best_i, np.broadcast_to(ids, (len(qids), len(ids)))], axis=1)
-            else:
-                ids_all = np.broadcast_to(ids, (len(qids), len(ids)))
-            kk = min(k, sc.shape[1])
-            idx = np.argpartition(-sc, kk - 1, axis=1)[:, :kk]
-            best_s = np.take_along_axis(sc, idx, axis=1)
-            best_i = np.take_along_axis(ids_all, idx, axis=1)
-        if best_s is None:
-            return
-        kk = best_s.shape[1]
-        yield pd.DataFrame({"query_id": np.repeat(qids, kk).astype("int64"),
-                            "item_id": best_i.ravel().astype("int64"), "score": best_s.ravel()})
+                sc, ids = np.concatenate([best_s, sc], axis=1), np.concatenate([best_i, ids], axis=1)
+            idx = np.lexsort((ids, -sc), axis=1)[:, :k]
+            best_s, best_i = np.take_along_axis(sc, idx, axis=1), np.take_along_axis(ids, idx, axis=1)
+        if best_s is not None:
+            yield pd.DataFrame({"query_id": np.repeat(qids, best_s.shape[1]).astype("int64"),
+                                "item_id": best_i.ravel().astype("int64"), "score": best_s.ravel()})
     return run
 
 
@@ -100,10 +92,10 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool
     parts = []
     keep = k + (1 if exclude_self else 0)
     for blk in range(blocks):
-        # a bounded block of queries (<= MAX_BROADCAST_QUERIES rows) shipped to every task
+        # a block of about MAX_BROADCAST_QUERIES queries shipped to every task
         qpdf = qb.where(F.col("_blk") == blk).select("query_id", "query_vec").toPandas()
-        bq = spark.sparkContext.broadcast(qpdf)
-        fn = _partition_topk(bq.value, keep)
+        vecs = np.stack(qpdf["query_vec"].to_numpy()).astype(np.float64) if len(qpdf) else None
+        fn = _partition_topk(spark.sparkContext.broadcast((qpdf["query_id"].to_numpy(), vecs)), keep)
         parts.append(corpus.select("item_id", "vec").mapInPandas(fn, _CAND_SCHEMA))
     cand = reduce(DataFrame.unionByName, parts)
     if exclude_self:
@@ -124,20 +116,6 @@ def tokens(text_col: str = "text") -> F.Column:
     return F.array_remove(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), "")
 
 
-def bm25_index(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Postings (term, item_id, tf, doc_len) and the corpus stats row (n_docs, avgdl).
-
-    Term frequencies are combined map-side (a document's tokens sit in one row, so
-    the partial aggregate already reduces them to distinct (document, term) pairs);
-    the stats come from token-array sizes, without a second explode."""
-    t = docs.select(F.col(id_col).alias("item_id"), tokens().alias("toks")) \
-        .withColumn("doc_len", F.size("toks")).where(F.col("doc_len") > 0)
-    post = t.select("item_id", "doc_len", F.explode("toks").alias("term")) \
-        .groupBy("term", "item_id", "doc_len").agg(F.count("*").alias("tf"))
-    stats = t.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avgdl"))
-    return post, stats
-
-
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, qid: str = "item_id", did: str = "doc_id",
               k1: float = BM25_K1, b: float = BM25_B, first_terms: int = 3) -> DataFrame:
     """Exact BM25 top-k per query without pairing every query with every document
@@ -178,18 +156,36 @@ def bm25_prepare(queries: DataFrame, docs: DataFrame, qid: str = "item_id", did:
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     qtd = qt.join(df_t, "term").withColumn("idf", idf).withColumn("ub", F.col("idf") * (k1 + 1))
     qtd = materialise(ranked_terms(qtd), "bm25-query-terms")
-    return {"post_q": post_q, "qtd": qtd, "avgdl": F.lit(avgdl)}
+    # one row per query and per document, terms in order of their hash
+    h = F.xxhash64("term").alias("h")
+    q_rows = qtd.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(h, "idf"))).alias("t")) \
+        .select("query_id", F.col("t.h").alias("q_terms"), F.col("t.idf").alias("idf"))
+    d_rows = post_q.groupBy("item_id", "doc_len").agg(F.array_sort(F.collect_list(F.struct(h, "tf"))).alias("t")) \
+        .select("item_id", "doc_len", F.col("t.h").alias("d_terms"), F.col("t.tf").alias("tf"))
+    return {"post_q": post_q, "qtd": qtd, "avgdl_value": avgdl,
+            "q_rows": materialise(q_rows, "bm25-queries"), "d_rows": materialise(d_rows, "bm25-documents")}
+
+
+def bm25_at_least(prep: dict, entries: DataFrame, theta: float, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """Every (query_id, item_id, score) with an item of ``entries`` and a score of ``theta``
+    or more.  A pair can reach theta only if it shares one of the query's rarest terms,
+    up to the term from which the bounds of the rest stay below theta."""
+    qtd = prep["qtd"]
+    rest = Window.partitionBy("query_id").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
+    essential = qtd.withColumn("reach", F.sum("ub").over(rest)).where(F.col("reach") + 10.0 ** -SCORE_DIGITS >= theta)
+    pairs = essential.select("query_id", "term").join(
+        prep["post_q"].join(entries.select("item_id").distinct(), "item_id", "left_semi").select("term", "item_id"), "term") \
+        .select("query_id", "item_id").distinct()
+    return bm25_scores(prep, pairs, k1, b).withColumn("score", F.round("score", SCORE_DIGITS)).where(F.col("score") >= theta)
 
 
 def bm25_topk_prepared(prep: dict, k: int, k1: float = BM25_K1, b: float = BM25_B,
                        first_terms: int = 3) -> DataFrame:
     """Pruned exact top-k over a prepared index (see ``bm25_topk``)."""
     from ..sources.files import materialise
-    post_q, qtd, avgdl = prep["post_q"], prep["qtd"], prep["avgdl"]
+    post_q, qtd = prep["post_q"], prep["qtd"]
     if k1 != BM25_K1:
         qtd = qtd.withColumn("ub", F.col("idf") * (k1 + 1))
-    tf = F.col("tf").cast("double")
-    contrib = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / avgdl))
     margin = 10.0 ** (-SCORE_DIGITS)
 
     # suffix bound: the most any document can score from the terms at positions >= pos
@@ -202,13 +198,11 @@ def bm25_topk_prepared(prep: dict, k: int, k1: float = BM25_K1, b: float = BM25_
         ess = qtd.join(m_table, "query_id").where(F.col("pos") <= F.col("m"))
         cand = ess.select("query_id", "term").join(post_q.select("term", "item_id"), "term") \
             .select("query_id", "item_id").distinct()
-        full = cand.join(qtd.select("query_id", "term", "idf"), "query_id") \
-            .join(post_q, ["term", "item_id"]).groupBy("query_id", "item_id").agg(F.sum(contrib).alias("score"))
-        return rank_topk(full, k)
+        return rank_topk(bm25_scores(prep, cand, k1, b), k)
 
     # round 1: the few rarest terms give a lower bound theta on each k-th best score
     m1 = n_terms.select("query_id", F.least(F.lit(first_terms), F.col("n_terms")).alias("m"))
-    top1 = exact_top(m1)
+    top1 = materialise(exact_top(m1), "bm25-first")
     theta = top1.groupBy("query_id").agg(F.count("*").alias("n_top"), F.min("score").alias("theta"))
     # smallest m whose remaining bound cannot reach theta: documents without any of
     # those m terms cannot enter the top k (theta only grows with more candidates)
@@ -216,7 +210,7 @@ def bm25_topk_prepared(prep: dict, k: int, k1: float = BM25_K1, b: float = BM25_
     m_need = ok.groupBy("query_id").agg(F.min("pos").alias("m_ok"))
     plan = n_terms.join(m1.withColumnRenamed("m", "m1"), "query_id").join(m_need, "query_id", "left") \
         .withColumn("m", F.coalesce("m_ok", "n_terms"))
-    plan = plan.cache()   # tiny (one row per query), read twice below
+    plan = materialise(plan, "bm25-plan")   # one row per query, read twice below
     settled = plan.where(F.col("m") <= F.col("m1")).select("query_id")
     # round 2, only for queries that need more terms: exact by construction
     m2 = plan.where(F.col("m") > F.col("m1")).select("query_id", "m")
@@ -224,6 +218,30 @@ def bm25_topk_prepared(prep: dict, k: int, k1: float = BM25_K1, b: float = BM25_
     return out
 
 
+def bm25_scores(prep: dict, pairs: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """Exact scores of the given (query_id, item_id) pairs.  A pair meets one row of the
+    query (its terms' idf) and one of the document (its terms' tf), both as arrays in
+    order of a term hash, and is folded there: rows are pairs, never pairs x terms."""
+    avgdl = prep["avgdl_value"]
+    joined = pairs.join(prep["q_rows"], "query_id").join(prep["d_rows"], "item_id") \
+        .select("query_id", "item_id", "q_terms", "idf", "d_terms", "tf", "doc_len")
+
+    def fold(batches):
+        for pdf in batches:
+            scores = np.zeros(len(pdf))
+            rows = zip(pdf["q_terms"], pdf["idf"], pdf["d_terms"], pdf["tf"], pdf["doc_len"])
+            for i, (qt, idf, dt, tf, n) in enumerate(rows):
+                at = np.searchsorted(dt, qt)
+                at[at == len(dt)] = 0
+                hit = dt[at] == qt
+                f = tf[at[hit]].astype(float)
+                scores[i] = (idf[hit] * f * (k1 + 1) / (f + k1 * (1 - b + b * n / avgdl))).sum()
+            yield pd.DataFrame({"query_id": pdf["query_id"], "item_id": pdf["item_id"], "score": scores})
+
+    kinds = [f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("query_id", "item_id")]
+    return joined.mapInPandas(fold, ", ".join([*kinds, "score double"]))
+
+
 def ranked_terms(qtd: DataFrame) -> DataFrame:
     """Position of each query term from rarest (1) to most common (ties by term)."""
     w = Window.partitionBy("query_id").orderBy(F.asc("df"), F.asc("term"))

@@ -57,7 +57,7 @@ def q_win_topk_per_query(spark, sf):
 TOK = "list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
-def bm25_sql(name: str, docs: str, doc_id: str, queries: str, qid: str, k: int, k1: float = 1.2, b: float = 0.75) -> str:
+def bm25_sql(name: str, docs: str, doc_id: str, queries: str, qid: str, k: int | None, k1: float = 1.2, b: float = 0.75) -> str:
     tok = TOK.replace("{{", "{").replace("}}", "}")
     return f"""{name}_te AS (SELECT item_id, len(toks) AS doc_len, unnest(toks) AS term FROM (
   SELECT {doc_id} AS item_id, {tok} AS toks FROM {docs})),
@@ -69,7 +69,7 @@ def bm25_sql(name: str, docs: str, doc_id: str, queries: str, qid: str, k: int,
     * p.tf * ({k1} + 1) / (p.tf + {k1} * (1 - {b} + {b} * p.doc_len / (SELECT avgdl FROM {name}_st)))), 6) AS score
   FROM {name}_qt qt JOIN {name}_df d ON qt.term = d.term JOIN {name}_post p ON p.term = qt.term GROUP BY 1, 2),
 {name} AS (SELECT query_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
-  PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM {name}_sc) WHERE rank <= {k})"""
+  PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM {name}_sc){"" if k is None else f" WHERE rank <= {k}"})"""
 
 
 def bm25_ranked(spark, sf, k=K_LEX, b=0.75):
