@@ -43,3 +43,47 @@ def test_drift_verdict_order(spark):
     cur = spark.createDataFrame([("w", "p", "c", "s")], "warehouse string, prompts string, corpus string, sandbox string")
     v = {r["run_id"]: r["stale_axis"] for r in I.drift_verdict(runs, cur).collect()}
     assert v == {"r1": "none_recorded", "r2": "warehouse", "r3": "prompts", "r4": "current"}
+
+
+def test_digests_of_doubles_lose_nothing(spark):
+    from wardlens.operators.identity import table_digest
+    values = [1e-12, 2e-12, float("nan"), float("inf"), float("-inf"), 1e30, 5e-324, 0.1, 0.30000000000000004, 0.3, 1.0, -1.0, 2.0 ** 52 + 1]
+    digests = {table_digest(spark.createDataFrame([(v,)], "x double"), "t").first()["digest"] for v in values}
+    assert len(digests) == len(values)
+    zero = [table_digest(spark.createDataFrame([(v,)], "x double"), "t").first()["digest"] for v in (0.0, -0.0)]
+    assert zero[0] == zero[1]
+
+
+def test_corpus_version_takes_any_id(spark):
+    import pytest
+
+    from wardlens.operators.identity import corpus_version
+    docs = spark.createDataFrame([(f"note-{i}", f"text {i}") for i in range(9000)], "doc_id string, text string")
+    first = corpus_version(docs).first()
+    assert first["n_documents"] == 9000 and corpus_version(docs.repartition(3)).first() == first
+    renamed = docs.replace("note-7", "note-x", ["doc_id"])
+    assert corpus_version(renamed).first()["corpus_version"] != first["corpus_version"]
+    with pytest.raises(ValueError):
+        corpus_version(docs.limit(0))
+
+
+def test_a_cluster_without_shared_folder_is_refused():
+    import pytest
+
+    from wardlens.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session())

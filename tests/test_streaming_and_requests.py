@@ -52,3 +52,25 @@ def test_ranked_within_and_prefix_sum_match_a_window(spark):
         assert bad.count() == 0 and r.count() == 3000
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_late_first_deliveries_are_kept(spark, tmp_path):
+    import datetime as dt
+
+    from pyspark.sql import types as T
+
+    from wardlens.streaming.feeds import stream_dedupe
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("v", T.StringType())])
+    files = [[(1, 1, "a"), (2, 5, "b")], [(4, 6, "c"), (1, 1, "a")], [(3, 2, "late"), (2, 5, "b")]]
+    for rows in files:
+        spark.createDataFrame([(i, dt.datetime(2024, 1, d), v) for i, d, v in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    got = stream_dedupe(spark, str(tmp_path / "feed"), schema, "id", "ts")
+    assert sorted((r.id, r.v) for r in got.collect()) == [(1, "a"), (2, "b"), (3, "late"), (4, "c")]
+
+
+def test_equal_vectors_rank_by_id(spark):
+    from wardlens.operators.retrieval import dense_topk
+    corpus = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(1, 4001)], "item_id long, vec array<float>")
+    q = spark.createDataFrame([(-1, [1.0, 0.0])], "query_id long, query_vec array<float>")
+    got = dense_topk(q, corpus, 5).orderBy("rank").collect()
+    assert [r["item_id"] for r in got] == [1, 2, 3, 4, 5]

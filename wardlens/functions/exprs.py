@@ -73,16 +73,29 @@ def md5_hex_mod(hexs: Column, modulus: int = DIGEST_MODULUS) -> Column:
     return acc
 
 
+def exact_double(x: Column) -> Column:
+    """A double without loss, as its 53-bit whole number and power of two; zero of
+    either sign is 0, and what is not finite has its name."""
+    size = F.abs(x)
+    guess = F.floor(F.log2(size)).cast("double")
+    part = size / F.pow(F.lit(2.0), guess)                      # exact; 1 <= part < 2 but for rounding of log2
+    exponent = F.when(part >= 2, guess + 1).when(part < 1, guess - 1).otherwise(guess)
+    part = F.when(part >= 2, part / 2).when(part < 1, part * 2).otherwise(part)
+    text = F.concat(F.when(x < 0, "-").otherwise(""), (part * float(1 << 52)).try_cast("bigint").cast("string"), F.lit("p"),
+                    exponent.try_cast("int").cast("string"))
+    return F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x < 0, "-inf").otherwise("inf")).when(x == 0, "0").otherwise(text)
+
+
 def canonical_field(c: Column, dtype: str) -> Column:
     """One field rendered engine-independently, length-prefixed, NULL distinct from text."""
     if dtype in ("double", "float"):
-        s = c.cast("double").cast("decimal(38,10)").cast("string")
+        s = exact_double(c.cast("double"))
     elif dtype.startswith("timestamp"):
         s = F.unix_micros(c.cast("timestamp")).cast("string")      # wall clock, session zone UTC
     elif dtype == "date":
         s = F.unix_date(c).cast("string")
     elif dtype.startswith("array"):
-        s = F.array_join(F.transform(c, lambda x: x.cast("double").cast("decimal(38,10)").cast("string")), ",")
+        s = F.array_join(F.transform(c, lambda x: exact_double(x.cast("double"))), ",")
     else:
         s = c.cast("string")
     return F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-"))
@@ -104,12 +117,6 @@ def token_estimate(text) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(col_(text)) / 4)).cast("bigint")
 
 
-def dot(a, b) -> Column:
-    """Inner product of two equal-length float arrays."""
-    return F.aggregate(F.zip_with(col_(a), col_(b), lambda x, y: x.cast("double") * y.cast("double")),
-                       F.lit(0.0).cast("double"), lambda acc, v: acc + v)
-
-
 def day_bucket(ts, width_days: int) -> Column:
     """Bucket of a timestamp's calendar day, ``width_days`` days wide."""
     return F.floor(F.unix_date(F.to_date(col_(ts))) / F.lit(width_days)).cast("bigint")

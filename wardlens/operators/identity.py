@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import DIGEST_MODULUS, canonical_row, md5_hex_mod, md5_mod
 
-CORPUS_BUCKET = 65_536   # ids per leaf of the corpus hash tree (bounds every fold)
+CORPUS_FAN = 4_096   # entries, on average, that a node of the corpus hash tree folds
 
 
 def row_digest(df: DataFrame) -> F.Column:
@@ -19,8 +19,8 @@ def row_digest(df: DataFrame) -> F.Column:
 
 
 def table_digest(df: DataFrame, name: str) -> DataFrame:
-    """(table, row count, sum of row digests): summed, never XOR-ed, so identical
-    rows do not cancel; the sum is decimal(38,0) so it cannot overflow."""
+    """(table, row count, sum of row digests).  A sum keeps the number of equal rows, and
+    as decimal(38,0) it has room for any table."""
     h = df.select(F.md5(canonical_row(df)).alias("_h"))   # one digest per row, computed once
     return h.agg(F.count("*").alias("row_count"),
                   F.coalesce(F.sum(md5_hex_mod(F.col("_h"), DIGEST_MODULUS).cast("decimal(38,0)")),
@@ -45,22 +45,30 @@ def warehouse_fingerprint(digests: DataFrame, recipe: str) -> DataFrame:
 
 
 def corpus_version(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """sha256 over (id, content hash) in id order, 16 hex chars.
-
-    Built as a two-level hash tree so no fold ever sees the whole corpus: leaves
-    hold at most ``CORPUS_BUCKET`` consecutive ids, the root folds one line per
-    leaf.  Renaming (changing an id) or editing any text changes the version."""
-    per = docs.select(F.col(id_col).alias("id"), F.sha2(F.col(text_col), 256).alias("h"))
-    leaf = per.groupBy(F.floor(F.col("id") / CORPUS_BUCKET).alias("bucket")).agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "h"))),
-                                        lambda s: F.concat(s["id"].cast("string"), F.lit(":"), s["h"])),
-                            "\n"), 256).alias("leaf_hash"),
-        F.count("*").alias("n_docs"))
-    root = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "leaf_hash"))),
-                                           lambda s: F.concat(s["bucket"].cast("string"), F.lit(":"),
-                                                              s["leaf_hash"])), "\n"), 256)
-    return leaf.agg(F.substring(root, 1, 16).alias("corpus_version"),
-                    F.sum("n_docs").cast("bigint").alias("n_documents"))
+    """sha256 over (id, content hash), 16 hex chars; ids of any type, by their text.
+
+    A hash tree: documents go to leaves by a hash of their id, as many as the corpus
+    needs, and each level folds about ``CORPUS_FAN`` nodes of the one below, so no fold
+    sees more.  Renaming or editing any document changes the version.  A corpus without
+    documents is an error."""
+    per = docs.select(F.col(id_col).cast("string").alias("id"), F.sha2(F.col(text_col), 256).alias("h"))
+    total = per.count()
+    if total == 0:
+        raise ValueError("the corpus has no documents")
+
+    def fold(entries: str, line) -> F.Column:
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(entries)), line), "\n"), 256)
+
+    nodes = -(-total // CORPUS_FAN)
+    level = per.withColumn("bucket", md5_mod(F.col("id"), nodes)).withColumn("e", F.struct("id", "h")).groupBy("bucket").agg(
+        fold("e", lambda s: F.concat(s["id"], F.lit(":"), s["h"])).alias("h"), F.count("*").alias("n"))
+    while True:
+        nodes = -(-nodes // CORPUS_FAN)
+        level = level.select(F.floor(F.col("bucket") / CORPUS_FAN).alias("up"), F.struct("bucket", "h").alias("e"), "n").groupBy("up").agg(
+            fold("e", lambda s: F.concat(s["bucket"].cast("string"), F.lit(":"), s["h"])).alias("h"), F.sum("n").alias("n")) \
+            .withColumnRenamed("up", "bucket")
+        if nodes == 1:
+            return level.select(F.substring("h", 1, 16).alias("corpus_version"), F.col("n").cast("bigint").alias("n_documents"))
 
 
 def content_hash_drift(recorded: DataFrame, current: DataFrame) -> DataFrame:

@@ -4,9 +4,8 @@ Input is a stay DataFrame with the role columns of ``plans.bindings.STAY_COLUMNS
 (``id, start_ts, stop_ts, patient, organization, org_id, class, payer, cost,
 covered, cause``), already de-duplicated by id (``bindings.stays``).
 
-Rule that orders the rest: count occurrences with open stays included; measure
-intervals with them excluded; reversed stays (stop < start) are invalid wherever
-an interval is used.  Every function returns a lazy DataFrame.
+Counts take open stays, lengths of stay cannot; stays that end before they begin
+have no length and are left out of every length.
 """
 
 from __future__ import annotations

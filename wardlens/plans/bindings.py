@@ -2,8 +2,8 @@
 
 Every operator takes role columns (``id``, ``start_ts``, ``stop_ts``, ``patient`` ...),
 so the same operator runs on the nine-table warehouse schema (``from_encounters``)
-and on the driver tables (``stays``).  The SQL oracle builds the same bindings
-(``plans/oracle.py``).
+and on the driver tables (``stays``).  The SQL oracles build the same bindings
+(``plans/sqlparts.py``).
 """
 
 from __future__ import annotations
@@ -84,11 +84,6 @@ def _finish(j: DataFrame) -> DataFrame:
         "cost", "covered", "cause")
 
 
-def raw_stays(spark: SparkSession, sf_dir: str, classes=None, start_window=None) -> DataFrame:
-    """B-STAY before de-duplication: one row per lineitem (copies share an id)."""
-    return _finish(line_stays(spark, sf_dir).join(order_roles(spark, sf_dir, classes, start_window), "okey"))
-
-
 # Total order that picks the surviving copy of a repeated id: stop (NULL last),
 # then every other bound column, so the choice is deterministic in any engine.
 DEDUP_ORDER = ("stop_ts", "organization", "cost", "org_id", "covered", "cause")
@@ -119,8 +114,12 @@ def stays(spark: SparkSession, sf_dir: str, classes=None, start_window=None) ->
 
     Copies are collapsed at line level (where all differing columns live) with a
     map-side-combined aggregation, then joined to the order roles."""
-    lines = dedupe_min(line_stays(spark, sf_dir), ["okey", "lnum"])
-    return _finish(lines.join(order_roles(spark, sf_dir, classes, start_window), "okey"))
+    # all copies of a line have its order, so the orders' filter may go first
+    roles = order_roles(spark, sf_dir, classes, start_window)
+    lines = line_stays(spark, sf_dir)
+    if classes or start_window:
+        lines = lines.join(roles.select("okey"), "okey", "left_semi")
+    return _finish(dedupe_min(lines, ["okey", "lnum"]).join(roles, "okey"))
 
 
 def from_encounters(enc: DataFrame) -> DataFrame:
@@ -147,30 +146,6 @@ def coverage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("o_orderdate").alias("from_ts"), "to_ts")
 
 
-def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B-FEED: id, time, entity, class."""
-    return read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type").select(
-        F.col("event_id").alias("id"), F.col("ts"), F.col("user_id").alias("entity"),
-        F.col("event_type").alias("class"))
-
-
-def span_steps_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B-SPAN: a run log bound to ``events`` (run = user, one step per event)."""
-    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
-    return e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("span_id"),
-                    F.col("ts").alias("start_ts"), F.col("event_type").alias("tool"),
-                    F.col("props").alias("args_hash"), F.col("value").alias("cost"),
-                    (F.col("event_type") == "error").alias("failed"))
-
-
-def dialog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B-DIALOG: run log with roles (run = conversation, order = turn)."""
-    c = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    return c.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("step"),
-                    F.col("role"), F.sha2(F.col("text"), 256).alias("args_hash"),
-                    F.col("text"))
-
-
 def warehouse(spark: SparkSession, sf_dir: str):
     """The nine-table warehouse roles the injections work on, bound to the driver
     tables: encounters = every lineitem row (copies kept, stops always set),

@@ -13,17 +13,27 @@ from .registry import query
 RECIPE = "driver-tables"
 
 
+def exact_double_sql(x: str) -> str:
+    """DuckDB twin of ``functions.exprs.exact_double``."""
+    size = f"abs({x})"
+    guess = f"CASE WHEN {x} = 0 OR isnan({x}) OR isinf({x}) THEN 0 ELSE floor(log2({size})) END"
+    part = f"({size} / pow(2.0, {guess}))"
+    exponent = f"({guess} + CASE WHEN {part} >= 2 THEN 1 WHEN {part} < 1 THEN -1 ELSE 0 END)"
+    whole = f"({part} * CASE WHEN {part} >= 2 THEN 0.5 WHEN {part} < 1 THEN 2.0 ELSE 1.0 END * 4503599627370496.0)"
+    return (f"CASE WHEN isnan({x}) THEN 'nan' WHEN isinf({x}) THEN CASE WHEN {x} < 0 THEN '-inf' ELSE 'inf' END WHEN {x} = 0 THEN '0' "
+            f"WHEN {x} IS NOT NULL THEN CASE WHEN {x} < 0 THEN '-' ELSE '' END || CAST(CAST({whole} AS BIGINT) AS VARCHAR) || 'p' "
+            f"|| CAST(CAST({exponent} AS INTEGER) AS VARCHAR) END")
+
+
 def canonical_field_sql(name: str, dtype: str) -> str:
     """DuckDB twin of ``functions.exprs.canonical_field``."""
     c = f'"{name}"'
     if dtype in ("double", "float"):
-        # shortest round-trip text parsed as a decimal: the same digits Spark's
-        # double -> decimal cast starts from
-        s = f"CAST(CAST(CAST(CAST({c} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,10)) AS VARCHAR)"
+        s = exact_double_sql(f"CAST({c} AS DOUBLE)")
     elif dtype.startswith("timestamp"):
         s = f"CAST(epoch_us({c}) AS VARCHAR)"
     elif dtype.startswith("array"):
-        s = (f"array_to_string(list_transform({c}, lambda x: CAST(CAST(CAST(CAST(x AS DOUBLE) AS VARCHAR) AS DECIMAL(38,10)) AS VARCHAR)), ',')")
+        s = f"array_to_string(list_transform({c}, lambda x: {exact_double_sql('CAST(x AS DOUBLE)')}), ',')"
     else:
         s = f"CAST({c} AS VARCHAR)"
     return f"coalesce(CAST(length({s}) AS VARCHAR) || ':' || {s}, '-')"
@@ -58,8 +68,10 @@ def q_warehouse_fingerprint(spark, sf):
     return I.warehouse_fingerprint(d, RECIPE)
 
 
-CORPUS_SQL = f"""leaf AS (SELECT doc_id // {I.CORPUS_BUCKET} AS bucket,
-  sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS leaf_hash, count(*) AS n
+# two levels of the tree: enough for CORPUS_FAN squared documents
+CORPUS_SQL = f"""leaves AS (SELECT CAST(ceil(count(*) / {I.CORPUS_FAN}.0) AS BIGINT) AS n FROM documents),
+leaf AS (SELECT CAST(md5_number(CAST(doc_id AS VARCHAR)) % (SELECT n FROM leaves) AS BIGINT) AS bucket,
+  sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text), chr(10) ORDER BY CAST(doc_id AS VARCHAR), sha256(text))) AS leaf_hash, count(*) AS n
   FROM documents GROUP BY 1),
 cv AS (SELECT left(sha256(string_agg(CAST(bucket AS VARCHAR) || ':' || leaf_hash, chr(10) ORDER BY bucket)), 16) AS corpus_version,
   CAST(sum(n) AS BIGINT) AS n_documents FROM leaf)"""

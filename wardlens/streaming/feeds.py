@@ -1,7 +1,8 @@
 """Structured Streaming re-aims of two batch operators (same results as batch).
 
-* ``stream_dedupe``: a feed that re-delivers events; de-duplicated by id within a
-  watermark (state for an id is dropped once the watermark passes its time).
+* ``stream_dedupe``: a feed that re-delivers events; each id is written once, however
+  late its first delivery is.  The written rows are the state: a batch adds the ids
+  that they lack.
 * ``stream_run_totals``: span logs appended as spans end; per-run totals kept as
   streaming state and written in update mode, one row per changed run per batch.
 
@@ -19,17 +20,24 @@ from ..sources.files import SPAN_SCHEMA, scratch_path
 
 
 def stream_dedupe(spark: SparkSession, feed_dir: str, schema: T.StructType, id_col: str, time_col: str,
-                  delay: str = "1 hour", out_dir: str | None = None) -> DataFrame:
+                  out_dir: str | None = None) -> DataFrame:
+    """The first delivery of every id; of deliveries in one batch the earliest by
+    ``time_col``, then by all columns.  A batch that is run again adds nothing twice."""
     out = out_dir or scratch_path(spark, "dedupe-out")
     ckpt = scratch_path(spark, "dedupe-ckpt")
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(feed_dir)
-           # watermarks need a zoned timestamp; the feed carries timestamp_ntz
-           .withColumn("_wm", F.col(time_col).cast("timestamp")))
-    deduped = src.withWatermark("_wm", delay).dropDuplicatesWithinWatermark([id_col]).drop("_wm")
-    q = (deduped.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-         .outputMode("append").trigger(availableNow=True).start())
+    written = lambda: spark.read.schema(schema).parquet(out)
+    spark.createDataFrame([], schema).write.mode("append").parquet(out)
+    rest = [c for c in schema.fieldNames() if c not in (id_col, time_col)]
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        one = batch.groupBy(id_col).agg(F.min(F.struct(time_col, *rest)).alias("r")) \
+            .select(*[F.col(id_col) if c == id_col else F.col(f"r.{c}").alias(c) for c in schema.fieldNames()])
+        one.join(written().select(id_col), id_col, "left_anti").select(*schema.fieldNames()).write.mode("append").parquet(out)
+
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(feed_dir)
+    q = src.writeStream.option("checkpointLocation", ckpt).foreachBatch(add).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(out)
+    return written()
 
 
 def stream_run_totals(spark: SparkSession, spans_dir: str, out_dir: str | None = None) -> DataFrame:
