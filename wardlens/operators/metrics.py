@@ -53,13 +53,12 @@ def scope(s: DataFrame, classes=None, start=None, end=None, on="start_ts") -> Da
 def admission_count(s: DataFrame, inpatient: str, start=None, end=None) -> DataFrame:
     """Distinct inpatient encounters started in the window; open stays included."""
     x = with_flags(scope(s, [inpatient], start, end))
-    return x.agg(F.count_distinct("id").alias("n_admissions"),
-                 F.count_distinct(F.when(F.col("is_open"), F.col("id"))).alias("n_open_included"))
+    return x.agg(F.count("*").alias("n_admissions"), F.count_if("is_open").alias("n_open_included"))
 
 
 def encounter_volume(s: DataFrame, start=None, end=None) -> DataFrame:
     return (scope(s, None, start, end).groupBy("class")
-            .agg(F.count_distinct("id").alias("n_encounters")))
+            .agg(F.count("*").alias("n_encounters")))
 
 
 def patient_volume(s: DataFrame, classes=None, start=None, end=None) -> DataFrame:
@@ -67,7 +66,7 @@ def patient_volume(s: DataFrame, classes=None, start=None, end=None) -> DataFram
 
 
 def ed_visits(s: DataFrame, emergency: str, start=None, end=None) -> DataFrame:
-    return scope(s, [emergency], start, end).agg(F.count_distinct("id").alias("n_ed_visits"))
+    return scope(s, [emergency], start, end).agg(F.count("*").alias("n_ed_visits"))
 
 
 def ed_admission_rate(s: DataFrame, emergency: str, inpatient: str, start=None, end=None,
@@ -207,10 +206,22 @@ def transfer_pairs(s: DataFrame, inpatient: str, gap_days: int = 1) -> DataFrame
     return a.join(b, cond).select("from_id", "to_id", "patient", "from_org", "to_org")
 
 
+def first_death(deaths: DataFrame) -> DataFrame:
+    """(patient, death_ts), one row per patient, so that no stay is repeated."""
+    return deaths.groupBy("patient").agg(F.min("death_ts").alias("death_ts"))
+
+
+def stored_stays(s: DataFrame, inpatient: str) -> DataFrame:
+    """The stays of a class, written once for the several uses that follow."""
+    from ..sources.files import materialise
+    return materialise(scope(s, [inpatient]).select("id", "patient", "class", "organization", "cause", "start_ts", "stop_ts"), "stays")
+
+
 def discharge_disposition(s: DataFrame, inpatient: str, start=None, end=None,
                           deaths: DataFrame | None = None, gap_days: int = 1) -> DataFrame:
     """Inferred disposition: death (patient died during the stay, when a death table
     ``patient, death_ts`` is supplied), transfer (adjacency), open, invalid, home."""
+    s = stored_stays(s, inpatient)
     x = with_flags(scope(s, [inpatient], start, end, on="stop_ts") if start or end
                    else scope(s, [inpatient]))
     if start or end:
@@ -220,7 +231,7 @@ def discharge_disposition(s: DataFrame, inpatient: str, start=None, end=None,
     x = x.join(tr, "id", "left")
     died = F.lit(False)
     if deaths is not None:
-        x = x.join(deaths.select("patient", "death_ts"), "patient", "left")
+        x = x.join(first_death(deaths), "patient", "left")
         died = F.coalesce((F.col("death_ts") >= F.col("start_ts"))
                           & (F.col("death_ts") <= F.col("stop_ts")), F.lit(False))
     disp = (F.when(F.col("is_open"), "open").when(F.col("is_reversed"), "invalid")
@@ -235,7 +246,8 @@ def readmission_flags(s: DataFrame, inpatient: str, start: str, end: str, window
     """One row per inpatient index candidate discharged in ``[start, end)`` with its
     exclusion flags and ``readmitted`` (any later inpatient start of the same patient
     in ``(anchor, anchor + window]``; counted once per index)."""
-    base = with_flags(scope(s, [inpatient]))
+    s = stored_stays(s, inpatient)
+    base = with_flags(s)
     idx = base.where(in_window("stop_ts", start, end) | F.col("is_open"))
     anchor_col = F.col("stop_ts") if anchor == "discharge" else F.col("start_ts")
     idx = idx.withColumn("anchor_ts", anchor_col)
@@ -252,7 +264,7 @@ def readmission_flags(s: DataFrame, inpatient: str, start: str, end: str, window
     else:
         idx = idx.withColumn("x_transfer", F.lit(False))
     if deaths is not None:
-        idx = idx.join(deaths.select("patient", "death_ts"), "patient", "left").withColumn(
+        idx = idx.join(first_death(deaths), "patient", "left").withColumn(
             "x_death", F.coalesce(F.col("death_ts") <= F.col("stop_ts"), F.lit(False))).drop("death_ts")
     else:
         idx = idx.withColumn("x_death", F.lit(False))
@@ -310,7 +322,7 @@ def exclusion_report(s: DataFrame, inpatient: str, start: str, end: str, **kw) -
 def provider_volume(s: DataFrame, provider_col: str = "org_id", classes=None, start=None,
                     end=None) -> DataFrame:
     return (scope(s, classes, start, end).groupBy(F.col(provider_col).alias("provider"))
-            .agg(F.count_distinct("id").alias("n_encounters")))
+            .agg(F.count("*").alias("n_encounters")))
 
 
 def org_volume_ranking(s: DataFrame, orgs: DataFrame, inpatient: str, start=None, end=None,
@@ -318,7 +330,7 @@ def org_volume_ranking(s: DataFrame, orgs: DataFrame, inpatient: str, start=None
     """Top organisations by identity (name + city), not by id; ties broken by name, city."""
     x = scope(s, [inpatient], start, end).select("id", "org_id")
     j = x.join(orgs.select(F.col("org_key").alias("org_id"), "name", "city"), "org_id")
-    g = j.groupBy("name", "city").agg(F.count_distinct("id").alias("n_encounters"))
+    g = j.groupBy("name", "city").agg(F.count("*").alias("n_encounters"))
     w = Window.orderBy(F.desc("n_encounters"), F.asc("name"), F.asc("city"))
     return g.orderBy(F.desc("n_encounters"), "name", "city").limit(top_n) \
         .withColumn("rank", F.row_number().over(w))
@@ -338,7 +350,7 @@ def health_system_rollup(s: DataFrame, facility_to_system: DataFrame, start=None
     x = scope(s, classes, start, end).select("id", "org_id")
     j = x.join(facility_to_system, "org_id", "left")
     return j.groupBy(F.coalesce(F.col("system"), F.lit("unmapped")).alias("system")) \
-        .agg(F.count_distinct("id").alias("n_encounters"),
+        .agg(F.count("*").alias("n_encounters"),
              F.count_distinct("org_id").alias("n_facilities"))
 
 
@@ -349,7 +361,7 @@ def patient_dedup(patients: DataFrame, s: DataFrame) -> DataFrame:
     j = s.select("id", "patient").join(canon, "patient", "left")
     return j.groupBy(F.coalesce("canonical_patient", "patient").alias("canonical_patient")) \
         .agg(F.count_distinct("patient").alias("n_source_ids"),
-             F.count_distinct("id").alias("n_encounters"))
+             F.count("*").alias("n_encounters"))
 
 
 def payer_normalise(payers: DataFrame) -> DataFrame:
@@ -382,14 +394,18 @@ def payer_mix_patients(s: DataFrame, classes=None, start=None, end=None) -> Data
 
 
 def _share_of_total(x: DataFrame, counted: str, name: str) -> DataFrame:
-    """Distinct ``counted`` per payer key and over the whole scope in ONE aggregation
-    (a rollup); the grand-total row is spread over the small grouped result with an
-    empty window, so no second scan and no join is needed."""
-    r = (x.rollup("payer_key").agg(F.count_distinct(counted).alias(name),
-                                   F.grouping_id().alias("_g")))
-    tot = F.max(F.when(F.col("_g") == 1, F.col(name))).over(Window.partitionBy())
-    return (r.withColumn("denominator", tot).where("_g = 0").drop("_g")
-             .withColumn("share", F.round(F.col(name).cast(D) / F.col("denominator"), 9)))
+    """``counted`` per payer key and over the whole scope.  Stays are one row per id, so
+    they are counted; patients are counted once each per key and once over all (one
+    rollup).  The total is a scalar subquery over the grouped result."""
+    if counted == "id":
+        r = x.groupBy("payer_key").agg(F.count("*").alias(name))
+        total = r.agg(F.sum(name)).scalar()
+    else:
+        g = x.rollup("payer_key").agg(F.count_distinct(counted).alias(name), F.grouping_id().alias("_g"))
+        r, total = g.where("_g = 0").drop("_g"), g.where("_g = 1").select(name).scalar()
+    return r.withColumn("denominator", total).withColumn("share", F.round(F.col(name).cast(D) / F.col("denominator"), 9))
+
+
 def payer_mix_member_months(cov: DataFrame, start: str, end: str) -> DataFrame:
     """Covered member-months per payer from coverage spans ``patient, payer, from_ts,
     to_ts`` (open span runs to ``end``): months are counted by month arithmetic, not
