@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..sources.files import scratch_path
 
 NO_ID = (1 << 63) - 1
-SLICE_BYTES = 2 << 20          # text handled at a time by the vectorised scans
+SLICE_BYTES = 1 << 20          # text handled at a time by the vectorised scans
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -36,13 +36,16 @@ def text_key(text: str = "text") -> Column:
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns _id and _tkey of ``doc_rows`` and ``text_key``."""
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))) \
-        .withColumn("_tkey", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """(doc, _id, _tkey): the whole row, so that no column of ``docs`` can clash, and its
+    ``doc_rows`` id and ``text_key``."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tkey"))
 
 
 def own_columns(docs: DataFrame) -> list[Column]:
-    return [F.col(f"`{c}`") for c in docs.columns]
+    """The columns of ``docs``, out of ``doc``."""
+    return [F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
 
 
 def as_doc_id(col: str = "id") -> Column:

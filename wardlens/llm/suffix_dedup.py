@@ -36,8 +36,8 @@ from .common import NO_ID, SLICE_BYTES, as_doc_id, doc_rows, record, slices, sma
 from .shingles import mix, powers
 
 LENGTH, GRAM = 50, 20
-FLUSH = 16 << 20            # text bytes whose phrases a task holds before it sends them
-BUCKET_BYTES = 64 << 20     # text bytes, on average, whose phrases a task receives at a time
+FLUSH = 4 << 20             # text bytes whose phrases a task holds before it sends them
+BUCKET_BYTES = 16 << 20     # text bytes, on average, whose phrases a task receives at a time
 MANY = 64                   # phrases of a trigger in one batch that are dealt by phrase
 HOT = 10_000                # phrases of a trigger that are sorted string by string
 SORT_STRINGS = 300_000      # strings sorted at a time
