@@ -38,6 +38,7 @@ from .shingles import mix, powers
 LENGTH, GRAM = 50, 20
 FLUSH = 4 << 20             # text bytes whose phrases a task holds before it sends them
 BUCKET_BYTES = 16 << 20     # text bytes, on average, whose phrases a task receives at a time
+BIN_DOCS = 4096             # documents, on average, whose findings a task puts together at a time
 MANY = 64                   # phrases of a trigger in one batch that are dealt by phrase
 HOT = 10_000                # phrases of a trigger that are sorted string by string
 SORT_STRINGS = 300_000      # strings sorted at a time
@@ -46,8 +47,10 @@ REMOVED, OPEN = 0, 1
 PLAIN, SPREAD, MARK = 0, 1, 2
 PACK = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("h", "u", "id", "tkey", "place", "flag"))])
 PACK_DDL = "bucket long, h binary, u binary, id binary, tkey binary, place binary, flag binary"
-FOUND = pa.schema([("id", pa.int64()), ("tkey", pa.int64()), ("kind", pa.int32()), ("h", pa.binary()), ("place", pa.binary())])
-FOUND_DDL = "id long, tkey long, kind int, h binary, place binary"
+FOUND = pa.schema([("bin", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("id", "tkey", "h", "place"))])
+FOUND_DDL = "bin long, kind int, id binary, tkey binary, h binary, place binary"
+OWN = pa.schema([("id", pa.int64()), ("tkey", pa.int64()), ("kind", pa.int32()), ("h", pa.binary()), ("place", pa.binary())])
+OWN_DDL = "id long, tkey long, kind int, h binary, place binary"
 PHRASE = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("tkey", pa.int64()), ("lo", pa.int64()), ("bytes", pa.binary())])
 PHRASE_DDL = "h long, id long, tkey long, lo long, bytes binary"
 SPANS = pa.schema([("id", pa.int64()), ("tkey", pa.int64()), ("spans", pa.binary())])
@@ -128,11 +131,8 @@ def _send(buckets: int, many: int):
         new = new_h | np.r_[True, u[1:] != u[:-1]]
         smallest = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
         late = ids > smallest
-        docs = list(_by_document(ids[late], tkeys[late], place[late]))
-        if docs:
-            empty = [b""] * len(docs)
-            yield record(PACK, [-1] * len(docs), empty, empty, [np.int64(d[0]).tobytes() for d in docs],
-                         [np.int64(d[1]).tobytes() for d in docs], [d[2] for d in docs], empty)
+        if late.any():
+            yield record(PACK, [-1], [h[late].tobytes()], [b""], *([c[late].tobytes()] for c in (ids, tkeys, place)), [b""])
         of_h = np.cumsum(new_h) - 1
         phrases = np.bincount(of_h, weights=new)[of_h]
         flag = np.where(phrases > many, SPREAD, PLAIN).astype(np.uint8)
@@ -166,12 +166,24 @@ def _send(buckets: int, many: int):
 
 # --- dictionary --------------------------------------------------------------------
 
-def _dictionary(batches):
-    """Rows by bucket: for each document the phrases to remove, and those still open."""
+def _dictionary(bins: int):
+    """Rows by bucket: the phrases to remove, and those still open, packed by document bin."""
     kinds = {"h": np.uint64, "u": np.uint64, "id": np.int64, "tkey": np.int64, "place": np.int64, "flag": np.uint8}
 
+    def unpack(rows, names):
+        return [np.frombuffer(b"".join(c), kinds[n]) for n, c in zip(names, zip(*rows))]
+
+    def packed(kind, h, ids, tkeys, place):
+        if len(h):
+            at = (mix(ids.view(np.uint64)) % np.uint64(bins)).astype(np.int64)
+            order = np.lexsort((tkeys, ids, at))
+            at, cols = at[order], [c[order] for c in (ids, tkeys, h, place)]
+            cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            ends = np.append(cut[1:], len(at))
+            yield record(FOUND, at[cut], [kind] * len(cut), *([c[x:y].tobytes() for x, y in zip(cut, ends)] for c in cols))
+
     def finish(held):
-        h, u, ids, tkeys, place, flag = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*held), kinds.values()))
+        h, u, ids, tkeys, place, flag = unpack(held, kinds)
         order = np.lexsort((ids, u, h))
         h, u, ids, tkeys, place, flag = (c[order] for c in (h, u, ids, tkeys, place, flag))
         real = flag != MARK
@@ -185,29 +197,49 @@ def _dictionary(batches):
         several = (np.bincount(of_h, weights=new) > 1) | (np.bincount(of_h, weights=flag == MARK) > 0)
         still = real & ~late & (several[of_h] | (flag == SPREAD))
         for kind, pick in ((REMOVED, late), (OPEN, still)):
-            docs = list(_by_document(ids[pick], tkeys[pick], h[pick], place[pick]))
-            for lo in range(0, len(docs), 5000):
-                i, k, hs, ps = zip(*docs[lo:lo + 5000])
-                yield record(FOUND, i, k, [kind] * len(i), hs if kind == OPEN else [b""] * len(i), ps)
+            yield from packed(kind, h[pick], ids[pick], tkeys[pick], place[pick])
 
-    bucket, held = None, []
+    def run(batches):
+        bucket, held = None, []
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in PACK.names]
+            for x, *row in zip(*cols):
+                if x == -1:                             # known to the sender
+                    h, ids, tkeys, place = unpack([(row[0], *row[2:5])], ("h", "id", "tkey", "place"))
+                    yield from packed(REMOVED, h, ids, tkeys, place)
+                    continue
+                if x != bucket:
+                    if held:
+                        yield from finish(held)
+                    bucket, held = x, []
+                held.append(row)
+        if held:
+            yield from finish(held)
+    return run
+
+
+def _by_bin(batches):
+    """Rows by bin: one row for each document and kind."""
+    def finish(rows):
+        for kind in (REMOVED, OPEN):
+            mine = [r[1:] for r in rows if r[0] == kind]
+            if mine:
+                ids, tkeys, h, place = (np.frombuffer(b"".join(c), np.int64) for c in zip(*mine))
+                docs = list(_by_document(ids, tkeys, h, place))
+                for lo in range(0, len(docs), 1000):
+                    i, k, hs, ps = zip(*docs[lo:lo + 1000])
+                    yield record(OWN, i, k, [kind] * len(i), hs if kind == OPEN else [b""] * len(i), ps)
+
+    at, rows = None, []
     for b in batches:
-        cols = {c: b.column(c).to_pylist() for c in PACK.names}
-        known = [j for j, x in enumerate(cols["bucket"]) if x == -1]
-        if known:
-            yield record(FOUND, [int.from_bytes(cols["id"][j], "little", signed=True) for j in known],
-                         [int.from_bytes(cols["tkey"][j], "little", signed=True) for j in known],
-                         [REMOVED] * len(known), [b""] * len(known), [cols["place"][j] for j in known])
-        for x, *row in zip(*cols.values()):
-            if x == -1:
-                continue
-            if x != bucket:
-                if held:
-                    yield from finish(held)
-                bucket, held = x, []
-            held.append(row)
-    if held:
-        yield from finish(held)
+        for x, *row in zip(*(b.column(c).to_pylist() for c in FOUND.names)):
+            if x != at:
+                if rows:
+                    yield from finish(rows)
+                at, rows = x, []
+            rows.append(row)
+    if rows:
+        yield from finish(rows)
 
 
 # --- suffix array ------------------------------------------------------------------
@@ -216,9 +248,8 @@ def _open_phrases(batches):
     """The bytes of the open phrases of each text."""
     for b in batches:
         texts = strings_of(b.column("text"))
-        for text, i, k, hs, ps in zip(texts, *(b.column(c).to_pylist() for c in ("id", "tkey", "hs", "places"))):
-            h = np.frombuffer(b"".join(hs), np.int64)
-            place = np.frombuffer(b"".join(ps), np.int64)
+        for text, i, k, hs, ps in zip(texts, *(b.column(c).to_pylist() for c in ("id", "tkey", "h", "place"))):
+            h, place = np.frombuffer(hs, np.int64), np.frombuffer(ps, np.int64)
             lo, n = place >> 5, (place & 31) + 1
             yield record(PHRASE, h, np.full(len(h), i), np.full(len(h), k), lo,
                          [text[s:e] for s, e in zip(lo.tolist(), (lo + n + LENGTH - 1).tolist())])
@@ -291,21 +322,6 @@ def _earlier(batches):
         yield from finish(rows)
 
 
-def _spans(places: np.ndarray) -> bytes:
-    lo = places >> 5
-    return np.stack([lo, lo + (places & 31) + LENGTH], axis=1).tobytes()
-
-
-def _spans_of_places(batches):
-    for b in batches:
-        yield record(SPANS, b.column("id"), b.column("tkey"), [_spans(np.frombuffer(p, np.int64)) for p in b.column("place").to_pylist()])
-
-
-def _spans_of_lists(batches):
-    for b in batches:
-        yield record(SPANS, b.column("id"), b.column("tkey"), [_spans(np.array(p, np.int64)) for p in b.column("places").to_pylist()])
-
-
 def merged(spans: np.ndarray) -> np.ndarray:
     """Maximal runs of [start, end) spans."""
     if not len(spans):
@@ -317,40 +333,44 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, many: int = MANY) -> DataFrame:
-    """docs rows (id, tkey, text) with ``spans``: packed [start, end) byte pairs to remove
-    (not merged), null for none."""
+    """docs rows (id, tkey, text) with what to remove, null for nothing: ``places`` of whole
+    phrases and ``strings``, packed, and ``spans``, packed [start, end) byte pairs."""
     rows = doc_rows(docs).withColumn("tkey", text_key())
-    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = max(1, -(-int(total) // bucket_bytes))
+    total = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
+    buckets, bins = max(1, -(-int(total["bytes"] or 0) // bucket_bytes)), max(1, -(-total["n"] // BIN_DOCS))
     sent = rows.select("id", "tkey", "text").mapInArrow(_send(buckets, many), PACK_DDL)
-    # what is known already only passes through: dealt by document
-    dealt = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("id"))
+    # what is known already only passes through, dealt by what it is
+    dealt = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("place"))
     found = store(sent.withColumn("dealt", dealt).repartition("dealt").sortWithinPartitions("bucket").drop("dealt")
-                  .mapInArrow(_dictionary, FOUND_DDL), "op1-found")
+                  .mapInArrow(_dictionary(bins), FOUND_DDL)
+                  .repartition("bin").sortWithinPartitions("bin").mapInArrow(_by_bin, OWN_DDL), "op1-found")
 
-    still = found.where(f"kind = {OPEN}").groupBy("id", "tkey").agg(F.collect_list("h").alias("hs"), F.collect_list("place").alias("places"))
     # always by sorting: open phrases are as many as the corpus makes them
-    phrases = store(rows.join(still.hint("merge"), ["id", "tkey"]).select("id", "tkey", "text", "hs", "places")
-                    .mapInArrow(_open_phrases, PHRASE_DDL), "op1-phrases")
+    still = found.where(f"kind = {OPEN}").select("id", "tkey", "h", "place").hint("merge")
+    phrases = store(rows.join(still, ["id", "tkey"]).select("id", "tkey", "text", "h", "place").mapInArrow(_open_phrases, PHRASE_DDL), "op1-phrases")
     counts = phrases.groupBy("h").agg(F.count("*").alias("n")).where(f"n > {hot}")
     cool = phrases.join(counts, "h", "left_anti").withColumn("sub", F.lit(0).cast("long"))
     warm = phrases.join(counts.select("h"), "h", "left_semi").mapInArrow(_strings, PHRASE_DDL)
     first = warm.where("octet_length(bytes) > 0").withColumn("sub", F.xxhash64("bytes"))
     later = (cool.unionByName(first).repartition("h", "sub").sortWithinPartitions("h", "sub")
              .mapInArrow(_earlier, "id long, tkey long, spans binary"))
-    # a single late string: the place of a phrase of one
-    late = warm.where("octet_length(bytes) = 0").select("id", "tkey", F.shiftleft("lo", 5).alias("place")) \
-        .groupBy("id", "tkey").agg(F.collect_list("place").alias("places")).mapInArrow(_spans_of_lists, "id long, tkey long, spans binary")
-    whole = found.where(f"kind = {REMOVED}").select("id", "tkey", "place").mapInArrow(_spans_of_places, "id long, tkey long, spans binary")
-    spans = store(whole.unionByName(later).unionByName(late).groupBy("id", "tkey").agg(F.collect_list("spans").alias("spans")), "op1-spans")
-    return rows.join(spans.hint("merge"), ["id", "tkey"], "left").select("id", "tkey", "text", "spans")
+    late = warm.where("octet_length(bytes) = 0").select("id", "tkey", F.col("lo").alias("string"))
+    whole = found.where(f"kind = {REMOVED}").select("id", "tkey", "place")
+    removed = whole.unionByName(later, allowMissingColumns=True).unionByName(late, allowMissingColumns=True).groupBy("id", "tkey").agg(
+        F.collect_list("place").alias("places"), F.collect_list("spans").alias("spans"), F.collect_list("string").alias("strings"))
+    removed = store(removed, "op1-spans")
+    return rows.join(removed.hint("merge"), ["id", "tkey"], "left").select("id", "tkey", "text", "places", "spans", "strings")
 
 
 def _digest(batches):
     for b in batches:
         out = [], [], [], []
-        for text, spans in zip(strings_of(b.column("text")), b.column("spans").to_pylist()):
-            cut = merged(np.frombuffer(b"".join(spans or []), np.int64).reshape(-1, 2))
+        cols = (b.column(c).to_pylist() for c in ("places", "spans", "strings"))
+        for text, places, spans, strings in zip(strings_of(b.column("text")), *cols):
+            place = np.frombuffer(b"".join(places or []), np.int64)
+            lo, string = place >> 5, np.array(strings or [], np.int64)
+            cut = merged(np.concatenate([np.stack([lo, lo + (place & 31) + LENGTH], axis=1), np.stack([string, string + LENGTH], axis=1),
+                                         np.frombuffer(b"".join(spans or []), np.int64).reshape(-1, 2)]))
             sha, at = hashlib.sha256(), 0
             for lo, hi in cut.tolist():
                 sha.update(text[at:lo])
