@@ -40,8 +40,19 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def make_importable(spark: SparkSession) -> None:
+    """Let the Python workers of a local session import this package from where the
+    driver did, whatever the working folder.  On a cluster it is installed."""
+    sc, root = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if sc.master.startswith("local"):
+        known = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in known:
+            sc.environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def apply_query_conf(spark: SparkSession) -> None:
     """Set the query-level settings on an existing session (the driver builds its own)."""
+    make_importable(spark)
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
               "spark.sql.adaptive.skewJoin.enabled"):
         spark.conf.set(k, BASE_CONF[k])
