@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import make_importable
 from ..sources.files import scratch_path
 
 NO_ID = (1 << 63) - 1
@@ -72,6 +73,7 @@ def settings(spark: SparkSession, **values):
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of bounded size: texts can be long, and a worker holds a batch."""
+    make_importable(spark)
     spark.conf.set(BATCH_ROWS, "2000")
     spark.conf.set(BATCH_BYTES, str(8 << 20))
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import make_importable
 from .common import BATCH_ROWS, record, store
 
 K = 20
@@ -217,6 +218,7 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, probes: int =
     part; repeated rows count once; vectors of another length are no candidates; further
     columns do no harm; an empty table, or one row, gives an empty result."""
     spark = embeddings.sparkSession
+    make_importable(spark)
     spark.conf.set(BATCH_ROWS, "4096")
     rows = valid_vectors(embeddings)
     scale = rows.agg(F.max(F.expr("array_max(transform(embedding, x -> abs(x)))")).alias("m")).first()["m"] or 1.0

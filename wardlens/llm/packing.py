@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import make_importable
 from .common import as_doc_id, doc_rows, record, text_key
 
 WINDOW = 2048
@@ -188,6 +189,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
     itself; ties in score go to the smaller doc_id, then the smaller text key; an empty
     table gives an empty result.  A shard is a task's group: about ``shard_bytes`` of
     text, or one longer document."""
+    make_importable(docs.sparkSession)
     path = tokenizer_path or default_tokenizer()
     rows = doc_rows(docs)
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
