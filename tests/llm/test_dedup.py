@@ -140,12 +140,15 @@ def test_keep_one(spark):
 def test_point_bound_is_never_below_the_overlap():
     import numpy as np
     rng = np.random.default_rng(1)
-    for _ in range(50):
-        a = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64) << np.uint64(1))
-        b = np.unique(np.concatenate([a[:200], rng.integers(0, 1 << 63, 100).astype(np.uint64)]))
+    for n in [100, 300, 2040, 2048, 2049, 5000] * 4:
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1))
+        b = np.unique(np.concatenate([a[:n * 2 // 3], rng.integers(0, 1 << 63, n // 2).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
-        assert np.minimum(jaccard_join.point(a), jaccard_join.point(b)).sum() >= both
+        p, q = jaccard_join.point(a), jaccard_join.point(b)
+        assert np.minimum(jaccard_join.narrow(p), jaccard_join.narrow(q)).sum(dtype=np.int64) >= both
         assert jaccard_join.minima(jaccard_join.fine_point(a), jaccard_join.fine_point(b)) >= both
+        large = tuple(len(x) > jaccard_join.FINE for x in (a, b))
+        assert jaccard_join.overlap_bound(*(x if w else jaccard_join.fine_point(y) for x, w, y in zip((p, q), large, (a, b))), large) >= both
 
 
 def brute_lines(rows, depth=3, min_docs=10, similarity=0.8):
