@@ -44,8 +44,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
-def _words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start places of the words; no word goes over a place in ``breaks``."""
+def _words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, start places and lengths of the words; none goes over a place in ``breaks``."""
     word = ~_WHITE[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -59,37 +59,49 @@ def _words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_LOWER[data] + np.uint64(1)) * up[:len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends - starts
 
 
 def words_of(texts: pa.Array):
-    """Yields (row, word hashes) of every text."""
+    """Yields (row, word hashes, word lengths in bytes) of every text."""
     data, offsets = utf8(texts)
     for a, b in slices(np.diff(offsets)):
         lo, hi = int(offsets[a]), int(offsets[b])
         if hi - lo <= 2 * SLICE_BYTES:
-            hashes, starts = _words(data[lo:hi], offsets[a:b + 1] - lo)
+            hashes, starts, sizes = _words(data[lo:hi], offsets[a:b + 1] - lo)
             at = np.searchsorted(starts, offsets[a:b + 1] - lo)
             for i in range(b - a):
-                yield a + i, hashes[at[i]:at[i + 1]]
+                yield a + i, hashes[at[i]:at[i + 1]], sizes[at[i]:at[i + 1]]
             continue
         parts = []                              # one very long text, cut at white space
         while lo < hi:
             end = min(lo + SLICE_BYTES, hi)
             while end < hi and not _WHITE[data[end]]:
                 end += 1
-            parts.append(_words(data[lo:end], np.zeros(0, np.int64))[0])
+            hashes, _, sizes = _words(data[lo:end], np.zeros(0, np.int64))
+            parts.append((hashes, sizes))
             lo = end
-        yield a, np.concatenate(parts)
+        yield a, *(np.concatenate(x) for x in zip(*parts))
 
 
-def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
-    """Sorted distinct shingles; of fewer words the whole sequence; of none nothing."""
-    if not len(words):
-        return words
-    n = min(size, len(words))
+def _shingles(words: np.ndarray, n: int) -> np.ndarray:
     total = np.full(len(words) - n + 1, n, np.uint64)
     for i in range(n):
         total = (total * np.uint64(BASE)) ^ words[i:len(words) - n + 1 + i]
         total = mix(total)
-    return np.unique(total)
+    return total
+
+
+def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
+    """Sorted distinct shingles; of fewer words the whole sequence; of none nothing."""
+    return np.unique(_shingles(words, min(size, len(words)))) if len(words) else words
+
+
+def sized_shingles(words: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with each shingle's length, the sum of its words'."""
+    if not len(words):
+        return words, lengths
+    n = min(size, len(words))
+    shingles, first = np.unique(_shingles(words, n), return_index=True)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return shingles, (ends[n:] - ends[:-n])[first]
