@@ -171,6 +171,28 @@ def test_language_id(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got} - {900, 901, 902, 904}
 
 
+FOREIGN = {
+    "it": "Il governo ha annunciato ieri che le nuove misure entreranno in vigore all'inizio del prossimo anno. Molte persone si chiedono se il tempo basti",
+    "pt": "O governo anunciou ontem que as novas medidas entrarão em vigor no início do próximo ano. Muitas pessoas perguntam se haverá tempo suficiente",
+    "nl": "De regering heeft gisteren aangekondigd dat de nieuwe maatregelen begin volgend jaar van kracht worden. Veel mensen vragen zich af of dat lukt",
+    "pl": "Rząd ogłosił wczoraj, że nowe środki wejdą w życie na początku przyszłego roku. Wielu ludzi pyta, czy wystarczy czasu",
+    "ru": "Правительство объявило вчера, что новые меры вступят в силу в начале следующего года. Многие спрашивают, хватит ли времени",
+    "zh": "政府昨天宣布新措施将于明年年初生效市民须在三月底前向所在城市的市政办公室提交申请",
+    "ja": "政府は昨日新しい措置が来年の初めに発効し市民は三月末までに市役所に申請書を提出しなければならないと発表した"}
+
+
+def test_unlearned_languages_are_rejected(spark):
+    rng = random.Random(8)
+    learned = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = [f"{text}. " * n for text in FOREIGN.values() for n in (1, 5)]
+    odd += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (150, 3000)]
+    df = learned.unionByName(spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in language_id.language_id(df).collect()}
+    assert all(got[10**9 + i].rejected for i in range(len(odd)))
+    clean = [r for i, r in got.items() if i < 10**9 and r.held_out and r.lang_pred != "und"]
+    assert sum(r.rejected for r in clean) <= 0.02 * len(clean)
+
+
 def test_language_id_without_labels(spark, no_docs):
     df = documents(spark, [(1, "abc", None), (2, None, None)])
     assert {(r.lang_pred, r.score) for r in language_id.language_id(df).collect()} == {("und", 0.0)}

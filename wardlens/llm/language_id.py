@@ -3,8 +3,12 @@
 A text becomes a normalised TF-IDF vector of hashed letter n-grams.  Each language has
 several centroids, clustered by spherical k-means from a bounded sample of labelled
 texts; the language of the closest centroid by cosine wins.  A text is rejected when it
-has no letter, or is much further from its centroid than the language's farthest
-training text (``SLACK``): short texts are far by nature, and stay.
+has no letter, or is further from its centroid than nearly all clean texts of its size.
+Size is the number of distinct n-grams, as a text with few of them (short, or a word over
+and over) is far by nature.  The bounds come from the labelled sample: each text and its
+leading pieces are compared with the centroids less the text itself, and a low quantile
+(``CUT``) of the cosines of each language and size, times ``SLACK``, is the bound.  So about
+``CUT`` of clean texts, at most, are rejected.
 """
 
 from __future__ import annotations
@@ -21,13 +25,18 @@ DIMS = 4096                  # hashed n-gram space
 SAMPLE_PER_LANG = 2000       # labelled texts per language to learn from, on average
 CENTROIDS = 4                # per language
 ROUNDS = 8                   # of k-means
-SLACK = 0.25                 # a text is too far with less than this part of the cosine of the farthest training text
+PIECES = [1 << n for n in range(2, 13)]      # leading bytes of a labelled text that show what shorter texts score
+CUT = 0.001                  # quantile of the clean cosines of a language and size
+SLACK = 0.9                  # a text is too far with less than this part of that quantile
+ENOUGH = 20                  # cosines that a language and size need for a bound of their own
+SIZES = 25                   # two size classes for each doubling of the n-grams, up to DIMS
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
-VECTOR = pa.schema([("lang", pa.string()), ("order", pa.int64()), ("vec", pa.binary())])
-CENTROID = pa.schema([("lang", pa.string()), ("c", pa.int32()), ("reach", pa.float64()), ("vec", pa.binary())])
+VECTOR = pa.schema([("lang", pa.string()), ("order", pa.int64()), ("vec", pa.binary()), ("head", pa.binary())])
+CENTROID = pa.schema([("lang", pa.string()), ("c", pa.int32()), ("mass", pa.float64()), ("vec", pa.binary())])
+CLEAN = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("cos", pa.float64())])
 LABEL = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()),
                    ("score", pa.float64()), ("rejected", pa.bool_())])
 
@@ -72,6 +81,11 @@ def _vectors(m: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return _unit(np.log1p(m) * idf)
 
 
+def _sizes(m: np.ndarray) -> np.ndarray:
+    """Size class of each row by its number of distinct n-grams."""
+    return (2 * np.log2(np.maximum((m > 0).sum(axis=1), 1))).astype(int).clip(0, SIZES - 1)
+
+
 def sample(rows: DataFrame, per_lang: int) -> DataFrame:
     """Labelled rows by a hash of the id: about ``per_lang`` of each language."""
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -83,18 +97,20 @@ def sample(rows: DataFrame, per_lang: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, k: int = CENTROIDS):
-    """(languages, centroids, reach of each centroid's language, idf); learns from labelled rows whose
-    crc32(doc_id) mod 5 is not 0, never from held-out ones."""
+    """(languages, centroids, bounds of each centroid's language by size, idf); learns from labelled
+    rows whose crc32(doc_id) mod 5 is not 0, never from held-out ones."""
     rows = docs.select("doc_id", *[F.col(c) for c in ("text", "lang")]).where("doc_id is not null and lang is not null and text is not null")
     rows = rows.where("crc32(cast(doc_id as string)) % 5 != 0").select(F.col("doc_id").alias("id"), "text", "lang")
 
     def vectors(batches):
         for b in batches:
             langs, ids = b.column("lang").to_pylist(), b.column("id").to_pylist()
-            for lo, hi, m in counts(_prepared(b.column("text"))):
-                yield record(VECTOR, langs[lo:hi], ids[lo:hi], [r.astype(np.float32).tobytes() for r in m])
+            texts = _prepared(b.column("text"))
+            for lo, hi, m in counts(texts):
+                heads = [t[:PIECES[-1]] for t in strings_of(texts[lo:hi])]
+                yield record(VECTOR, langs[lo:hi], ids[lo:hi], [r.astype(np.float32).tobytes() for r in m], heads)
 
-    taken = store(sample(rows, per_lang).mapInArrow(vectors, "lang string, order long, vec binary"), "op7-sample")
+    taken = store(sample(rows, per_lang).mapInArrow(vectors, "lang string, order long, vec binary, head binary"), "op7-sample")
 
     def document_counts(batches):
         seen, n = np.zeros(DIMS, np.int64), 0
@@ -122,19 +138,69 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, k: int = CENTROIDS):
         for _ in range(ROUNDS):
             near = (x @ c.T).argmax(axis=1)
             c = _unit(np.vstack([x[near == j].sum(axis=0) if (near == j).any() else c[j] for j in range(len(c))]))
-        reach = [float(1 - (x @ c.T).max(axis=1).min())] * len(c)
-        return pa.table({"lang": [lang] * len(c), "c": pa.array(range(len(c)), pa.int32()), "reach": reach,
+        near = (x @ c.T).argmax(axis=1)
+        mass = [float(np.linalg.norm(x[near == j].sum(axis=0))) for j in range(len(c))]
+        return pa.table({"lang": [lang] * len(c), "c": pa.array(range(len(c)), pa.int32()), "mass": mass,
                          "vec": [v.astype(np.float32).tobytes() for v in c]}, schema=CENTROID)
 
-    found = taken.groupBy("lang").applyInArrow(cluster, "lang string, c int, reach double, vec binary").collect()
+    found = taken.select("lang", "order", "vec").groupBy("lang").applyInArrow(cluster, "lang string, c int, mass double, vec binary").collect()
     found.sort(key=lambda r: (r["lang"], r["c"]))
     centroids = np.array([np.frombuffer(r["vec"], np.float32) for r in found], np.float64).reshape(len(found), DIMS)
-    return [r["lang"] for r in found], centroids, np.array([r["reach"] for r in found]), idf
+    langs = [r["lang"] for r in found]
+    return langs, centroids, bounds(taken, langs, centroids, np.array([r["mass"] for r in found]), idf), idf
+
+
+def bounds(taken: DataFrame, langs: list[str], centroids: np.ndarray, mass: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """``CUT`` quantile of the cosines of clean texts, per centroid (its language's) and size."""
+    out = np.zeros((len(langs), SIZES))
+    if not langs:
+        return out
+    shared = taken.sparkSession.sparkContext.broadcast((langs, centroids, mass, idf))
+
+    def clean(batches):
+        langs, centroids, mass, idf = shared.value
+        of = np.array(langs)
+
+        def cosines(labels, vec, pieces, row):
+            """Of the pieces (counts) of texts ``row``, whose own part is taken out of their centroids."""
+            x = _vectors(vec, idf)
+            own = np.where(of[None, :] == labels[:, None], x @ centroids.T, -2).argmax(axis=1)
+            left = np.sqrt(np.maximum(mass[own] ** 2 - 2 * mass[own] * (x * centroids[own]).sum(axis=1) + 1, 0))
+            v = _vectors(pieces, idf)
+            cos = v @ centroids.T
+            at = np.arange(len(v)), own[row]
+            less = (mass[own][row] * cos[at] - (v * x[row]).sum(axis=1)) / np.maximum(left[row], 1e-12)
+            cos[at] = np.where(left[row] > 1e-3, less, -1)
+            near = cos.argmax(axis=1)
+            right = of[near] == labels[row]            # of a wrong language it says nothing
+            return record(CLEAN, labels[row][right].tolist(), _sizes(pieces)[right].astype(np.int32), cos.max(axis=1)[right])
+
+        for b in batches:
+            for lo in range(0, len(b), 64):
+                part = b.slice(lo, 64)
+                labels, heads = np.array(part.column("lang").to_pylist()), part.column("head").to_pylist()
+                vec = np.frombuffer(b"".join(part.column("vec").to_pylist()), np.float32).reshape(-1, DIMS).astype(float)
+                lettered = np.flatnonzero([bool(LETTER.search(h.decode("utf-8", "replace"))) for h in heads])
+                if len(lettered):
+                    yield cosines(labels, vec, vec[lettered], lettered)
+                cut = [(i, heads[i][:n].decode("utf-8", "ignore")) for i in lettered for n in PIECES if n < len(heads[i])]
+                for a, z, m in counts(pa.array([t for _, t in cut], pa.large_string())):
+                    yield cosines(labels, vec, m, np.array([i for i, _ in cut[a:z]]))
+
+    low = F.count("*").alias("n"), F.percentile("cos", F.lit(CUT)).alias("low")
+    scored = store(taken.select("lang", "vec", "head").mapInArrow(clean, "lang string, size int, cos double"), "op7-clean")
+    own = {(r["lang"], r["size"]): r["low"] for r in scored.groupBy("lang", "size").agg(*low).collect() if r["n"] >= ENOUGH}
+    pooled = {r["size"]: r["low"] for r in scored.groupBy("size").agg(*low).collect() if r["n"] >= ENOUGH}
+    for i, lang in enumerate(langs):
+        mine = {size: v for (name, size), v in own.items() if name == lang} or pooled
+        for size in range(SIZES):                      # a size seen too seldom has the bound of the one below it
+            out[i, size] = mine.get(size, out[i, size - 1] if size else 0)
+    return out
 
 
 def _labels(texts: pa.Array, model, slack: float):
     """(language, score, rejected) arrays of the texts."""
-    langs, centroids, reach, idf = model
+    langs, centroids, low, idf = model
     n = len(texts)
     lettered = np.array([bool(LETTER.search(t.decode("utf-8", "replace"))) for t in strings_of(texts.fill_null(""))], bool)
     score, pred, out = np.zeros(n), [UNKNOWN] * n, np.ones(n, bool)
@@ -143,7 +209,7 @@ def _labels(texts: pa.Array, model, slack: float):
             cos = _vectors(m, idf) @ centroids.T
             near = cos.argmax(axis=1)
             score[lo:hi] = cos[np.arange(hi - lo), near].clip(0, 1)
-            out[lo:hi] = score[lo:hi] < slack * (1 - reach[near])
+            out[lo:hi] = score[lo:hi] < slack * low[near, _sizes(m)]
             for i, j in enumerate(near):
                 pred[lo + i] = langs[j]
     score[~lettered], out[~lettered] = 0, True
