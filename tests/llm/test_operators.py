@@ -258,6 +258,27 @@ def test_packing_is_an_exact_round_trip(docs):
     assert len(windows) <= math.ceil(total / packing.WINDOW) + shards
 
 
+def test_packing_deals_neighbours_to_one_shard(spark):
+    rng = random.Random(12)
+    common = prose(rng, 60).split()
+    rows = []
+    for i in range(200):                                # two documents a topic
+        topic = ["".join(rng.choice("bcdfgjklmnpqrstvwxz") + rng.choice("aeiou") for _ in range(3)) for _ in range(30)]
+        rows += [(2 * i + j, " ".join(rng.choice(topic if rng.random() < 0.7 else common) for _ in range(200))) for j in (0, 1)]
+    size = sum(len(t) for _, t in rows) // 20
+    got = packing.pack_documents(documents(spark, rows), shard_bytes=size).collect()
+    shards = {}
+    for r in got:
+        shards.setdefault(r.doc_id, set()).add(r.sequence_id >> 32)
+    assert len(set().union(*shards.values())) >= 20
+    assert sum(bool(shards[2 * i] & shards[2 * i + 1]) for i in range(200)) >= 60         # a hash of ids: about 10
+    copies = documents(spark, [(i, rows[0][1]) for i in range(400)])      # a hot key is salted
+    per = {}
+    for r in packing.pack_documents(copies, shard_bytes=size).collect():
+        per.setdefault(r.sequence_id >> 32, set()).add(r.doc_id)
+    assert len(per) > 10 and max(map(len, per.values())) < 60
+
+
 def test_words_have_the_tokenizers_ids():
     tk = packing.tokenizer(packing.default_tokenizer())
     texts = ["", "  a  b ", "Hello's WORLD!! 12 ½ don't", "日本", "x\x1cy", "İstanbul ÀÉß", "a_b __ c'd ''s 're", "<|endoftext|> x", "tab\tnl\n\x0b\x0c"]

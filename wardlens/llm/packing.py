@@ -1,7 +1,11 @@
 """Lexical retrieval packing (operator 9).
 
-Documents are dealt to shards of about ``SHARD_BYTES`` of text by a hash; the number of
-shards follows the corpus.  A shard holds a BM25 inverted index of its documents.  Long
+Documents are dealt to shards of at most about ``SHARD_BYTES`` of text by content; the
+number of shards follows the corpus.  A document's key is the token of smallest rank, ranks
+being drawn so that rare tokens come first more often (min-hash weighted by rarity), and
+documents of one key share a shard.  A key with more text than a shard holds is divided by
+a second such key, and what is still too much (copies) by a hash.  Neighbours with other
+keys can be in other shards.  A shard holds a BM25 inverted index of its documents.  Long
 documents give whole windows first.  Then the unused document of smallest id seeds a
 window, its unused BM25 neighbours fill it in score order, and the neighbour that does
 not fit is cut; its rest seeds the next window.  So only the last window of a shard can
@@ -20,17 +24,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import make_importable
-from .common import as_doc_id, doc_rows, record, text_key
+from .common import as_doc_id, doc_rows, record, small_batches, store, text_key
 
 WINDOW = 2048
 END_ID = 1                     # closes each document
 SHARD_BYTES = 3 << 20
 K1, B = 1.2, 0.75
+RARITY = 8                     # power of a token's log rarity in its weight as a key
+SUBS = 16                      # second keys for each shard that a large key fills
 CACHE_WORDS = 600_000          # words whose ids a worker keeps
 
 PIECE = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                    ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+TOKENS = pa.schema([("id", pa.int64()), ("tkey", pa.int64()), ("size", pa.int64()), ("tokens", pa.binary())])
+DEALT = pa.schema([("id", pa.int64()), ("tkey", pa.int64()), ("tokens", pa.binary()), ("shard", pa.int64())])
+CELL = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
 PIECE_DDL = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -181,26 +189,130 @@ def pack(docs: list[np.ndarray], window: int = WINDOW):
     return out
 
 
+def _packed(path: str) -> str:
+    """Type of the stored ids."""
+    return "<u2" if tokenizer(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def _tokens(batch: pa.RecordBatch, kind: str):
+    """(ids of the batch's documents end to end, where each begins)."""
+    raw = batch.column(batch.schema.names.index("tokens")).to_pylist()
+    sizes = np.array([len(r) for r in raw]) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(raw), kind), np.cumsum(sizes) - sizes
+
+
+def _totals(rows: DataFrame, cells) -> dict[int, int]:
+    """Sums of ``cells(batch)``, (cell, n) arrays, over all batches."""
+    def run(batches):
+        for b in batches:
+            if len(b):
+                at, n = cells(b)
+                key, place = np.unique(at, return_inverse=True)
+                yield record(CELL, key.astype(np.int64), np.bincount(place, n).astype(np.int64))
+
+    return {r["cell"]: r["n"] for r in rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+
+
+def ranks(seen: np.ndarray, seed: int) -> np.ndarray:
+    """Order of the tokens as keys; those met once (no one shares them) come last."""
+    weight = np.where(seen > 1, np.log1p(seen.sum() / np.maximum(seen, 1)) ** RARITY, 1e-9)
+    drawn = -np.log(1 - np.random.default_rng(seed).random(len(seen))) / weight
+    out = np.empty(len(seen), np.int64)
+    out[np.argsort(drawn, kind="stable")] = np.arange(len(seen))
+    return out
+
+
+def _plan(sizes: list[tuple[int, int]], shard_bytes: int) -> dict[int, tuple[int, int]]:
+    """(first shard, number of shards) of each cell, in the order given."""
+    out, shard, held = {}, 0, 0
+    for cell, n in sizes:
+        if held and held + n > shard_bytes:
+            shard, held = shard + 1, 0
+        parts = max(1, -(-n // shard_bytes))
+        out[cell] = shard, parts
+        shard, held = (shard, held + n) if parts == 1 else (shard + parts, 0)
+    return out
+
+
+def deal(rows: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(id, tkey, tokens, shard) of rows (id, text)."""
+    small_batches(rows.sparkSession)
+    kind, vocabulary = _packed(path), tokenizer(path).tokenizer.get_vocab_size()
+
+    def tokenize(batches):
+        own = tokenizer(path)
+        for b in batches:
+            tokens = own.ids(b.column("text").to_pylist())
+            yield record(TOKENS, b.column("id"), b.column("tkey"), b.column("size"), [t.astype(kind).tobytes() for t in tokens])
+
+    sized = rows.select("id", text_key().alias("tkey"), F.octet_length("text").cast("long").alias("size"), "text")
+    taken = store(sized.mapInArrow(tokenize, "id long, tkey long, size long, tokens binary"), "op9-tokens")
+
+    def terms(batch):
+        seen = np.bincount(_tokens(batch, kind)[0], minlength=vocabulary)
+        at = np.flatnonzero(seen)
+        return at, seen[at]
+
+    seen = np.zeros(vocabulary)
+    for term, n in _totals(taken.select("tokens"), terms).items():
+        seen[term] = n
+    first, second = ranks(seen, 1), ranks(seen, 2)
+    shared = rows.sparkSession.sparkContext.broadcast((first, second))
+
+    def keys(batch):
+        flat, starts = _tokens(batch, kind)
+        return [np.minimum.reduceat(r[flat], starts) for r in shared.value]
+
+    def size_of(batch):
+        return batch.column(batch.schema.names.index("size")).to_numpy()
+
+    sizes = _totals(taken.select("size", "tokens"), lambda b: (keys(b)[0], size_of(b)))
+    subs = np.ones(vocabulary, np.int64)              # second keys of each first key
+    for key, n in sizes.items():
+        if n > shard_bytes:
+            subs[key] = SUBS * -(-n // shard_bytes)
+    base = np.cumsum(subs) - subs
+
+    def cells(batch):
+        one, two = keys(batch)
+        return base[one] + (two * 0x9E3779B1 >> 7) % subs[one]
+
+    if (subs > 1).any():
+        sizes = _totals(taken.select("size", "tokens"), lambda b: (cells(b), size_of(b)))
+    else:
+        sizes = {int(base[key]): n for key, n in sizes.items()}
+    planned = _plan(sorted(sizes.items()), shard_bytes)
+    known = np.array(sorted(planned), np.int64)
+    plan = rows.sparkSession.sparkContext.broadcast((known, np.array([planned[c] for c in known.tolist()], np.int64).reshape(-1, 2)))
+
+    def dealt(batches):
+        known, places = plan.value
+        for b in batches:
+            if len(b):
+                at = places[np.searchsorted(known, cells(b))]
+                ids, tkeys = (b.column(b.schema.names.index(c)).to_numpy() for c in ("id", "tkey"))
+                salt = (ids * 0x9E3779B1 ^ tkeys) >> 17
+                yield record(DEALT, b.column("id"), b.column("tkey"), b.column(b.schema.names.index("tokens")), at[:, 0] + salt % at[:, 1])
+
+    return taken.mapInArrow(dealt, "id long, tkey long, tokens binary, shard long")
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW,
                    shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text has only the closing id.  Repeated rows are packed each for
     itself; ties in score go to the smaller doc_id, then the smaller text key; an empty
-    table gives an empty result.  A shard is a task's group: about ``shard_bytes`` of
+    table gives an empty result.  A shard is a task's group: at most about ``shard_bytes`` of
     text, or one longer document."""
-    make_importable(docs.sparkSession)
     path = tokenizer_path or default_tokenizer()
-    rows = doc_rows(docs)
-    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    shards = max(1, -(-int(total) // shard_bytes))
-    keyed = rows.withColumn("tkey", text_key()).withColumn("shard", F.pmod(F.xxhash64("id", "tkey"), F.lit(shards)))
+    kind = _packed(path)
+    keyed = deal(doc_rows(docs), path, shard_bytes)
 
     def run(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
         group = group.sort_by([("id", "ascending"), ("tkey", "ascending")])
-        own = tokenizer(path)
-        tokens = own.ids(group.column("text").to_pylist())
+        tokens = [np.frombuffer(t, kind).astype("<u4") for t in group.column("tokens").to_pylist()]
         ids = group.column("id").to_pylist()
         rows = [(ids[i], s, n, zlib.crc32(np.ascontiguousarray(tokens[i][s:s + n])), len(tokens[i]), (shard << 32) + seq, at)
                 for i, s, n, seq, at in pack(tokens, window)]
