@@ -220,6 +220,25 @@ def test_rules_are_ordered():
     assert [m[1] for m in license_scan.match_rules(["bsd.grant", "reserved", "bsd.source", "bsd.binary", "bsd.endorse"])] == ["BSD-3-Clause", "all-rights-reserved"]
 
 
+def test_common_licences_are_known():
+    def scan(text):
+        return [m[1] for m in license_scan.match_rules(license_scan.sentence_ids(text.encode())[1])]
+
+    free = "is free software; you can redistribute it and/or modify it\nunder the terms of the GNU {} as published by\nthe Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    endorse = "Neither the name of the University of Somewhere nor the names of its contributors may be used\nto endorse or promote products derived from this software without specific prior written permission."
+    bsd = "\n".join(license_scan.SENTENCES[k][0] for k in ("bsd.grant", "bsd.source", "bsd.binary"))
+    assert scan(bsd + "\n" + endorse) == ["BSD-3-Clause"]
+    assert scan("This program " + free.format("General Public License", 2).replace("software;", "software:")) == ["GPL-2.0-or-later"]
+    assert scan("This library " + free.format("Lesser General Public License", 2.1)) == ["LGPL-2.1-or-later"]
+    assert scan("Foo " + free.format("Affero General Public License", 3)) == ["AGPL-3.0-or-later"]
+    assert scan("Licensed under CC BY-NC-SA 3.0.") == ["CC-BY-NC-SA-3.0"] and scan("Licensed under CC BY-ND 4.0.") == ["CC-BY-ND-4.0"]
+    assert scan("Text.\nThis Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy") == ["MPL-2.0"]
+    assert scan(license_scan.SENTENCES["isc.grant"][1]) == ["ISC"] and scan("This is free and unencumbered software released into the public domain.") == ["Unlicense"]
+    assert scan(license_scan.SENTENCES["epl2.terms"][0]) == ["EPL-2.0"]
+    assert scan("// SPDX-License-Identifier: (MIT OR GPL-2.0+) AND Apache-2.0 WITH LLVM-exception\nint x;") == ["MIT", "GPL-2.0-or-later", "Apache-2.0"] or \
+        sorted(scan("// SPDX-License-Identifier: (MIT OR GPL-2.0+) AND Apache-2.0 WITH LLVM-exception\nint x;")) == ["Apache-2.0", "GPL-2.0-or-later", "MIT"]
+
+
 def test_license_scan_of_an_empty_table(no_docs):
     assert license_scan.license_scan(no_docs).count() == 0
 
