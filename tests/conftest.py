@@ -5,9 +5,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF_SMOKE = "/root/testdata/sf0.001"
-SF_CHECK = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -15,8 +12,3 @@ def spark():
     s = build_session(master="local[*]", shuffle_partitions=8, app_name="wardlens-tests")
     yield s
     s.stop()
-
-
-def ts(s):
-    import datetime as dt
-    return dt.datetime.fromisoformat(s)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import ts
+from table_fixtures import ts
 from wardlens.operators import metrics as M
 
 IP = "inpatient"

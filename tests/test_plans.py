@@ -5,7 +5,7 @@ import io
 
 import pytest
 
-from conftest import SF_SMOKE
+from table_fixtures import SF_SMOKE
 
 
 def plan_text(df, mode="formatted"):
