@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, jaccard_join, language_id, license_scan, line_dedup, mixing, nearest, packing, suffix_dedup
+from . import (exact_dedup, html_extract, importance_resampling, jaccard_join, language_id, lexical_scan, license_scan, line_dedup,
+               mixing, nearest, packing, sentencepiece_codec, suffix_dedup)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,10 +21,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": lambda spark, d: license_scan.license_scan(table(spark, d, "documents")),
     "op9_packing": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
     "op10_nearest_neighbours": lambda spark, d: nearest.nearest(table(spark, d, "embeddings")),
+    "op11_sentencepiece": lambda spark, d: sentencepiece_codec.query(table(spark, d, "documents")),
+    "op12_lexical_scan": lambda spark, d: lexical_scan.search(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op13_importance_resampling": lambda spark, d: importance_resampling.resample(table(spark, d, "documents"),
+                                                                                 table(spark, d, "benchmark")),
 }
 
 ORACLE: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_lexical_scan": lexical_scan.ORACLE_SQL,
+    "op13_importance_resampling": importance_resampling.ORACLE_SQL,
     "op3_exact_dedup": r"""
         WITH k AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
