@@ -6,6 +6,8 @@ whole-stage codegen; no Python runs per row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,6 +114,41 @@ def hash_order_key(id_col, seed) -> Column:
     return F.md5(F.concat(col_(id_col).cast("string"), F.lit("|"), F.lit(str(seed))))
 
 
+def ascii_escaped(text) -> Column:
+    """Characters outside ASCII as ``\\uXXXX``, those beyond 16 bits as two."""
+    c = col_(text)
+
+    def escaped(ch: Column) -> Column:
+        code = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
+        two = F.concat(F.lit("\\u"), F.substring(code, 1, 4), F.when(F.length(code) > 4, F.concat(F.lit("\\u"), F.substring(code, 5, 4))).otherwise(""))
+        return F.when(ch.rlike("^[\\x00-\\x7F]$"), ch).otherwise(two)
+
+    return F.when(c.rlike("^[\\x00-\\x7F]*$"), c).otherwise(F.array_join(F.transform(F.split(c, ""), escaped), ""))
+
+
+def canonical_json(text) -> Column:
+    """JSON text in one form: keys of all objects in order, no blanks, ASCII only; null if
+    it is no JSON or an object repeats a key.  A VARIANT keeps the keys of an object
+    sorted, nested ones too, so it is the normal form.  Numbers equal as decimals are
+    equal (1.0 is 1)."""
+    return ascii_escaped(F.to_json(F.try_parse_json(col_(text))))
+
+
+def args_hash(text) -> Column:
+    """16 hex characters that identify a call's arguments whatever the order of their
+    keys; text that is no JSON is taken as it stands."""
+    return F.substring(F.sha2(F.coalesce(canonical_json(text), col_(text)), 256), 1, 16)
+
+
+VERSION_SEPARATOR = "+content."
+
+
+def recipe_of(version) -> Column:
+    """The recipe of a stamped version: what stands before the last separator, or all."""
+    cut = F.regexp_extract(col_(version), "(?s)^(.*)" + re.escape(VERSION_SEPARATOR), 1)
+    return F.when(F.contains(col_(version), F.lit(VERSION_SEPARATOR)), cut).otherwise(col_(version))
+
+
 def token_estimate(text) -> Column:
     """Rough token count: a quarter of the characters, at least one."""
     return F.greatest(F.lit(1), F.floor(F.length(col_(text)) / 4)).cast("bigint")

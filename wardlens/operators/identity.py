@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import DIGEST_MODULUS, canonical_row, md5_hex_mod, md5_mod
 
+NO_VALUE = "-"       # stands for a null id or text; no hash is this
 CORPUS_FAN = 4_096   # entries, on average, that a node of the corpus hash tree folds
 
 
@@ -49,9 +50,10 @@ def corpus_version(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A hash tree: documents go to leaves by a hash of their id, as many as the corpus
     needs, and each level folds about ``CORPUS_FAN`` nodes of the one below, so no fold
-    sees more.  Renaming or editing any document changes the version.  A corpus without
-    documents is an error."""
-    per = docs.select(F.col(id_col).cast("string").alias("id"), F.sha2(F.col(text_col), 256).alias("h"))
+    sees more.  Renaming or editing any document changes the version; a null id or text
+    counts, apart from any other.  A corpus without documents is an error."""
+    per = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit(NO_VALUE)).alias("id"),
+                      F.coalesce(F.sha2(F.col(text_col), 256), F.lit(NO_VALUE)).alias("h"))
     total = per.count()
     if total == 0:
         raise ValueError("the corpus has no documents")
@@ -97,6 +99,26 @@ def drift_verdict(runs: DataFrame, current: DataFrame) -> DataFrame:
     return j.select("run_id", verdict.otherwise(F.lit("current")).alias("stale_axis"))
 
 
+def recorded_versions(runs: DataFrame, start: str, history: DataFrame) -> DataFrame:
+    """``runs`` with the version of every axis at ``start``: history is (axis, since, version)."""
+    from .relational import as_of
+    wide = history.select("since", *[F.when(F.col("axis") == a, F.col("version")).alias(a) for a in AXES])
+    return as_of(runs, start, wide, "since", AXES)
+
+
+def current_versions(history: DataFrame) -> DataFrame:
+    """One row: the newest version of every axis, of those of one time the greatest."""
+    return history.agg(*[F.max(F.when(F.col("axis") == a, F.struct("since", "version")))["version"].alias(a) for a in AXES])
+
+
+def staleness(verdicts: DataFrame) -> DataFrame:
+    """(run_id, stale_reason): why a run is stale; null if it is current."""
+    axis = F.col("stale_axis")
+    reason = F.when(axis == "none_recorded", "no version was recorded") \
+        .when(axis != "current", F.concat(F.lit("recorded against another "), axis))
+    return verdicts.select("run_id", reason.alias("stale_reason"))
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Which tables changed between two digest tables (joined on the table name)."""
     b = before.select("table_name", F.col("row_count").alias("rows_before"), F.col("digest").alias("digest_before"))

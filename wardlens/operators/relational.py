@@ -230,6 +230,35 @@ def ranked_within(df: DataFrame, keys, order, sum_col: str | None = None, rank_c
     return j.select(*out)
 
 
+def as_of(rows: DataFrame, time: str, history: DataFrame, since: str, values) -> DataFrame:
+    """``rows`` with the value of each of ``values`` that ``history`` held at ``time``: that
+    of the newest entry (``since`` <= ``time``) in which it is not null; of entries of one
+    time the greatest.  Null where nothing was held yet, or ``time`` is null.
+
+    Rows and entries are sorted together by time into range partitions and stored; inside
+    a partition a running last value answers, and what stands before a partition comes
+    from one row for each of them.  So no window holds all rows, and no row meets an
+    entry but the newest."""
+    values = list(values)
+    left = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), F.col(time).alias("_time"), F.lit(1).alias("_kind"),
+                       *[F.lit(None).cast(history.schema[v].dataType).alias(f"_v_{v}") for v in values])
+    right = history.where(F.col(since).isNotNull()).groupBy(F.col(since).alias("_time")).agg(*[F.max(v).alias(f"_v_{v}") for v in values]).select(
+        F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), "_time", F.lit(0).alias("_kind"), *[f"_v_{v}" for v in values])
+    # the last key only spreads rows of one time over partitions
+    joint = right.unionByName(left).withColumn("_tie", F.monotonically_increasing_id())
+    by = [F.col(c).asc_nulls_first() for c in ("_time", "_kind", "_tie")]
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    srt = joint.repartitionByRange(n_parts, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    srt = _pin(srt.withColumn("_pid", F.shiftright("_at", 33)), "as-of-sorted")
+    ends = srt.groupBy("_pid").agg(*[F.max_by(f"_v_{v}", F.when(F.col(f"_v_{v}").isNotNull(), F.col("_at"))).alias(f"_e_{v}") for v in values])
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)     # one row a partition
+    carried = ends.select("_pid", *[F.last(f"_e_{v}", ignorenulls=True).over(earlier).alias(f"_c_{v}") for v in values])
+    inside = Window.partitionBy("_pid").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    held = srt.select("_row", "_kind", "_time", "_pid", *[F.last(f"_v_{v}", ignorenulls=True).over(inside).alias(f"_h_{v}") for v in values])
+    out = held.where("_kind = 1").join(carried, "_pid", "left")
+    return out.select("_row.*", *[F.when(F.col("_time").isNotNull(), F.coalesce(f"_h_{v}", f"_c_{v}")).alias(v) for v in values])
+
+
 def repeats_in_previous(df: DataFrame, run: str, key_cols, step: str, width: int,
                         out: str = "repeats_in_window") -> DataFrame:
     """For each row, how many of the previous ``width`` steps of its run carry the

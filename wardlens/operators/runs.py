@@ -25,6 +25,8 @@ TARGET_FLOORS = (("task_success", ">=", 0.85), ("tool_accuracy", ">=", 0.90),
 CONFIDENCE_NEEDS_ASSUMPTIONS = 0.8
 REQUIRED_ATTRIBUTES = ("subtask.id", "agent.role", "tool.name", "tool.args_hash", "context.bundle_tokens", "result_ref",
                        "cost.usd", "model.id", "validation.passed", "cassette.mode")
+RETRIEVAL_ATTRIBUTES = ("retrieval.strategy", "retrieval.k", "retrieval.latency_ms", "retrieval.scores",
+                        "retrieval.corpus_version", "retrieval.backend", "retrieval.doc_ids")
 
 
 def span_steps(spans: DataFrame) -> DataFrame:
@@ -118,15 +120,29 @@ def call_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return j.withColumn("cost_usd", F.round(cost, 9))
 
 
+def _has(spans: DataFrame, name: str) -> F.Column:
+    """Whether a span gives the attribute a value: by name in ``all_attributes`` where the
+    spans carry it, else in the typed ones (a name that these lack has none)."""
+    if "all_attributes" in spans.columns:
+        return F.coalesce(F.col("all_attributes")[name].isNotNull(), F.lit(False))
+    known = spans.schema["attributes"].dataType.fieldNames()
+    return F.col(f"attributes.`{name}`").isNotNull() if name in known else F.lit(False)
+
+
 def required_attributes(spans: DataFrame, required=REQUIRED_ATTRIBUTES) -> DataFrame:
-    """Required attributes with no value anywhere in a run (an attribute that the log's
-    schema lacks has none): one flag per attribute, unpivoted, then one grouped
-    aggregation."""
-    known = set(spans.schema["attributes"].dataType.fieldNames())
-    stack = ", ".join(f"'{k}', " + (f"attributes.`{k}` IS NOT NULL" if k in known else "false") for k in required)
-    u = spans.selectExpr("run_id", f"stack({len(required)}, {stack}) AS (attribute, has_value)")
-    g = u.groupBy("run_id", "attribute").agg(F.bool_or("has_value").alias("present"))
-    return g.where(~F.col("present")).select("run_id", F.col("attribute").alias("missing_attribute"))
+    """Required attributes with no value anywhere in a run: one aggregation with a flag
+    for each, unpivoted."""
+    flags = spans.groupBy("run_id").agg(*[F.bool_or(_has(spans, k)).alias(f"_{i}") for i, k in enumerate(required)])
+    missing = F.filter(F.array(*[F.when(~F.col(f"_{i}"), F.lit(k)) for i, k in enumerate(required)]), lambda x: x.isNotNull())
+    return flags.select("run_id", F.explode(missing).alias("missing_attribute"))
+
+
+def retrieval_attributes(spans: DataFrame, required=RETRIEVAL_ATTRIBUTES) -> DataFrame:
+    """Of every span that performs a retrieval (it carries any attribute of that family)
+    the required attributes without a value.  A span at a time, so no shuffle."""
+    looked = F.exists(F.map_entries("all_attributes"), lambda e: e["key"].startswith("retrieval.") & e["value"].isNotNull())
+    missing = F.filter(F.array(*[F.when(~_has(spans, k), F.lit(k)) for k in required]), lambda x: x.isNotNull())
+    return spans.where(looked).select("run_id", "span_id", F.explode(missing).alias("missing_attribute"))
 
 
 def task_success(answers: DataFrame, tasks: DataFrame, keys=("task_id",)) -> DataFrame:
@@ -179,17 +195,56 @@ def citation_check(results: DataFrame, cited: DataFrame) -> DataFrame:
     return j.select("run_id", "n_results", "n_cited", "n_dangling", ok.alias("citations_ok"))
 
 
-def plan_integrity(subtasks: DataFrame, deps: DataFrame) -> DataFrame:
-    """subtasks: run_id, subtask_id; deps: run_id, subtask_id, depends_on.  Duplicate
-    ids and dependencies that name no subtask of the plan."""
+def plan_integrity(subtasks: DataFrame, deps: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """subtasks: run_id, subtask_id; deps: run_id, subtask_id, depends_on; edges: run_id,
+    src, dst.  Per run: duplicate ids, dependencies and edges that name no subtask of the
+    plan, and subtasks that no order can reach because they are on a cycle or after one."""
     dup = subtasks.groupBy("run_id", "subtask_id").agg(F.count("*").alias("n")).where("n > 1") \
         .groupBy("run_id").agg(F.count("*").alias("n_duplicate_ids"))
-    ids = subtasks.select("run_id", F.col("subtask_id").alias("depends_on")).distinct()
-    unres = deps.join(ids, ["run_id", "depends_on"], "left_anti").groupBy("run_id") \
-        .agg(F.count("*").alias("n_unresolved"))
-    runs = subtasks.select("run_id").distinct()
-    j = runs.join(dup, "run_id", "left").join(unres, "run_id", "left").fillna(0, ["n_duplicate_ids", "n_unresolved"])
-    return j.withColumn("plan_ok", (F.col("n_duplicate_ids") == 0) & (F.col("n_unresolved") == 0))
+    ids = subtasks.select("run_id", F.col("subtask_id").alias("id")).distinct()
+    links = deps.select("run_id", F.lit("dep").alias("kind"), F.col("depends_on").alias("src"), F.col("subtask_id").alias("dst"))
+    if edges is not None:
+        links = links.unionByName(edges.select("run_id", F.lit("edge").alias("kind"), "src", "dst"))
+    known = links.join(ids.withColumnRenamed("id", "src").withColumn("has_src", F.lit(True)), ["run_id", "src"], "left") \
+        .join(ids.withColumnRenamed("id", "dst").withColumn("has_dst", F.lit(True)), ["run_id", "dst"], "left")
+    resolved = F.col("has_src").isNotNull() & F.col("has_dst").isNotNull()
+    unres = known.groupBy("run_id").agg(F.count_if(~resolved & (F.col("kind") == "dep")).alias("n_unresolved"),
+                                        F.count_if(~resolved & (F.col("kind") == "edge")).alias("n_unresolved_edges"))
+    stuck = plan_layers(subtasks, known.where(resolved).select("run_id", "src", "dst")).where(F.col("layer").isNull()) \
+        .groupBy("run_id").agg(F.count("*").alias("n_cyclic"))
+    j = subtasks.select("run_id").distinct().join(dup, "run_id", "left").join(unres, "run_id", "left").join(stuck, "run_id", "left") \
+        .fillna(0, ["n_duplicate_ids", "n_unresolved", "n_unresolved_edges", "n_cyclic"])
+    return j.withColumn("plan_ok", (F.col("n_duplicate_ids") == 0) & (F.col("n_unresolved") == 0)
+                        & (F.col("n_unresolved_edges") == 0) & (F.col("n_cyclic") == 0))
+
+
+def plan_layers(subtasks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(run_id, subtask_id, layer): the layer of each distinct subtask (run_id, subtask_id)
+    under edges (run_id, src, dst) whose ends are subtasks, 0 for those that wait for
+    nothing, else one more than the latest subtask waited for; null on a cycle or after one.
+
+    Nodes without open parents are removed again and again, all runs at once.  A node
+    carries its number of open parents, so a round joins only the edges of the nodes just
+    removed and adds up what they open; an edge is looked at once in all, and the rounds
+    are as many as the longest chain of any run."""
+    from ..sources.files import materialise
+    links = materialise(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct(), "plan-edges")
+    parents = links.groupBy("run_id", F.col("dst").alias("subtask_id")).agg(F.count("*").alias("open"))
+    todo = materialise(subtasks.select("run_id", "subtask_id").distinct().join(parents, ["run_id", "subtask_id"], "left")
+                       .fillna(0, ["open"]), "plan-open")
+    layers, layer = [], 0
+    while True:
+        ready = todo.where(F.col("open") == 0).select("run_id", "subtask_id")
+        if ready.isEmpty():
+            break
+        layers.append(ready.withColumn("layer", F.lit(layer).cast("int")))
+        opened = ready.join(links.withColumnRenamed("src", "subtask_id"), ["run_id", "subtask_id"]) \
+            .groupBy("run_id", F.col("dst").alias("subtask_id")).agg(F.count("*").alias("n"))
+        todo = materialise(todo.where(F.col("open") > 0).join(opened, ["run_id", "subtask_id"], "left")
+                           .select("run_id", "subtask_id", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open")), "plan-open")
+        layer += 1
+    stuck = todo.select("run_id", "subtask_id", F.lit(None).cast("int").alias("layer"))
+    return reduce(DataFrame.unionByName, [*layers, stuck])
 
 
 def assumption_check(results: DataFrame, threshold: float = CONFIDENCE_NEEDS_ASSUMPTIONS) -> DataFrame:
@@ -287,19 +342,34 @@ def latency_quantiles(steps: DataFrame, key: str = "tool") -> DataFrame:
                              {"p50_ms": 0.5, "p95_ms": 0.95})
 
 
+def tool_accuracy(accuracy: DataFrame) -> DataFrame:
+    """Mean over runs of the mean of precision and recall; no tool used counts as 0."""
+    return accuracy.agg(F.round(F.avg((F.coalesce("precision", F.lit(0.0)) + F.col("recall")) / 2), 9).alias("tool_accuracy"))
+
+
+def gate_metrics(success: DataFrame, accuracy: DataFrame, efficiency: DataFrame, loops: DataFrame, recovery: DataFrame) -> DataFrame:
+    """(metric, value): the metrics of the gate, each from its operator's result."""
+    one = {"task_success": success.agg(F.avg("score").alias("v")), "tool_accuracy": tool_accuracy(accuracy),
+           "efficiency": efficiency.agg(F.avg("efficiency").alias("v")), "loop_rate": loops.select("loop_rate"),
+           "recovery_rate": recovery.select("recovery_rate")}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(m).alias("metric"), F.round(F.col(df.columns[0]), 9).alias("value"))
+                                          for m, df in one.items()])
+
+
 def regression_gate(metrics: DataFrame, baseline: DataFrame | None = None, tolerance: float = 0.0,
                     floors=TARGET_FLOORS) -> DataFrame:
-    """metrics: metric, value (one row per metric).  Each metric against its floor,
-    and against a baseline value when one is given."""
+    """metrics: metric, value.  One row for each floor: a metric without a value misses it.
+    With a baseline also whether the metric is worse than there by more than
+    ``tolerance``: lower where the floor is a least value, higher where it is a greatest."""
     spark = metrics.sparkSession
     f = spark.createDataFrame([(m, op, float(v)) for m, op, v in floors], "metric string, op string, floor double")
-    j = metrics.join(F.broadcast(f), "metric", "left")
-    meets = F.when(F.col("op") == ">=", F.col("value") >= F.col("floor")) \
-        .when(F.col("op") == "<=", F.col("value") <= F.col("floor")).otherwise(F.lit(True))
-    out = j.withColumn("meets_floor", F.coalesce(meets, F.lit(False)))
+    at_least = F.col("op") == ">="
+    out = f.join(metrics, "metric", "left").withColumn("meets_floor", F.coalesce(
+        F.when(at_least, F.col("value") >= F.col("floor")).otherwise(F.col("value") <= F.col("floor")), F.lit(False)))
     if baseline is not None:
+        worse = F.when(at_least, F.col("baseline") - F.col("value")).otherwise(F.col("value") - F.col("baseline"))
         out = out.join(baseline.select("metric", F.col("value").alias("baseline")), "metric", "left") \
-            .withColumn("regressed", F.coalesce(F.col("value") < F.col("baseline") - tolerance, F.lit(False)))
+            .withColumn("regressed", F.coalesce(F.round(worse, 9) > tolerance, F.lit(False)))
     return out
 
 
@@ -313,7 +383,3 @@ def cohen_kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return x.select("n", F.round(po, 9).alias("observed_agreement"), F.round(pe, 9).alias("expected_agreement"),
                     F.round(F.try_divide(po - pe, 1 - pe), 9).alias("kappa"))
 
-
-def union(frames) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-

@@ -182,43 +182,52 @@ def recipe():
                   payer_year=(PERIOD_START, PERIOD_END), dup_year=(PERIOD_START, PERIOD_END))
 
 
-def spans_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+RETRIEVAL_DOCS = 3               # documents that a bound lookup names
+
+
+def spans_from_events(spark: SparkSession, sf_dir: str, since: str | None = None, until: str | None = None) -> DataFrame:
     """B-SPAN as span records (the span-log schema): one span per event, parented by
-    one root span per run whose cost repeats the run total, as a real log does."""
-    from ..sources.files import SPAN_ATTRS
+    one root span per run whose cost repeats the run total, as a real log does.  Views are
+    lookups: they carry retrieval attributes, some of them not all.  With ``since`` or
+    ``until`` only the events of that period."""
+    from ..functions.exprs import args_hash
+    from ..sources.files import typed_attributes
     e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    if since:
+        e = e.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+    if until:
+        e = e.where(F.col("ts") < F.lit(until).cast("timestamp_ntz"))
     start = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    view = F.col("event_type") == "view"
+    k = F.get_json_object("props", "$.k").cast("int")
+    text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    attributes = {
+        "tool.name": text("event_type"), "tool.args_hash": args_hash("props"),
+        "cost.usd": text(F.round(F.col("value") / 1000, 6)), "context.bundle_tokens": text(F.floor(F.col("value") * 10)),
+        "validation.passed": F.when(F.col("event_type") == "error", "false").when(F.col("event_type") == "purchase", "true"),
+        "agent.role": F.when(view, "planner").otherwise("sql_analyst"),
+        "result_ref": F.when(F.col("event_type") != "error", F.concat(F.lit("ref-"), text("event_id"))),
+        "retrieval.strategy": F.when(view, "bm25"), "retrieval.k": F.when(view, F.lit(str(RETRIEVAL_DOCS))),
+        "retrieval.latency_ms": F.when(view, text("value")), "retrieval.backend": F.when(view, "spark"),
+        "retrieval.corpus_version": F.when(view & (k > 5), F.concat(F.lit("v"), (k % 7).cast("string"))),
+        "retrieval.scores": F.when(view & (k % 10 != 0), text("value")),
+        "retrieval.doc_ids": F.when(view & (k % 15 != 0), F.concat(F.lit("doc-"), text(k)))}
     ev = e.select(
-        F.col("user_id").alias("run_id"), F.col("event_id").cast("string").alias("span_id"),
-        F.concat(F.lit("root-"), F.col("user_id").cast("string")).alias("parent_span_id"),
-        F.when(F.col("event_type") == "view", "node").otherwise("tool.call").alias("name"),
+        F.col("user_id").alias("run_id"), text("event_id").alias("span_id"),
+        F.concat(F.lit("root-"), text("user_id")).alias("parent_span_id"),
+        F.when(view, "node").otherwise("tool.call").alias("name"),
         start.alias("start_time_ns"), (start + F.floor(F.col("value") * 1e6)).alias("end_time_ns"),
         F.col("value").alias("duration_ms"),
-        F.col("event_type").alias("tool"), F.col("props").alias("args"),
-        F.round(F.col("value") / 1000, 6).alias("cost"),
-        F.floor(F.col("value") * 10).alias("bundle"),
-        F.when(F.col("event_type") == "error", F.lit(False)).when(F.col("event_type") == "purchase", F.lit(True))
-         .alias("passed"),
-        F.when(F.col("event_type") == "view", "planner").otherwise("sql_analyst").alias("role"),
-        F.when(F.col("event_type") != "error", F.concat(F.lit("ref-"), F.col("event_id").cast("string")))
-         .alias("ref"))
+        F.create_map(*[x for n, v in attributes.items() for x in (F.lit(n), v)]).alias("all_attributes"))
     root = ev.groupBy("run_id").agg(F.min("start_time_ns").alias("start_time_ns"),
                                      F.max("end_time_ns").alias("end_time_ns"),
-                                     F.round(F.sum("cost"), 6).alias("cost")).select(
-        "run_id", F.concat(F.lit("root-"), F.col("run_id").cast("string")).alias("span_id"),
+                                     F.round(F.sum(F.col("all_attributes")["cost.usd"].cast("double")), 6).alias("cost")).select(
+        "run_id", F.concat(F.lit("root-"), text("run_id")).alias("span_id"),
         F.lit(None).cast("string").alias("parent_span_id"), F.lit("run").alias("name"),
         "start_time_ns", "end_time_ns", F.lit(0.0).alias("duration_ms"),
-        F.lit(None).cast("string").alias("tool"), F.lit(None).cast("string").alias("args"), "cost",
-        F.lit(None).cast("bigint").alias("bundle"), F.lit(None).cast("boolean").alias("passed"),
-        F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("ref"))
-    allspans = ev.unionByName(root)
-    attrs = F.struct(*[
-        (F.col("tool") if f.name == "tool.name" else F.col("args") if f.name == "tool.args_hash"
-         else F.col("cost") if f.name == "cost.usd" else F.col("bundle") if f.name == "context.bundle_tokens"
-         else F.col("passed") if f.name == "validation.passed" else F.col("role") if f.name == "agent.role"
-         else F.col("ref") if f.name == "result_ref" else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in SPAN_ATTRS.fields])
-    return allspans.select("run_id", "span_id", F.col("run_id").cast("string").alias("trace_id"),
-                           "parent_span_id", "name", "start_time_ns", "end_time_ns", "duration_ms",
-                           F.when(F.col("passed") == F.lit(False), "ERROR").otherwise("OK").alias("status"),
-                           attrs.alias("attributes"))
+        F.create_map(F.lit("cost.usd"), text("cost")).alias("all_attributes"))
+    spans = ev.unionByName(root).withColumn("attributes", typed_attributes("all_attributes"))
+    return spans.select("run_id", "span_id", text("run_id").alias("trace_id"),
+                        "parent_span_id", "name", "start_time_ns", "end_time_ns", "duration_ms",
+                        F.when(F.col("attributes")["validation.passed"] == F.lit(False), "ERROR").otherwise("OK").alias("status"),
+                        "attributes", "all_attributes")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,19 +90,37 @@ SPAN_ATTRS = T.StructType([
         ("cassette.mode", T.StringType()), ("gen_ai.usage.input_tokens", T.LongType()),
         ("gen_ai.usage.output_tokens", T.LongType())]])
 
-SPAN_SCHEMA = T.StructType([
+SPAN_FIELDS = [
     T.StructField("name", T.StringType()), T.StructField("span_id", T.StringType()),
     T.StructField("trace_id", T.StringType()), T.StructField("parent_span_id", T.StringType()),
     T.StructField("start_time_ns", T.LongType()), T.StructField("end_time_ns", T.LongType()),
-    T.StructField("duration_ms", T.DoubleType()), T.StructField("status", T.StringType()),
-    T.StructField("attributes", SPAN_ATTRS)])
+    T.StructField("duration_ms", T.DoubleType()), T.StructField("status", T.StringType())]
+SPAN_SCHEMA = T.StructType([*SPAN_FIELDS, T.StructField("attributes", SPAN_ATTRS)])
+# as logged: attributes of any name, values as text; the run may be named in the row
+SPAN_LOG_SCHEMA = T.StructType([*SPAN_FIELDS, T.StructField("attributes", T.MapType(T.StringType(), T.StringType())),
+                                T.StructField("run_id", T.StringType())])
+
+
+def typed_attributes(attributes="attributes") -> Column:
+    """The attributes that the operators use, typed, out of a map of all of them; a value
+    that is not of its type is null."""
+    m = F.col(attributes)
+    return F.struct(*[m[f.name].try_cast(f.dataType).alias(f.name) for f in SPAN_ATTRS.fields])
+
+
+def named_spans(logged: DataFrame) -> DataFrame:
+    """Logged spans with typed ``attributes``, all of them by name in ``all_attributes``,
+    and the run: the one that the row names, else the folder its file lies in."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
+    return logged.where(F.col("span_id").isNotNull()).select(
+        *[f.name for f in SPAN_FIELDS], typed_attributes().alias("attributes"), F.col("attributes").alias("all_attributes"),
+        F.coalesce("run_id", folder).alias("run_id"))
 
 
 def span_source(spark: SparkSession, path: str) -> DataFrame:
-    """Span JSON lines (blank lines skipped), run id taken from the parent folder name."""
-    df = spark.read.schema(SPAN_SCHEMA).option("mode", "PERMISSIVE").json(path)
-    run = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
-    return df.where(F.col("span_id").isNotNull()).withColumn("run_id", run)
+    """Span JSON lines (blank lines skipped) below ``path``, many runs to a file or one."""
+    return named_spans(spark.read.schema(SPAN_LOG_SCHEMA).option("mode", "PERMISSIVE")
+                       .option("recursiveFileLookup", True).json(path))
 
 
 def result_sink(df: DataFrame, path: str, asked_limit: int = RESULT_ROW_CAP) -> DataFrame:
