@@ -8,6 +8,7 @@ from ..operators import describe as Dsc
 from ..sources import files as Fs
 from ..sources.tables import DRIVER_TABLES, TABLE_NAMES, read_table
 from . import bindings as B
+from .q_runs import SPANS_SQL
 from .registry import query
 from .sqlparts import STAYS
 
@@ -82,12 +83,23 @@ def q_typed_csv_ingest(spark, sf):
                                timestamp_ntz_format="yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
-@query("header_conformity", "SELECT 'orders' AS table_name, '" +
-       ",".join(f.name for f in DRIVER_TABLES["orders"].fields) + "' AS expected_header, '" +
-       ",".join(f.name for f in DRIVER_TABLES["orders"].fields) + "' AS actual_header, true AS header_ok")
+_ORDER_COLUMNS = [f.name for f in DRIVER_TABLES["orders"].fields]
+FILE_KEYS = 10_000               # order keys to a file
+
+
+@query("header_conformity", f"""WITH files AS (SELECT DISTINCT CAST(o_orderkey // {FILE_KEYS} AS INTEGER) AS part FROM orders)
+SELECT part, 'orders' AS table_name, '{",".join(_ORDER_COLUMNS)}' AS expected_header,
+  '{",".join(_ORDER_COLUMNS)}' AS actual_header, true AS header_ok FROM files
+UNION ALL SELECT -1, 'orders', '{",".join(_ORDER_COLUMNS)}', '{",".join(_ORDER_COLUMNS[::-1])}', false""")
 def q_header_conformity(spark, sf):
-    path = Fs.write_csv(T(spark, sf, "orders").coalesce(1), Fs.scratch_path(spark, "orders-hdr"))
-    return Fs.header_conformity(spark, path, [f.name for f in DRIVER_TABLES["orders"].fields], "orders")
+    """orders as a file for every range of keys, and one more whose columns stand in
+    another order."""
+    o, path = T(spark, sf, "orders"), Fs.scratch_path(spark, "orders-hdr")
+    part = F.floor(F.col("o_orderkey") / FILE_KEYS).cast("int")
+    o.withColumn("part", part).repartition("part").write.option("header", True).partitionBy("part").csv(path)
+    o.limit(1).select(*_ORDER_COLUMNS[::-1]).write.option("header", True).csv(f"{path}/part=-1")
+    return Fs.header_conformity(spark, path, _ORDER_COLUMNS, "orders").select(
+        F.regexp_extract("file", r"/part=(-?[0-9]+)/", 1).cast("int").alias("part"), "table_name", "expected_header", "actual_header", "header_ok")
 
 
 @query("parquet_source", f"""SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '{B.PERIOD_START}'
@@ -100,54 +112,54 @@ def q_parquet_source(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("result_sink", f"""SELECT '""" + ",".join(f"{f.name}:{f.dataType.simpleString()}"
-                                                 for f in DRIVER_TABLES["orders"].fields) +
-       f"""' AS schema, count(*) AS row_count FROM (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '{B.PERIOD_START}'
-  AND o_orderdate < TIMESTAMP '{B.PERIOD_END}' LIMIT 10000)""")
+_ROW_TEXT = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("result_sink", f"""WITH r AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '{B.PERIOD_START}'
+  AND o_orderdate < TIMESTAMP '{B.PERIOD_END}' ORDER BY ALL LIMIT 10000)
+SELECT '{",".join(f"{f.name}:{f.dataType.simpleString()}" for f in DRIVER_TABLES["orders"].fields)}' AS schema, count(*) AS row_count,
+  (SELECT string_agg({" || '|' || ".join(_ROW_TEXT)}, ';' ORDER BY {", ".join(_ROW_TEXT)}) FROM (SELECT * FROM r ORDER BY ALL LIMIT 5)) AS head,
+  true AS has_bytes FROM r""")
 def q_result_sink(spark, sf):
     from ..operators.metrics import in_window
+    from ..operators.relational import total_order
     o = T(spark, sf, "orders").where(in_window("o_orderdate", B.PERIOD_START, B.PERIOD_END))
-    return Fs.result_sink(o, Fs.scratch_path(spark, "result"), 50_000).select("schema", "row_count")
+    told = Fs.result_sink(o.orderBy(*total_order(o)), Fs.scratch_path(spark, "result"), 50_000)
+    line = F.transform("head", lambda r: F.concat_ws("|", *[r[c].cast("string") for c in _ROW_TEXT]))
+    return told.select("schema", "row_count", F.array_join(line, ";").alias("head"), (F.col("n_bytes") > 0).alias("has_bytes"))
+
+
+RUN_FOLDERS, FOLDER_SPANS = 64, 50_000       # folders at most, however many runs; spans to one
 
 
 def write_span_logs(spark, sf) -> str:
-    """Derive one span log per run from ``events`` (B-SPAN) and write it as JSON lines,
-    one folder per run, the layout the span reader expects."""
-    e = T(spark, sf, "events")
-    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
-    attrs = F.struct(
-        F.col("event_type").alias("tool.name"), F.col("props").alias("tool.args_hash"),
-        F.round(F.col("value") / 1000, 6).alias("cost.usd"),
-        (F.col("event_type") != "error").alias("validation.passed"))
-    spans = e.select(
-        F.when(F.col("event_type") == "view", "node").otherwise("tool.call").alias("name"),
-        F.col("event_id").cast("string").alias("span_id"), F.col("user_id").cast("string").alias("trace_id"),
-        F.lit(None).cast("string").alias("parent_span_id"), ns.alias("start_time_ns"),
-        (ns + (F.col("value") * 1e6).cast("bigint")).alias("end_time_ns"),
-        F.col("value").alias("duration_ms"),
-        F.when(F.col("event_type") == "error", "ERROR").otherwise("OK").alias("status"),
-        attrs.alias("attributes"), F.col("user_id").alias("run"))
+    """The bound spans (B-SPAN) as JSON lines, many runs to a file, by a hash of the run;
+    root spans last, as a root ends after all others."""
+    spans = B.spans_from_events(spark, sf)
     path = Fs.scratch_path(spark, "runs")
-    spans.write.mode("overwrite").partitionBy("run").json(path)
+    folders = max(1, min(RUN_FOLDERS, T(spark, sf, "events", "event_id").count() // FOLDER_SPANS))
+    out = spans.select(*[f.name for f in Fs.SPAN_FIELDS], F.col("all_attributes").alias("attributes"), F.col("run_id").cast("string").alias("run_id"),
+                       F.pmod(F.xxhash64("run_id"), F.lit(folders)).alias("folder"))
+    for part in (F.col("name") != "run", F.col("name") == "run"):
+        out.where(part).repartition("folder").write.mode("append").partitionBy("folder").json(path)
     return path
 
 
-@query("span_source", """SELECT CAST(user_id AS VARCHAR) AS run_id, CAST(event_id AS VARCHAR) AS span_id,
-  CASE WHEN event_type = 'view' THEN 'node' ELSE 'tool.call' END AS name, event_type AS tool_name,
-  round(value / 1000, 6) AS cost_usd, event_type <> 'error' AS validation_passed FROM events""")
+@query("span_source", f"""WITH {SPANS_SQL} SELECT CAST(run_id AS VARCHAR) AS run_id, span_id, name, tool AS tool_name,
+  cost_usd, passed AS validation_passed FROM steps""")
 def q_span_source(spark, sf):
     spans = Fs.span_source(spark, write_span_logs(spark, sf))
-    return spans.select(F.regexp_replace("run_id", "^run=", "").alias("run_id"), "span_id", "name",
-                        F.col("attributes.`tool.name`").alias("tool_name"),
+    return spans.select("run_id", "span_id", "name", F.col("attributes.`tool.name`").alias("tool_name"),
                         F.col("attributes.`cost.usd`").alias("cost_usd"),
                         F.col("attributes.`validation.passed`").alias("validation_passed"))
 
 
-@query("corpus_source", "SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS text_sha FROM documents")
+@query("corpus_source", """SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS text_sha FROM documents
+UNION ALL SELECT -1 - item_id, CAST(length(text) AS INTEGER), sha256(text) FROM benchmark""")
 def q_corpus_source(spark, sf):
-    """documents written as a file corpus (one file per document), read back whole."""
+    """documents as a file each, the benchmark items as rows of a few files, read together."""
     path = Fs.write_corpus(T(spark, sf, "documents", "doc_id", "text"), Fs.scratch_path(spark, "corpus"))
-    c = Fs.corpus_source(spark, path, id_from_dir="doc_id")
-    text = F.regexp_replace("text", "\n$", "")      # the writer's record terminator
-    return c.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length(text).alias("n_chars"),
-                    F.sha2(text, 256).alias("text_sha"))
+    items = T(spark, sf, "benchmark", "item_id", "text").select((-1 - F.col("item_id")).alias("doc_id"), "text")
+    Fs.write_corpus_rows(items, path)
+    c = Fs.corpus_source(spark, path)
+    return c.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha"))

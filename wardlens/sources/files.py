@@ -3,8 +3,10 @@ span logs, and the capped Parquet result sink."""
 
 from __future__ import annotations
 
+import urllib.parse
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,15 +47,64 @@ def typed_csv_ingest(spark: SparkSession, path: str, schema: T.StructType,
             .csv(path))
 
 
-def header_conformity(spark: SparkSession, path: str, expected: list[str], table: str) -> DataFrame:
-    """Exact header match ignoring case, BOM removed: one row per table."""
-    header_row = (spark.read.option("header", False).csv(path).limit(1))
-    actual = F.concat_ws(",", *[F.regexp_replace(F.col(c), "^﻿", "") for c in header_row.columns])
+# --- many files -------------------------------------------------------------------------
+
+DIRECT_SCHEMES = ("", "file", "hdfs", "s3", "s3a", "gs", "gcs", "abfs", "abfss")     # stores that Arrow opens
+
+
+def file_list(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length, modified) of every file below ``path``, listed by Spark in partitions
+    of bounded size; no content is read.  Files without a byte are not listed, as all of
+    Spark's readers skip them."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path) \
+        .select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def _store_of(path: str):
+    """The Arrow file system of a path, and the path inside it."""
+    import pyarrow.fs as fs
+    scheme = urllib.parse.urlsplit(path).scheme
+    if scheme in ("", "file"):
+        return fs.LocalFileSystem(), path.split(":", 1)[1] if scheme else path
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def _first_line(path: str) -> str:
+    store, inside = _store_of(path)
+    line = b""
+    with store.open_input_stream(inside) as f:
+        while b"\n" not in line:
+            more = f.read(1 << 16)
+            if not more:
+                break
+            line += more
+    return line.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8-sig", "replace")
+
+
+def first_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, line): the first line of every file below ``path``, without a byte-order mark.
+    Only the head of a file is read, a bounded share of the list
+    in each task.  In a store that Arrow does not open, Spark scans the files."""
+    listed = file_list(spark, path, pattern)
+    if urllib.parse.urlsplit(path).scheme in DIRECT_SCHEMES:
+        def heads(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"path": batch.column(0), "line": [_first_line(p) for p in batch.column(0).to_pylist()]})
+
+        return listed.select("path").mapInArrow(heads, "path string, line string")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    first = lines.select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("file"), at.alias("at"), "value") \
+        .groupBy("name", "file").agg(F.regexp_replace(F.min_by("value", "at"), "^\ufeff|\r$", "").alias("line"))
+    return listed.join(first, F.col("path") == F.url_decode("file"), "left").select("path", F.coalesce("line", F.lit("")).alias("line"))
+
+
+def header_conformity(spark: SparkSession, path: str, expected: list[str], table: str, pattern: str = "*.csv") -> DataFrame:
+    """Exact header match ignoring case, BOM removed: one row for every file below ``path``."""
     want = ",".join(expected)
-    return header_row.select(
-        F.lit(table).alias("table_name"), F.lit(want).alias("expected_header"),
-        actual.alias("actual_header"),
-        (F.lower(actual) == F.lit(want.lower())).alias("header_ok"))
+    return first_lines(spark, path, pattern).select(
+        F.lit(table).alias("table_name"), F.col("path").alias("file"), F.lit(want).alias("expected_header"),
+        F.col("line").alias("actual_header"), (F.lower("line") == F.lit(want.lower())).alias("header_ok"))
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -62,22 +113,48 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def corpus_source(spark: SparkSession, corpus_dir: str, id_from_dir: str | None = None) -> DataFrame:
-    """Every ``.md`` / ``.txt`` file below ``corpus_dir`` as one document; id = file
-    stem, or the ``<id_from_dir>=<id>`` folder the file sits in when given."""
-    df = (spark.read.option("recursiveFileLookup", True)
-          .option("pathGlobFilter", "*.{md,txt}").text(corpus_dir, wholetext=True))
+CORPUS_FOLDERS = 256             # at most, however many documents
+
+
+def corpus_source(spark: SparkSession, corpus_dir: str) -> DataFrame:
+    """(doc_id, path, text) of a corpus below ``corpus_dir``: every ``.md`` / ``.txt`` file
+    as one document whose id is the file's stem, and every row (doc_id, text) with an id of its
+    ``.json`` / ``.jsonl`` files.  A corpus that is absent or has no file is an error; an
+    empty file is no document."""
+    if file_list(spark, corpus_dir, "*.{md,txt,json,jsonl}").isEmpty():
+        raise ValueError(f"no document in {corpus_dir}")
+    below = spark.read.option("recursiveFileLookup", True)
     path = F.col("_metadata.file_path")
-    doc_id = (F.regexp_extract(path, rf"/{id_from_dir}=([^/]+)/[^/]+$", 1) if id_from_dir
-              else F.regexp_extract(path, r"([^/]+)\.(md|txt)$", 1))
-    return df.select(doc_id.alias("doc_id"), path.alias("path"), F.col("value").alias("text"))
+    whole = below.option("pathGlobFilter", "*.{md,txt}").text(corpus_dir, wholetext=True).select(
+        F.url_decode(F.regexp_replace(F.regexp_extract(path, r"([^/]+)\.(md|txt)$", 1), r"\+", "%2B")).alias("doc_id"), path.alias("path"),
+        F.col("value").alias("text"))
+    rows = below.option("pathGlobFilter", "*.{json,jsonl}").schema("doc_id string, text string").json(corpus_dir)
+    return whole.unionByName(rows.where(F.col("doc_id").isNotNull()).select("doc_id", path.alias("path"), "text"))
 
 
 def write_corpus(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> str:
-    """One text file per document, in a ``<id_col>=<id>`` folder (Spark's text writer
-    ends each record with a newline)."""
-    (docs.select(id_col, text_col).repartition(id_col).write.mode("overwrite")
-         .option("maxRecordsPerFile", 1).partitionBy(id_col).text(path))
+    """One text file per document, named by its id, in at most ``CORPUS_FOLDERS`` folders by
+    a hash of the id.  A task that runs again writes the same files again.  Ids must be
+    distinct and fit a file name."""
+    folders = max(1, min(CORPUS_FOLDERS, docs.count() // 1_000))
+
+    def write(batches):
+        for batch in batches:
+            for folder, name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                store, inside = _store_of(f"{path}/{folder:03d}/{name}.txt")
+                store.create_dir(inside.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(inside) as f:
+                    f.write((text or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    named = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(folders)).alias("folder"), F.col(id_col).cast("string"), text_col)
+    named.mapInArrow(write, "n long").agg(F.sum("n")).first()
+    return path
+
+
+def write_corpus_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """The corpus as rows of ``.json`` files, as many as ``docs`` has partitions."""
+    docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).write.mode("overwrite").json(path + "/rows")
     return path
 
 
@@ -124,17 +201,23 @@ def span_source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def result_sink(df: DataFrame, path: str, asked_limit: int = RESULT_ROW_CAP) -> DataFrame:
-    """Materialise a query to Parquet (limit clamped to the cap) and describe it from
-    the re-read files: schema, row count, first rows under a total order."""
-    n = max(1, min(int(asked_limit), RESULT_ROW_CAP))
-    df.limit(n).write.mode("overwrite").parquet(path)
-    return describe_result(df.sparkSession, path)
-
-
-def describe_result(spark: SparkSession, path: str) -> DataFrame:
-    back = spark.read.parquet(path)
-    schema = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in back.schema.fields)
-    head = back.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in back.columns]).limit(SAMPLE_ROWS)
-    head_json = head.agg(F.to_json(F.collect_list(F.struct(*back.columns))).alias("head")).scalar()
-    return back.agg(F.count("*").alias("row_count")).select(
-        F.lit(path).alias("ref"), F.lit(schema).alias("schema"), "row_count", head_json.alias("head"))
+    """Write a query's result to Parquet (limit clamped to the cap) and describe it: one row
+    (ref, schema, row_count, head, n_bytes).  Rows are counted, and the first ones under a
+    total order found, while they are written (a result is at most the cap, so the
+    sort is bounded); bytes come from the files.  The result is computed once and not
+    read again."""
+    from pyspark.sql import Observation
+    spark, n = df.sparkSession, max(1, min(int(asked_limit), RESULT_ROW_CAP))
+    seen = Observation("result")
+    fields = df.schema.fields
+    # nulls last, in every column
+    key = F.struct(*[x for i, f in enumerate(fields) for x in (F.col(f"`{f.name}`").isNull().alias(f"n{i}"), F.col(f"`{f.name}`").alias(f"v{i}"))])
+    first = F.slice(F.array_sort(F.collect_list(key)), 1, SAMPLE_ROWS)
+    df.limit(n).observe(seen, F.count("*").alias("row_count"), first.alias("head")).write.mode("overwrite").parquet(path)
+    got = seen.get
+    size = file_list(spark, path, "*.parquet").agg(F.sum("length")).first()[0]
+    head = [tuple(r[f"v{i}"] for i in range(len(fields))) for r in got["head"]]
+    told = T.StructType([T.StructField("ref", T.StringType()), T.StructField("schema", T.StringType()), T.StructField("row_count", T.LongType()),
+                         T.StructField("head", T.ArrayType(df.schema)), T.StructField("n_bytes", T.LongType())])
+    schema = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in fields)
+    return spark.createDataFrame([(path, schema, got["row_count"], head, size or 0)], told)
