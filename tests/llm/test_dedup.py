@@ -127,6 +127,53 @@ def test_jaccard_join(spark, block):
     assert order(got) == order(brute_jaccard(rows))
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_pairs_that_only_seem_to_link_hide_no_link(spark, block):
+    """Long texts, whose coarse bounds let many pairs pass that do not link, around the
+    threshold on both sides; the centre of each family is not among them."""
+    import random
+    rng = random.Random(8)
+    rows = []
+    for family, n in enumerate((2600, 2600, 300)):
+        base = [f"f{family}w{i}" for i in range(n)]
+        for k in range(16):
+            size, at = int(n * rng.uniform(0.04, 0.12)), rng.randrange(n)
+            words = [f"f{family}k{k}n{i}" if (i - at) % n < size else w for i, w in enumerate(base)]
+            rows.append((100 * family + k, " ".join(words)))
+    rng.shuffle(rows)
+    got = [tuple(r) for r in jaccard_join.jaccard_join(documents(spark, rows), block=block).collect()]
+    want = brute_jaccard(rows)
+    assert order(got) == order(want) and len({c for _, _, c in want}) > 3
+
+
+def test_pairs_grow_with_the_group(spark, monkeypatch):
+    """A group without a centre: each copy has changes of its own.  Twice the copies make
+    twice the pairs, not four times."""
+    import random
+    made = []
+    real = jaccard_join.store
+
+    def counted(df, name):
+        out = real(df, name)
+        if name in ("op4-pairs", "op4-likely"):
+            made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "store", counted)
+    for copies in (100, 200, 400):
+        rng = random.Random(9)
+        base, rows = [f"w{i}" for i in range(200)], []
+        for k in range(copies):
+            words = list(base)
+            for i in rng.sample(range(200), 4):
+                words[i] = f"k{k}n{i}"
+            rows.append((k, " ".join(words)))
+        made.append(0)
+        got = jaccard_join.jaccard_join(documents(spark, rows), block=64).collect()
+        assert order(tuple(r) for r in got) == order(brute_jaccard(rows))
+    assert made[1] < 3 * made[0] and made[2] < 3 * made[1] and made[2] < 8 * 400
+
+
 def test_keep_one(spark):
     rows = edge_rows()
     want = defaultdict(set)

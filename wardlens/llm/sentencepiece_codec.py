@@ -69,9 +69,8 @@ class Vocabulary:
                 if halves:                       # else merging never gives this piece
                     self.halves[p] = halves
                     tokens.append(p)
-        for p, halves in self.halves.items():
-            if any(self.rank.get(h, 0) > self.rank[p] for h in halves):
-                raise ValueError(f"{p!r} is merged before its own parts; such a model is not supported")
+        # in a trained vocabulary no piece comes before its own parts, so merges can be undone latest first
+        self.ordered = all(self.rank.get(h, 0) <= self.rank[p] for p, halves in self.halves.items() for h in halves)
         known = set(tokens)
         # each piece and its prefixes that are pieces, longest first
         self.chains = {t: tuple(t[:n] for n in range(len(t), 0, -1) if t[:n] in known) for t in tokens}
@@ -110,6 +109,8 @@ class Vocabulary:
 
     def compatible(self, a: str, b: str) -> bool:
         """Merging ``a + b`` gives ``a`` and ``b``."""
+        if not self.ordered:
+            return self.merged(a + b) == [a, b]
         rank, before = self.rank, 1 << 60        # a merge across the border counts if it comes before this
         while True:
             across = rank.get(a + b)
