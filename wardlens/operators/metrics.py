@@ -406,21 +406,28 @@ def _share_of_total(x: DataFrame, counted: str, name: str) -> DataFrame:
     return r.withColumn("denominator", total).withColumn("share", F.round(F.col(name).cast(D) / F.col("denominator"), 9))
 
 
-def payer_mix_member_months(cov: DataFrame, start: str, end: str) -> DataFrame:
-    """Covered member-months per payer from coverage spans ``patient, payer, from_ts,
-    to_ts`` (open span runs to ``end``): months are counted by month arithmetic, not
-    by exploding rows, then de-duplicated per patient and month through a
-    (patient, payer, month) distinct."""
+def covered_months(cov: DataFrame, start: str, end: str) -> DataFrame:
+    """Of every coverage span ``patient, payer, from_ts, to_ts`` (an open one runs to
+    ``end``) the first and last month inside the period, as month numbers, and how many of
+    its months no earlier span of the patient and payer covers: spans are taken in order
+    of their first month, so only months after the latest so far are new."""
+    from .relational import prior_max_within
     lo = F.greatest(F.trunc(F.to_date("from_ts"), "month"), F.to_date(_ts(start)))
-    hi_ts = F.coalesce(F.col("to_ts"), _ts(end))
-    hi = F.least(hi_ts, _ts(end))
-    x = cov.where((F.col("from_ts") < _ts(end)) & (hi_ts > _ts(start)))
-    months = F.sequence(F.trunc(lo, "month"), F.trunc(F.date_sub(F.to_date(hi), 1), "month"),
-                        F.expr("INTERVAL 1 MONTH"))
-    x = x.where(F.to_date(hi) > lo)
-    e = x.select("patient", "payer", F.explode(months).alias("month")).distinct()
-    return e.groupBy("payer").agg(F.count("*").alias("member_months"),
-                                  F.count_distinct("patient").alias("n_members"))
+    until = F.coalesce(F.col("to_ts"), _ts(end))
+    hi = F.to_date(F.least(until, _ts(end)))
+    month = lambda d: (F.year(d) * 12 + F.month(d)).cast("int")
+    spans = cov.where((F.col("from_ts") < _ts(end)) & (until > _ts(start)) & (hi > lo)) \
+        .select("patient", "payer", month(lo).alias("first"), month(F.date_sub(hi, 1)).alias("last"))
+    held = prior_max_within(spans, ["patient", "payer"], ["first", "last"], "last", "seen")
+    new = F.col("last") - F.greatest(F.col("first") - 1, F.coalesce("seen", F.col("first") - 1))
+    return held.withColumn("new_months", F.greatest(new, F.lit(0)))
+
+
+def payer_mix_member_months(cov: DataFrame, start: str, end: str) -> DataFrame:
+    """Covered member-months per payer: the union of each patient's spans, counted by month
+    arithmetic (``covered_months``), so no row is made for a month."""
+    return covered_months(cov, start, end).groupBy("payer").agg(
+        F.sum("new_months").cast("bigint").alias("member_months"), F.count_distinct("patient").alias("n_members"))
 
 
 def coverage_rate(s: DataFrame, classes=None, start=None, end=None) -> DataFrame:

@@ -230,6 +230,25 @@ def ranked_within(df: DataFrame, keys, order, sum_col: str | None = None, rank_c
     return j.select(*out)
 
 
+def prior_max_within(df: DataFrame, keys, order, value: str, out: str) -> DataFrame:
+    """``df`` with the largest ``value`` among the rows that stand before in the group
+    (``keys``, in ``order``); null for the first.  A range-partitioned sort spreads a hot
+    group over many partitions; a running maximum answers inside a partition, and what
+    the earlier partitions of the group hold comes from one row for each of them."""
+    keys, order = list(keys), list(order)
+    by = [F.col(k).asc_nulls_last() for k in [*keys, *order]]
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    srt = df.repartitionByRange(n_parts, *by).sortWithinPartitions(*by).withColumn("_mid", F.monotonically_increasing_id())
+    srt = _pin(srt.withColumn("_pid", F.shiftright("_mid", 33)), "prior-max-sorted")
+    tops = srt.groupBy(*keys, "_pid").agg(F.max(value).alias("_top"))
+    earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tops.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_pid").alias("_p"), F.max("_top").over(earlier).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    held = srt.withColumn("_in", F.max(value).over(inside))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_pid") == F.col("_p")]
+    return held.join(carry, on).select(*df.columns, F.greatest("_in", "_carry").alias(out))
+
+
 def as_of(rows: DataFrame, time: str, history: DataFrame, since: str, values) -> DataFrame:
     """``rows`` with the value of each of ``values`` that ``history`` held at ``time``: that
     of the newest entry (``since`` <= ``time``) in which it is not null; of entries of one

@@ -1,21 +1,10 @@
-"""Retrieval over a corpus as batch jobs: many queries x many chunks.
-
-* ``chunk_documents``: whitespace tokens, windows of 512 with 64 overlap.
-* ``dense_topk``: exact inner product.  Query vectors are broadcast only after a
-  size check (``MAX_BROADCAST_QUERIES``); larger query sets run block by block,
-  each block a bounded broadcast, so the result stays exact.  Each corpus
-  partition scores its rows with one matrix product and emits only its k best per
-  query; a final per-query window keeps the global k.  No query x corpus pair
-  is ever materialised as a row.
-* ``bm25_topk``: exact BM25 top-k with MaxScore-style pruning: only documents
-  holding one of a query's rarest terms are scored, the rest are bounded above.
-* ``hybrid_rrf``: reciprocal-rank fusion of two ranked candidate lists.
+"""Retrieval over a corpus table: word-window chunks, exact dense top-k in tiles, text vectors
+without a model, exact BM25 top-k with pruning, reciprocal-rank fusion, and recall of
+rankings.  No query set and no corpus passes through the driver.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,7 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import CHUNK_OVERLAP, CHUNK_TOKENS, HYBRID_CANDIDATES, RRF_K, TOPK_MAX
 
-MAX_BROADCAST_QUERIES = 2_048   # query rows per broadcast block (x 10k-row Arrow batch)
+TILE_ROWS = 2_048   # vectors of a block, on either side of a tile
+GROUP_QUERIES = 256   # queries that meet a document in one row
 BM25_K1, BM25_B = 1.2, 0.75
 SCORE_DIGITS = 6
 
@@ -54,55 +44,81 @@ def validate_requests(requests: DataFrame) -> DataFrame:
 
 _CAND_SCHEMA = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("item_id", T.LongType()),
                              T.StructField("score", T.DoubleType())])
+_PACK = "ids binary, vecs binary"
+
+
+def _packed(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """Vectors packed as rows of a matrix: one row (ids, vecs) for each batch of a partition,
+    at most TILE_ROWS vectors.  No shuffle.  Null vectors are left out."""
+    def pack(batches):
+        for b in batches:
+            for at in range(0, len(b), TILE_ROWS):
+                part = b.iloc[at:at + TILE_ROWS]
+                yield pd.DataFrame({"ids": [part.iloc[:, 0].to_numpy("int64").tobytes()],
+                                    "vecs": [np.stack(part.iloc[:, 1].to_numpy()).astype(np.float64).tobytes()]})
+
+    return df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long"), vec_col).mapInPandas(pack, _PACK)
 
 
-def _partition_topk(queries, k: int):
-    """Per partition: score each Arrow batch (queries x batch rows, bounded by the
-    query block and the batch size), keep a running k best per query in the order of the
-    final rank (rounded score, then id), emit them.  ``queries`` is a broadcast."""
+def _tile_topk(keep: int):
+    """Rows (ids, vecs, q_ids, q_vecs): the ``keep`` best items of each query of a tile, in
+    the order of the final rank (rounded score, then id), from one matrix product."""
     def run(batches):
-        qids, qvecs = queries.value
-        best_s = best_i = None
         for b in batches:
-            if not len(qids) or len(b) == 0:
-                continue
-            mat = np.stack(b["vec"].to_numpy()).astype(np.float64)
-            ids = np.broadcast_to(b["item_id"].to_numpy().astype("int64"), (len(qids), len(b)))
-            sc = np.round(qvecs @ mat.T, SCORE_DIGITS)
-            if best_s is not None:
-                sc, ids = np.concatenate([best_s, sc], axis=1), np.concatenate([best_i, ids], axis=1)
-            idx = np.lexsort((ids, -sc), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(sc, idx, axis=1), np.take_along_axis(ids, idx, axis=1)
-        if best_s is not None:
-            yield pd.DataFrame({"query_id": np.repeat(qids, best_s.shape[1]).astype("int64"),
-                                "item_id": best_i.ravel().astype("int64"), "score": best_s.ravel()})
+            for ids, vecs, q_ids, q_vecs in zip(b["ids"], b["vecs"], b["q_ids"], b["q_vecs"]):
+                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
+                score = np.round(np.frombuffer(q_vecs).reshape(len(q_ids), -1) @ np.frombuffer(vecs).reshape(len(ids), -1).T, SCORE_DIGITS)
+                best = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :keep]
+                yield pd.DataFrame({"query_id": np.repeat(q_ids, best.shape[1]), "item_id": ids[best].ravel(),
+                                    "score": np.take_along_axis(score, best, axis=1).ravel()})
     return run
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """Exact top-k by inner product.  queries: query_id, query_vec; corpus: item_id, vec.
 
-    Per-partition candidates keep ``k + 1`` per query so excluding the query's own
-    vector (when it is part of the corpus) still leaves k exact results.
+    Both sides are packed into blocks, and every block of the corpus meets every block of
+    queries in a tile, by an equi-join on the number of the query block: no vector goes
+    through the driver, and the corpus is read once however many queries there are.  A
+    tile keeps ``k + 1`` items a query, so leaving out the query's own vector (when it is
+    part of the corpus) still leaves k; the best of all tiles are ranked at the end.
     """
-    spark = queries.sparkSession
-    n_q = queries.count()
-    blocks = max(1, -(-n_q // MAX_BROADCAST_QUERIES))
-    qb = queries.withColumn("_blk", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    parts = []
+    from ..sources.files import materialise
     keep = k + (1 if exclude_self else 0)
-    for blk in range(blocks):
-        # a block of about MAX_BROADCAST_QUERIES queries shipped to every task
-        qpdf = qb.where(F.col("_blk") == blk).select("query_id", "query_vec").toPandas()
-        vecs = np.stack(qpdf["query_vec"].to_numpy()).astype(np.float64) if len(qpdf) else None
-        fn = _partition_topk(spark.sparkContext.broadcast((qpdf["query_id"].to_numpy(), vecs)), keep)
-        parts.append(corpus.select("item_id", "vec").mapInPandas(fn, _CAND_SCHEMA))
-    cand = reduce(DataFrame.unionByName, parts)
+    n_blocks = max(1, -(-queries.count() // TILE_ROWS))
+    blocks = materialise(_packed(queries.repartition(n_blocks, "query_id"), "query_id", "query_vec").withColumn("block", F.monotonically_increasing_id()), "query-blocks") \
+        .withColumnsRenamed({"ids": "q_ids", "vecs": "q_vecs"})
+    names = [r.block for r in blocks.select("block").collect()]      # one number for up to TILE_ROWS queries
+    tiles = _packed(corpus, "item_id", "vec").withColumn("block", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<bigint>")))
+    cand = tiles.join(blocks, "block").select("ids", "vecs", "q_ids", "q_vecs").mapInPandas(_tile_topk(keep), _CAND_SCHEMA)
     if exclude_self:
         cand = cand.where(F.col("query_id") != F.col("item_id"))
     return rank_topk(cand, k)
 
 
+# --- text vectors ---------------------------------------------------------------------------
+
+TEXT_DIMS, TEXT_HITS = 128, 4    # dimensions of a text vector; of these a term touches so many
+
+
+def text_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(item_id, vec): a vector of unit length for every text with a term, without a model:
+    a sparse random projection of its term counts.  Four 32-bit words of a term's md5 each
+    name a dimension and a sign, so texts that share terms point the same way.  Sums are
+    of whole numbers; only the division by the length is in doubles."""
+    words = docs.select(F.col(id_col).alias("item_id"), F.explode(tokens(text_col)).alias("term")) \
+        .groupBy("item_id", "term").agg(F.count("*").alias("tf"))
+    md5 = words.withColumn("_h", F.md5("term"))
+    word = lambda j: F.conv(F.substring("_h", 8 * j + 1, 8), 16, 10).cast("bigint")
+    hits = md5.select("item_id", "tf", F.explode(F.array(*[word(j) for j in range(TEXT_HITS)])).alias("w"))
+    sign = F.when(F.floor(F.col("w") / TEXT_DIMS) % 2 == 0, F.col("tf")).otherwise(-F.col("tf"))
+    sums = hits.groupBy("item_id", (F.col("w") % TEXT_DIMS).cast("int").alias("dim")).agg(F.sum(sign).alias("v"))
+    rows = sums.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "v"))).alias("m"),
+                                       F.sqrt(F.sum(F.col("v") * F.col("v")).cast("double")).alias("norm")).where("norm > 0")
+    value = lambda d: F.coalesce(F.col("m")[d], F.lit(0)).cast("double") / F.col("norm")
+    return rows.select("item_id", F.transform(F.sequence(F.lit(0), F.lit(TEXT_DIMS - 1)), value).alias("vec"))
+
+
 def rank_topk(cand: DataFrame, k: int, score: str = "score") -> DataFrame:
     """k best per query, best first; scores rounded so float noise cannot reorder
     equal scores across engines, ties broken by item id."""
@@ -219,24 +235,29 @@ def bm25_topk_prepared(prep: dict, k: int, k1: float = BM25_K1, b: float = BM25_
 
 
 def bm25_scores(prep: dict, pairs: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """Exact scores of the given (query_id, item_id) pairs.  A pair meets one row of the
-    query (its terms' idf) and one of the document (its terms' tf), both as arrays in
-    order of a term hash, and is folded there: rows are pairs, never pairs x terms."""
+    """Exact scores of the given (query_id, item_id) pairs.  The queries of a document come
+    together in groups of at most GROUP_QUERIES, so a row is a document with its terms and
+    some queries, never a pair with its terms: a document's terms travel once for each of
+    its groups, the queries' terms with the group."""
     avgdl = prep["avgdl_value"]
-    joined = pairs.join(prep["q_rows"], "query_id").join(prep["d_rows"], "item_id") \
-        .select("query_id", "item_id", "q_terms", "idf", "d_terms", "tf", "doc_len")
+    slot = F.pmod(F.xxhash64("query_id"), F.greatest(F.lit(1), F.ceil(F.col("n_queries") / GROUP_QUERIES)).cast("bigint"))
+    many = pairs.groupBy("item_id").agg(F.count("*").alias("n_queries"))
+    groups = pairs.join(many, "item_id").withColumn("slot", slot).join(prep["q_rows"], "query_id") \
+        .groupBy("item_id", "slot").agg(F.collect_list(F.struct("query_id", "q_terms", "idf")).alias("q"))
+    joined = groups.join(prep["d_rows"], "item_id") \
+        .select("item_id", F.col("q.query_id").alias("query_id"), F.transform("q", lambda x: F.size(x["q_terms"])).alias("sizes"),
+                F.flatten("q.q_terms").alias("q_terms"), F.flatten("q.idf").alias("idf"), "d_terms", "tf", "doc_len")
 
     def fold(batches):
         for pdf in batches:
-            scores = np.zeros(len(pdf))
-            rows = zip(pdf["q_terms"], pdf["idf"], pdf["d_terms"], pdf["tf"], pdf["doc_len"])
-            for i, (qt, idf, dt, tf, n) in enumerate(rows):
-                at = np.searchsorted(dt, qt)
+            out = []
+            for item, qid, sizes, qt, idf, dt, tf, n in zip(*(pdf[c] for c in ("item_id", "query_id", "sizes", "q_terms", "idf", "d_terms", "tf", "doc_len"))):
+                at = np.searchsorted(dt, qt)              # terms of a document are in order of their hash
                 at[at == len(dt)] = 0
-                hit = dt[at] == qt
-                f = tf[at[hit]].astype(float)
-                scores[i] = (idf[hit] * f * (k1 + 1) / (f + k1 * (1 - b + b * n / avgdl))).sum()
-            yield pd.DataFrame({"query_id": pdf["query_id"], "item_id": pdf["item_id"], "score": scores})
+                f = np.where(dt[at] == qt, tf[at], 0).astype(float)
+                part = idf * f * (k1 + 1) / (f + k1 * (1 - b + b * n / avgdl))
+                out.append(pd.DataFrame({"query_id": qid, "item_id": item, "score": np.add.reduceat(part, np.cumsum(sizes) - sizes)}))
+            yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "item_id": [], "score": []})
 
     kinds = [f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("query_id", "item_id")]
     return joined.mapInPandas(fold, ", ".join([*kinds, "score double"]))

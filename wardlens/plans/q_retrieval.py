@@ -4,9 +4,8 @@ Bindings: dense retrieval runs on ``embeddings`` (queries = one exemplar per lab
 the smallest id of the label; candidates = every other vector; relevant = same
 label).  Lexical retrieval runs on ``documents`` with the ``benchmark`` passages as
 queries; a document is relevant to a passage when it contains it.  The driver
-tables carry no document vectors, so the registered hybrid fuses two lexical
-rankings (BM25 with and without length normalisation) through the same
-reciprocal-rank fusion."""
+tables carry no document vectors and there is no embedding model, so the dense list
+of the hybrid comes from hashed-term vectors (``text_vectors``)."""
 
 from __future__ import annotations
 
@@ -82,20 +81,41 @@ def q_bm25_topk(spark, sf):
     return bm25_ranked(spark, sf)
 
 
+def text_vectors_sql(name: str, table: str, key: str) -> str:
+    """DuckDB twin of ``text_vectors``."""
+    tok = TOK.replace("{{", "{").replace("}}", "}")
+    return f"""{name}_tf AS (SELECT item_id, term, count(*) AS tf FROM (SELECT {key} AS item_id, unnest({tok}) AS term FROM {table}) GROUP BY 1, 2),
+{name}_hit AS (SELECT item_id, tf, CAST('0x' || substr(md5(term), 8 * j + 1, 8) AS BIGINT) AS w FROM {name}_tf, range({RV.TEXT_HITS}) r(j)),
+{name}_sum AS (SELECT item_id, w % {RV.TEXT_DIMS} AS dim, CAST(sum(CASE WHEN (w // {RV.TEXT_DIMS}) % 2 = 0 THEN tf ELSE -tf END) AS BIGINT) AS v
+  FROM {name}_hit GROUP BY 1, 2),
+{name}_norm AS (SELECT item_id, sqrt(CAST(sum(v * v) AS DOUBLE)) AS norm FROM {name}_sum GROUP BY 1 HAVING sum(v * v) > 0),
+{name} AS (SELECT s.item_id, dim, v / norm AS x FROM {name}_sum s JOIN {name}_norm n ON s.item_id = n.item_id)"""
+
+
+@query("text_vectors", "WITH " + text_vectors_sql("tv", "documents", "doc_id") + """
+SELECT item_id, CAST(dim AS INTEGER) AS dim, round(x, 9) AS x FROM tv WHERE x <> 0""")
+def q_text_vectors(spark, sf):
+    v = RV.text_vectors(read_table(spark, sf, "documents", "doc_id", "text"))
+    return v.select("item_id", F.posexplode("vec").alias("dim", "x")).where("x <> 0").select("item_id", "dim", F.round("x", 9).alias("x"))
+
+
 @query("hybrid_rrf", "WITH " + bm25_sql("ba", "documents", "doc_id", "benchmark", "item_id", 50) + ", "
-       + bm25_sql("bb", "documents", "doc_id", "benchmark", "item_id", 50, b=0.0) + """,
+       + text_vectors_sql("dv", "documents", "doc_id") + ", " + text_vectors_sql("qv", "benchmark", "item_id") + """,
+ds AS (SELECT q.item_id AS query_id, d.item_id, round(sum(q.x * d.x), 6) AS score FROM qv q JOIN dv d ON q.dim = d.dim GROUP BY 1, 2),
+dn AS (SELECT q.item_id AS query_id, d.item_id, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT item_id FROM qv) q, (SELECT DISTINCT item_id FROM dv) d
+  LEFT JOIN ds s ON s.query_id = q.item_id AND s.item_id = d.item_id),
+bb AS (SELECT * FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM dn) WHERE rank <= 50),
 f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.item_id, b.item_id) AS item_id,
   round(coalesce(1.0 / (60 + a.rank), 0.0) + coalesce(1.0 / (60 + b.rank), 0.0), 6) AS score
   FROM ba a FULL JOIN bb b ON a.query_id = b.query_id AND a.item_id = b.item_id)
 SELECT query_id, item_id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
   PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f) WHERE rank <= 10""")
 def q_hybrid_rrf(spark, sf):
-    # one index, two pruned exact rankings (with and without length normalisation)
-    prep = RV.bm25_prepare(read_table(spark, sf, "benchmark", "item_id", "text"),
-                           read_table(spark, sf, "documents", "doc_id", "text"))
-    a = RV.bm25_topk_prepared(prep, 50, b=RV.BM25_B)
-    b = RV.bm25_topk_prepared(prep, 50, b=0.0)
-    return RV.hybrid_rrf(a, b, K_LEX)
+    """BM25 and dense lists of 50 each, fused."""
+    items, docs = read_table(spark, sf, "benchmark", "item_id", "text"), read_table(spark, sf, "documents", "doc_id", "text")
+    dense = RV.dense_topk(RV.text_vectors(items, "item_id").select(F.col("item_id").alias("query_id"), F.col("vec").alias("query_vec")),
+                          RV.text_vectors(docs), RV.HYBRID_CANDIDATES, exclude_self=False)
+    return RV.hybrid_rrf(RV.bm25_topk(items, docs, RV.HYBRID_CANDIDATES), dense, K_LEX)
 
 
 CHUNK_SQL = """cw AS (SELECT doc_id, regexp_split_to_array(trim(text), '\\s+') AS words FROM documents),
