@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from ..functions.exprs import CHUNK_OVERLAP, CHUNK_TOKENS, HYBRID_CANDIDATES, RRF_K, TOPK_MAX
 
 TILE_ROWS = 2_048   # vectors of a block, on either side of a tile
+BROADCAST_TERMS = 1 << 20   # (query, term) rows, 24 bytes each, that go to every task
+CELLS = 1 << 20   # (document, query) scores at a time
 GROUP_QUERIES = 256   # queries that meet a document in one row
 BM25_K1, BM25_B = 1.2, 0.75
 SCORE_DIGITS = 6
@@ -134,8 +136,9 @@ def tokens(text_col: str = "text") -> F.Column:
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, qid: str = "item_id", did: str = "doc_id",
               k1: float = BM25_K1, b: float = BM25_B, first_terms: int = 3) -> DataFrame:
-    """Exact BM25 top-k per query without pairing every query with every document
-    that shares a common word (MaxScore-style pruning).
+    """Exact BM25 top-k per query.  Queries that fit a broadcast meet every document once.
+    More of them are not paired with every document that shares a common word
+    (MaxScore-style pruning):
 
     Per query the terms are ordered rarest first.  Documents containing one of the
     ``m`` rarest terms are scored exactly (all their query terms); any other
@@ -195,11 +198,65 @@ def bm25_at_least(prep: dict, entries: DataFrame, theta: float, k1: float = BM25
     return bm25_scores(prep, pairs, k1, b).withColumn("score", F.round("score", SCORE_DIGITS)).where(F.col("score") >= theta)
 
 
+def _best_of_all(held, k: int, k1: float, b: float, avgdl: float):
+    """Documents with their terms: the k best of the task for each query, scored against
+    all queries at once.  A document's term leads to the queries that hold it."""
+    def run(batches):
+        names, terms, first, holds, idf = held.value
+        many, n_q = np.diff(first), len(names)
+        least, best = np.full(n_q, -np.inf), None
+
+        def cut(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["q", "score", "item"], ascending=[True, False, True], ignore_index=True)
+            rows = rows[rows.groupby("q").cumcount() < k]
+            full = rows.groupby("q").score.agg(["size", "min"])
+            full = full[full["size"] == k]
+            least[full.index.to_numpy()] = full["min"].to_numpy()
+            return rows
+
+        for pdf in batches:
+            for a in range(0, len(pdf), step := max(1, CELLS // max(n_q, 1))):
+                part = pdf.iloc[a:a + step]
+                sizes = part["d_terms"].map(len).to_numpy()
+                doc = np.repeat(np.arange(len(part)), sizes)
+                at = np.searchsorted(terms, np.concatenate(part["d_terms"].to_list()))
+                tf = np.concatenate(part["tf"].to_list()).astype(float)
+                weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * part["doc_len"].to_numpy()[doc] / avgdl))
+                reps = many[at]
+                ends = np.cumsum(reps)
+                hit = np.repeat(first[at] - (ends - reps), reps) + np.arange(ends[-1])
+                score = np.bincount(np.repeat(doc, reps) * n_q + holds[hit], np.repeat(weight, reps) * idf[hit], len(part) * n_q)
+                score = np.round(score.reshape(len(part), n_q), SCORE_DIGITS)
+                d, q = np.nonzero((score > 0) & (score >= least))
+                new = pd.DataFrame({"q": q, "item": part["item_id"].to_numpy()[d], "score": score[d, q]})
+                best = new if best is None else pd.concat([best, new])
+                if len(best) > 4 * k * n_q:
+                    best = cut(best)
+        if best is not None:
+            best = cut(best)
+            yield pd.DataFrame({"query_id": names[best.q], "item_id": best["item"], "score": best.score})
+    return run
+
+
+def _bm25_all(prep: dict, k: int, k1: float, b: float) -> DataFrame:
+    """Exact top-k by one pass over the documents, for queries that fit a broadcast."""
+    q = prep["qtd"].select("query_id", F.xxhash64("term").alias("h"), "idf").toPandas().sort_values("h", ignore_index=True)
+    codes, names = pd.factorize(q.query_id)
+    terms, first = np.unique(q.h.to_numpy("int64"), return_index=True)
+    held = prep["d_rows"].sparkSession.sparkContext.broadcast((names.to_numpy(), terms, np.append(first, len(q)), codes, q.idf.to_numpy(float)))
+    kinds = f"query_id {prep['qtd'].schema['query_id'].dataType.simpleString()}, item_id {prep['d_rows'].schema['item_id'].dataType.simpleString()}"
+    return rank_topk(prep["d_rows"].mapInPandas(_best_of_all(held, k, k1, b, prep["avgdl_value"]), f"{kinds}, score double"), k)
+
+
 def bm25_topk_prepared(prep: dict, k: int, k1: float = BM25_K1, b: float = BM25_B,
                        first_terms: int = 3) -> DataFrame:
-    """Pruned exact top-k over a prepared index (see ``bm25_topk``)."""
+    """Exact top-k over a prepared index.  Queries with at most BROADCAST_TERMS terms in all go
+    to every task and are scored in one pass over the documents; more of them by pruned
+    rounds (see ``bm25_topk``)."""
     from ..sources.files import materialise
     post_q, qtd = prep["post_q"], prep["qtd"]
+    if qtd.count() <= BROADCAST_TERMS:
+        return _bm25_all(prep, k, k1, b)
     if k1 != BM25_K1:
         qtd = qtd.withColumn("ub", F.col("idf") * (k1 + 1))
     margin = 10.0 ** (-SCORE_DIGITS)
