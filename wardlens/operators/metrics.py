@@ -218,9 +218,11 @@ def stored_stays(s: DataFrame, inpatient: str) -> DataFrame:
 
 
 def discharge_disposition(s: DataFrame, inpatient: str, start=None, end=None,
-                          deaths: DataFrame | None = None, gap_days: int = 1) -> DataFrame:
-    """Inferred disposition: death (patient died during the stay, when a death table
-    ``patient, death_ts`` is supplied), transfer (adjacency), open, invalid, home."""
+                          deaths: DataFrame | None = None, gap_days: int = 1, against_advice: DataFrame | None = None) -> DataFrame:
+    """Inferred disposition: open, invalid, death (the patient died during the stay; needs
+    ``deaths``: patient, death_ts), against_advice (needs the ids of such stays), transfer
+    (adjacency), home.  A disposition that cannot be told for want of its table has a row
+    whose count is null, so that its absence is not read as zero."""
     s = stored_stays(s, inpatient)
     x = with_flags(scope(s, [inpatient], start, end, on="stop_ts") if start or end
                    else scope(s, [inpatient]))
@@ -234,18 +236,37 @@ def discharge_disposition(s: DataFrame, inpatient: str, start=None, end=None,
         x = x.join(first_death(deaths), "patient", "left")
         died = F.coalesce((F.col("death_ts") >= F.col("start_ts"))
                           & (F.col("death_ts") <= F.col("stop_ts")), F.lit(False))
+    x = flagged_ids(x, against_advice, "_left")
     disp = (F.when(F.col("is_open"), "open").when(F.col("is_reversed"), "invalid")
-            .when(died, "death").when(F.col("_tr").isNotNull(), "transfer").otherwise("home"))
-    return x.groupBy(disp.alias("disposition")).agg(F.count("*").alias("n_stays"))
+            .when(died, "death").when(F.col("_left"), "against_advice").when(F.col("_tr").isNotNull(), "transfer").otherwise("home"))
+    out = x.groupBy(disp.alias("disposition")).agg(F.count("*").alias("n_stays"))
+    unknown = [(name,) for name, given in (("death", deaths), ("against_advice", against_advice)) if given is None]
+    if not unknown:
+        return out
+    return out.unionByName(s.sparkSession.createDataFrame(unknown, "disposition string").withColumn("n_stays", F.lit(None).cast("bigint")))
+
+
+def flagged_ids(x: DataFrame, ids: DataFrame | None, flag: str) -> DataFrame:
+    """``x`` with whether its ``id`` is in ``ids`` (id); false everywhere if there is no such table."""
+    if ids is None:
+        return x.withColumn(flag, F.lit(False))
+    return x.join(ids.select("id").distinct().withColumn(flag, F.lit(True)), "id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def readmission_flags(s: DataFrame, inpatient: str, start: str, end: str, window_days: int = 30,
                       anchor: str = "discharge", same_facility: bool = False,
                       same_cause: bool = False, exclude_transfers: bool = False,
-                      transfer_gap_days: int = 1, deaths: DataFrame | None = None) -> DataFrame:
+                      transfer_gap_days: int = 1, deaths: DataFrame | None = None,
+                      against_advice: DataFrame | None = None, planned: DataFrame | None = None,
+                      codes: DataFrame | None = None) -> DataFrame:
     """One row per inpatient index candidate discharged in ``[start, end)`` with its
     exclusion flags and ``readmitted`` (any later inpatient start of the same patient
-    in ``(anchor, anchor + window]``; counted once per index)."""
+    in ``(anchor, anchor + window]``; counted once per index).
+
+    deaths: patient, death_ts; against_advice, planned: ids of stays (those leave the index,
+    these do not count as a return); codes: id, code.  ``same_cause`` asks for a common
+    code: the codes of a stay are keys of the join beside patient and time, so a stay
+    meets only stays that share one; without ``codes`` the column ``cause`` is the code."""
     s = stored_stays(s, inpatient)
     base = with_flags(s)
     idx = base.where(in_window("stop_ts", start, end) | F.col("is_open"))
@@ -268,13 +289,18 @@ def readmission_flags(s: DataFrame, inpatient: str, start: str, end: str, window
             "x_death", F.coalesce(F.col("death_ts") <= F.col("stop_ts"), F.lit(False))).drop("death_ts")
     else:
         idx = idx.withColumn("x_death", F.lit(False))
+    idx = flagged_ids(idx, against_advice, "x_against_advice")
     idx = idx.withColumn("eligible", ~(F.col("x_open") | F.col("x_reversed") | F.col("x_tail")
-                                       | F.col("x_transfer") | F.col("x_death")))
+                                       | F.col("x_transfer") | F.col("x_death") | F.col("x_against_advice")))
     # Follow-ups: open stays count (they started); reversed stays do not.
-    fu = base.where(~F.col("is_reversed")).select(
-        F.col("id").alias("fu_id"), F.col("patient").alias("fu_patient"),
+    returns = flagged_ids(base.where(~F.col("is_reversed")), planned, "_planned").where(~F.col("_planned"))
+    if same_cause:
+        codes = (base.select("id", F.col("cause").alias("code")) if codes is None else codes.select("id", "code")).where("code is not null").distinct()
+        returns = returns.join(codes.withColumnRenamed("code", "fu_code"), "id")
+    fu = returns.select(
+        *(["fu_code"] if same_cause else []), F.col("id").alias("fu_id"), F.col("patient").alias("fu_patient"),
         F.col("start_ts").alias("fu_start"), F.col("organization").alias("fu_org"),
-        F.col("cause").alias("fu_cause"), day_bucket("start_ts", window_days).alias("fu_b"))
+        day_bucket("start_ts", window_days).alias("fu_b"))
     # equi-key (patient, day bucket): a patient's stays only meet follow-ups near in time
     e = idx.where("eligible").withColumn("_b", F.explode(window_buckets("anchor_ts", window_days, window_days)))
     cond = ((e.patient == fu.fu_patient) & (e._b == fu.fu_b) & (fu.fu_id != e.id) & (fu.fu_start > e.anchor_ts)
@@ -282,7 +308,12 @@ def readmission_flags(s: DataFrame, inpatient: str, start: str, end: str, window
     if same_facility:
         cond = cond & (fu.fu_org == e.organization)
     if same_cause:
-        cond = cond & (fu.fu_cause == e.cause)
+        e = e.join(codes, "id")
+        cond = (F.col("patient") == F.col("fu_patient")) & (F.col("code") == F.col("fu_code")) & (F.col("_b") == F.col("fu_b")) \
+            & (F.col("fu_id") != F.col("id")) & (F.col("fu_start") > F.col("anchor_ts")) \
+            & (F.col("fu_start") <= F.col("anchor_ts") + F.expr(f"INTERVAL {int(window_days)} DAYS"))
+        if same_facility:
+            cond = cond & (F.col("fu_org") == F.col("organization"))
     hit = e.join(fu, cond, "left_semi").select("id").distinct().withColumn("readmitted", F.lit(True))
     return (idx.join(hit, "id", "left")
                .withColumn("readmitted", F.coalesce("readmitted", F.lit(False)) & F.col("eligible")))
@@ -314,7 +345,15 @@ def exclusion_report(s: DataFrame, inpatient: str, start: str, end: str, **kw) -
                  F.count_if("x_tail").alias("n_unobservable_tail"),
                  F.count_if("x_transfer").alias("n_transfer"),
                  F.count_if("x_death").alias("n_death"),
-                 F.count_if("eligible").alias("n_eligible"))
+                 F.count_if("x_against_advice").alias("n_against_advice"),
+                 F.count_if("eligible").alias("n_eligible"),
+                 F.lit(unavailable_rules(**kw)).alias("unavailable"))
+
+
+def unavailable_rules(**kw) -> str:
+    """The exclusions that cannot be applied for want of their table, by name."""
+    given = {"death": kw.get("deaths"), "against_advice": kw.get("against_advice"), "planned": kw.get("planned")}
+    return ",".join(name for name, table in given.items() if table is None)
 
 
 # --- attribution, identity, payer mix ------------------------------------------------

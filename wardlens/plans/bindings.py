@@ -182,6 +182,42 @@ def recipe():
                   payer_year=(PERIOD_START, PERIOD_END), dup_year=(PERIOD_START, PERIOD_END))
 
 
+def deaths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(patient, death_ts): a customer with a low balance dies at the end of the last inpatient
+    stay that ends in the reporting period."""
+    lost = read_table(spark, sf_dir, "customer", "c_custkey", "c_acctbal").where("c_acctbal < 500")
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority").where(F.col("o_orderpriority") == INPATIENT)
+    ends = F.col("l_shipdate")
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_shipdate") \
+        .where((ends >= F.lit(PERIOD_START).cast("timestamp_ntz")) & (ends < F.lit(PERIOD_END).cast("timestamp_ntz")))
+    return li.join(o, li.l_orderkey == o.o_orderkey).join(lost, F.col("o_custkey") == F.col("c_custkey")) \
+        .groupBy(F.col("o_custkey").alias("patient")).agg(F.max("l_shipdate").alias("death_ts"))
+
+
+def _lines_as_ids(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", *cols)
+    return li.select(F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("id"), *cols)
+
+
+def against_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id): stays of which a copy has the highest tax."""
+    return _lines_as_ids(spark, sf_dir, "l_tax").where("l_tax >= 0.08").select("id").distinct()
+
+
+def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id): stays of which a copy has no discount."""
+    return _lines_as_ids(spark, sf_dir, "l_discount").where("l_discount = 0").select("id").distinct()
+
+
+def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, code): the codes of a stay, from all of its copies: the part's group and the return flag
+    where it tells something."""
+    li = _lines_as_ids(spark, sf_dir, "l_partkey", "l_returnflag")
+    part = F.concat(F.lit("P"), (F.col("l_partkey") % 12).cast("string"))
+    flag = F.when(F.col("l_returnflag") != "N", F.concat(F.lit("R"), F.col("l_returnflag")))
+    return li.select("id", F.explode(F.array_compact(F.array(part, flag))).alias("code")).distinct()
+
+
 RETRIEVAL_DOCS = 3               # documents that a bound lookup names
 
 

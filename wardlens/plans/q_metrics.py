@@ -8,7 +8,7 @@ from ..operators import metrics as M
 from . import bindings as B
 from .registry import query
 from .sqlparts import (ED, HOURS, IN_PERIOD, IP, LOS, MIDNIGHTS, OBS, P0, P1, RATE_COLS, STAYS,
-                       SUPPLIER_ORG, readmission_sql, transfer_pairs_sql)
+                       EXCLUSION_TABLES, SUPPLIER_ORG, readmission_sql, transfer_pairs_sql)
 
 IPC, P, E = B.INPATIENT, B.PERIOD_START, B.PERIOD_END
 AS_OF = B.PERIOD_END
@@ -177,14 +177,19 @@ def q_transfer_pairs(spark, sf):
     return M.transfer_pairs(_stays(spark, sf, [IPC]), IPC)
 
 
-@query("discharge_disposition", f"""WITH {STAYS}, {transfer_pairs_sql()},
-d AS (SELECT *, id IN (SELECT from_id FROM tpairs) AS tr FROM flagged
+@query("discharge_disposition", f"""WITH {STAYS}, {transfer_pairs_sql()}, {EXCLUSION_TABLES},
+d AS (SELECT *, id IN (SELECT from_id FROM tpairs) AS tr, id IN (SELECT id FROM against_advice) AS gone,
+        (SELECT death_ts FROM deaths x WHERE x.patient = flagged.patient) AS death_ts FROM flagged
       WHERE class = {IP} AND ((stop_ts >= {P0} AND stop_ts < {P1}) OR is_open))
-SELECT CASE WHEN is_open THEN 'open' WHEN is_reversed THEN 'invalid' WHEN tr THEN 'transfer'
-            ELSE 'home' END AS disposition, count(*) AS n_stays
+SELECT CASE WHEN is_open THEN 'open' WHEN is_reversed THEN 'invalid' WHEN death_ts >= start_ts AND death_ts <= stop_ts THEN 'death'
+            WHEN gone THEN 'against_advice' WHEN tr THEN 'transfer' ELSE 'home' END AS disposition, count(*) AS n_stays
 FROM d GROUP BY 1""")
 def q_discharge_disposition(spark, sf):
-    return M.discharge_disposition(_stays(spark, sf, [IPC]), IPC, P, E)
+    return M.discharge_disposition(_stays(spark, sf, [IPC]), IPC, P, E, deaths=B.deaths(spark, sf), against_advice=B.against_advice(spark, sf))
+
+
+def _exclusions(spark, sf):
+    return {"deaths": B.deaths(spark, sf), "against_advice": B.against_advice(spark, sf), "planned": B.planned(spark, sf)}
 
 
 def _readm(window_days=30, **kw):
@@ -215,7 +220,13 @@ def q_readmission_same_facility(spark, sf):
 @query("readmission_same_cause", _readm(30, same_cause=True, exclude_transfers=True))
 def q_readmission_same_cause(spark, sf):
     return M.readmission_rate(_stays(spark, sf, [IPC]), IPC, P, E, window_days=30,
-                              same_cause=True, exclude_transfers=True)
+                              same_cause=True, codes=B.diagnoses(spark, sf), exclude_transfers=True)
+
+
+@query("readmission_all_exclusions", _readm(30, exclude_transfers=True, all_exclusions=True))
+def q_readmission_all_exclusions(spark, sf):
+    """With deaths, discharges against advice and planned returns, from their bound tables."""
+    return M.readmission_rate(_stays(spark, sf, [IPC]), IPC, P, E, window_days=30, exclude_transfers=True, **_exclusions(spark, sf))
 
 
 @query("readmission_admission_anchored", _readm(30, anchor="admission", exclude_transfers=True))
@@ -229,13 +240,15 @@ def q_readmission_by_org(spark, sf):
     return M.readmission_by_org(_stays(spark, sf, [IPC]), IPC, P, E, window_days=30, exclude_transfers=True)
 
 
-@query("exclusion_report", f"""WITH {STAYS}{readmission_sql(30, exclude_transfers=True)}
+@query("exclusion_report", f"""WITH {STAYS}{readmission_sql(30, exclude_transfers=True, all_exclusions=True)}
 SELECT count(*) AS n_candidates, count(*) FILTER (WHERE x_open) AS n_open,
        count(*) FILTER (WHERE x_reversed) AS n_reversed, count(*) FILTER (WHERE x_tail) AS n_unobservable_tail,
        count(*) FILTER (WHERE x_transfer) AS n_transfer, count(*) FILTER (WHERE x_death) AS n_death,
-       count(*) FILTER (WHERE eligible) AS n_eligible FROM idx""")
+       count(*) FILTER (WHERE x_against_advice) AS n_against_advice,
+       count(*) FILTER (WHERE eligible) AS n_eligible, 'planned' AS unavailable FROM idx""")
 def q_exclusion_report(spark, sf):
-    return M.exclusion_report(_stays(spark, sf, [IPC]), IPC, P, E, window_days=30, exclude_transfers=True)
+    return M.exclusion_report(_stays(spark, sf, [IPC]), IPC, P, E, window_days=30, exclude_transfers=True,
+                              deaths=B.deaths(spark, sf), against_advice=B.against_advice(spark, sf))
 
 
 @query("provider_volume", f"""WITH {STAYS}

@@ -49,6 +49,16 @@ SUPPLIER_ORG = """sup_org AS (
   JOIN region r ON n.n_regionkey = r.r_regionkey)"""
 
 
+_LINE_ID = "CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)"
+DIAGNOSES = f"""codes AS (SELECT {_LINE_ID} AS id, 'P' || CAST(l_partkey % 12 AS VARCHAR) AS code FROM lineitem
+  UNION SELECT {_LINE_ID}, 'R' || l_returnflag FROM lineitem WHERE l_returnflag <> 'N')"""
+EXCLUSION_TABLES = f"""deaths AS (SELECT o_custkey AS patient, max(l_shipdate) AS death_ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 500 AND o_orderpriority = '{INPATIENT}'
+    AND l_shipdate >= TIMESTAMP '{PERIOD_START}' AND l_shipdate < TIMESTAMP '{PERIOD_END}' GROUP BY 1),
+against_advice AS (SELECT DISTINCT {_LINE_ID} AS id FROM lineitem WHERE l_tax >= 0.08),
+planned AS (SELECT DISTINCT {_LINE_ID} AS id FROM lineitem WHERE l_discount = 0)"""
+
+
 def transfer_pairs_sql(gap_days: int = 1) -> str:
     return f"""tpairs AS (
   SELECT a.id AS from_id, b.id AS to_id, a.patient, a.organization AS from_org, b.organization AS to_org
@@ -59,24 +69,30 @@ def transfer_pairs_sql(gap_days: int = 1) -> str:
 
 
 def readmission_sql(window_days: int = 30, anchor: str = "discharge", same_facility=False,
-                    same_cause=False, exclude_transfers=False) -> str:
+                    same_cause=False, exclude_transfers=False, all_exclusions=False) -> str:
     """CTEs ``idx`` (one row per candidate index with flags and ``readmitted``)."""
     anchor_col = "stop_ts" if anchor == "discharge" else "start_ts"
     extra = ""
     if same_facility:
         extra += " AND fu.organization = e.organization"
     if same_cause:
-        extra += " AND fu.cause = e.cause"
+        extra += " AND EXISTS (SELECT 1 FROM codes c1 JOIN codes c2 ON c1.code = c2.code WHERE c1.id = e.id AND c2.id = fu.id)"
+    if all_exclusions:
+        extra += " AND fu.id NOT IN (SELECT id FROM planned)"
+    died = "coalesce((SELECT death_ts FROM deaths d WHERE d.patient = flagged.patient) <= stop_ts, false)" if all_exclusions else "false"
+    left_ = "id IN (SELECT id FROM against_advice)" if all_exclusions else "false"
     tr = (f", {transfer_pairs_sql()}" if exclude_transfers else "")
     x_tr = ("coalesce(id IN (SELECT from_id FROM tpairs), false)" if exclude_transfers else "false")
-    return f"""{tr},
+    tables = f", {DIAGNOSES}" if same_cause else ""
+    tables += f", {EXCLUSION_TABLES}" if all_exclusions else ""
+    return f"""{tr}{tables},
 cand AS (
   SELECT *, {anchor_col} AS anchor_ts, is_open AS x_open, is_reversed AS x_reversed,
          coalesce(stop_ts > {P1} - INTERVAL {window_days} DAY, false) AS x_tail,
-         {x_tr} AS x_transfer, false AS x_death
+         {x_tr} AS x_transfer, {died} AS x_death, {left_} AS x_against_advice
   FROM flagged
   WHERE class = {IP} AND ((stop_ts >= {P0} AND stop_ts < {P1}) OR is_open)),
-cand2 AS (SELECT *, NOT (x_open OR x_reversed OR x_tail OR x_transfer OR x_death) AS eligible FROM cand),
+cand2 AS (SELECT *, NOT (x_open OR x_reversed OR x_tail OR x_transfer OR x_death OR x_against_advice) AS eligible FROM cand),
 idx AS (
   SELECT e.*, e.eligible AND EXISTS (
       SELECT 1 FROM flagged fu
