@@ -28,7 +28,7 @@ def test_header_of_every_file(spark, tmp_path):
 
 def test_first_lines_by_scan_are_the_same(spark, tmp_path, monkeypatch):
     for k in range(5):
-        (tmp_path / f"{k} x.csv").write_text(f"head{k}\n" + "row\n" * 3000 * k, newline="")
+        (tmp_path / f"{k} x+é%20.csv").write_text(f"head{k}\n" + "row\n" * 3000 * k, newline="")
     direct = {r.path: r.line for r in Fs.first_lines(spark, str(tmp_path)).collect()}
     monkeypatch.setattr(Fs, "DIRECT_SCHEMES", ())
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")

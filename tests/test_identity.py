@@ -87,3 +87,32 @@ def test_a_cluster_without_shared_folder_is_refused():
                 return default
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Session())
+
+
+def test_only_new_files_are_read(spark, tmp_path, monkeypatch):
+    """Appended, changed, removed and repeated files: the kept digests give what a full run gives."""
+    import shutil
+    from pyspark.sql import functions as F
+    from wardlens.operators import identity as I
+    path, state = str(tmp_path / "t able+é"), str(tmp_path / "state")
+    df = spark.range(1000).select("id", (F.col("id") * 0.5).alias("v"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("s"))
+
+    def check(n_read):
+        got = I.stored_digest(spark, path, "t", state).first()
+        want = I.table_digest(spark.read.parquet(path), "t").first()
+        assert (got.row_count, got.digest, got.files_read) == (want.row_count, want.digest, n_read)
+
+    df.where("id < 600").repartition(4).write.parquet(path)
+    check(4)
+    check(0)
+    df.where("id >= 600").repartition(2).write.mode("append").parquet(path)
+    check(2)
+    one = sorted(p for p in (tmp_path / "t able+é").glob("*.parquet"))
+    shutil.copy(one[0], one[0].with_name("copy.parquet"))             # equal rows count again
+    check(1)
+    one[1].unlink()
+    check(0)
+    df.where("id = 7").coalesce(1).write.parquet(str(tmp_path / "other"))
+    shutil.copy(next((tmp_path / "other").glob("*.parquet")), one[2])   # the same name, other content
+    (tmp_path / "t able+é" / f".{one[2].name}.crc").unlink(missing_ok=True)
+    check(1)

@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import DIGEST_MODULUS, canonical_row, md5_hex_mod, md5_mod
+from ..sources.files import decoded_path, file_list
 
 NO_VALUE = "-"       # stands for a null id or text; no hash is this
 CORPUS_FAN = 4_096   # entries, on average, that a node of the corpus hash tree folds
@@ -29,6 +30,38 @@ def table_digest(df: DataFrame, name: str) -> DataFrame:
         .select(F.lit(name).alias("table_name"), "row_count", "digest")
 
 
+FILE_DIGESTS = "file string, length long, modified timestamp, row_count long, digest decimal(38,0)"
+
+
+def _file_key(path) -> F.Column:
+    """One spelling of a file's path, whatever reader names it."""
+    return F.regexp_replace(path, "^([A-Za-z0-9]+):/+", "$1:/")
+
+
+def stored_digest(spark: SparkSession, path: str, name: str, state: str) -> DataFrame:
+    """``table_digest`` of the Parquet files below ``path``, from digests of single files that
+    are kept in the folder ``state``: a sum of sums.  Only files that are new, or whose size
+    or time has changed since, are read.  Also how many files that were."""
+    listed = file_list(spark, path, "*.parquet").select(_file_key("path").alias("file"), "path", "length", "modified")
+    spark.createDataFrame([], FILE_DIGESTS).write.mode("append").parquet(state)
+    keys = ["file", "length", "modified"]
+    known = spark.read.schema(FILE_DIGESTS).parquet(state)
+    fresh = [r.path for r in listed.join(known, keys, "left_anti").select("path").collect()]     # names, as Spark's reader needs them
+    if fresh:
+        rows = spark.read.parquet(*fresh)
+        meta = F.col("_metadata")
+        rows.select(_file_key(decoded_path(meta["file_path"])).alias("file"), meta["file_size"].alias("length"),
+                    meta["file_modification_time"].alias("modified"), F.md5(canonical_row(rows)).alias("_h")) \
+            .groupBy(*keys).agg(F.count("*").alias("row_count"), F.sum(md5_hex_mod(F.col("_h"), DIGEST_MODULUS).cast("decimal(38,0)"))
+                                .cast("decimal(38,0)").alias("digest")).write.mode("append").parquet(state)
+    # a file that was digested twice (a run that failed half way) counts once
+    all_known = spark.read.schema(FILE_DIGESTS).parquet(state).dropDuplicates(keys)
+    zero = F.lit(0).cast("decimal(38,0)")
+    return listed.join(all_known, keys).agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"),
+                                            F.coalesce(F.sum("digest"), zero).cast("decimal(38,0)").alias("digest")) \
+        .select(F.lit(name).alias("table_name"), "row_count", "digest", F.lit(len(fresh)).alias("files_read"))
+
+
 def table_digests(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [table_digest(df, n) for n, df in sorted(tables.items())])
 

@@ -185,17 +185,19 @@ def bm25_prepare(queries: DataFrame, docs: DataFrame, qid: str = "item_id", did:
             "q_rows": materialise(q_rows, "bm25-queries"), "d_rows": materialise(d_rows, "bm25-documents")}
 
 
-def bm25_at_least(prep: dict, entries: DataFrame, theta: float, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """Every (query_id, item_id, score) with an item of ``entries`` and a score of ``theta``
-    or more.  A pair can reach theta only if it shares one of the query's rarest terms,
-    up to the term from which the bounds of the rest stay below theta."""
-    qtd = prep["qtd"]
+def bm25_at_least(prep: dict, entries: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """Every (query_id, item_id, score) with an item of ``entries`` (item_id, bar) and a
+    score of its bar or more.  A pair can reach the bar only if it shares one of the
+    query's rarest terms, up to the term from which the bounds of the rest stay below
+    it; so a term is paired with the entries alone whose bar it can still reach."""
     rest = Window.partitionBy("query_id").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    essential = qtd.withColumn("reach", F.sum("ub").over(rest)).where(F.col("reach") + 10.0 ** -SCORE_DIGITS >= theta)
-    pairs = essential.select("query_id", "term").join(
-        prep["post_q"].join(entries.select("item_id").distinct(), "item_id", "left_semi").select("term", "item_id"), "term") \
+    reach = prep["qtd"].withColumn("ub", F.col("idf") * (k1 + 1)).select(
+        "query_id", "term", (F.sum("ub").over(rest) + 10.0 ** -SCORE_DIGITS).alias("reach"))
+    bars = entries.groupBy("item_id").agg(F.min("bar").alias("bar"))
+    pairs = reach.join(prep["post_q"].select("term", "item_id").join(bars, "item_id"), "term").where(F.col("reach") >= F.col("bar")) \
         .select("query_id", "item_id").distinct()
-    return bm25_scores(prep, pairs, k1, b).withColumn("score", F.round("score", SCORE_DIGITS)).where(F.col("score") >= theta)
+    return bm25_scores(prep, pairs, k1, b).withColumn("score", F.round("score", SCORE_DIGITS)).join(bars, "item_id") \
+        .where(F.col("score") >= F.col("bar")).select("query_id", "item_id", "score")
 
 
 def _best_of_all(held, k: int, k1: float, b: float, avgdl: float):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import recipe_of
 from ..operators import identity as I
-from ..sources.files import materialise
+from ..sources.files import file_list, materialise, scratch_path
 from ..sources.tables import DRIVER_TABLES, TABLE_NAMES, read_table
 from . import bindings as B
 from .q_quality import MESSY
@@ -63,6 +63,25 @@ def q_table_digest(spark, sf):
     return I.table_digests({t: read_table(spark, sf, t) for t in TABLE_NAMES})
 
 
+@query("stored_digest", f"""SELECT 'first' AS state, d.*, true AS few_read FROM ({digest_sql("(SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01')", _cols("orders"), "orders")}) d
+UNION ALL SELECT 'appended', d.*, true FROM ({digest_sql("orders", _cols("orders"))}) d
+UNION ALL SELECT 'unchanged', d.*, true FROM ({digest_sql("orders", _cols("orders"))}) d""")
+def q_stored_digest(spark, sf):
+    """orders up to a date, then with the later ones appended, then once more: each run reads
+    the files that the one before did not see."""
+    o, path, state = read_table(spark, sf, "orders"), scratch_path(spark, "digest-table"), scratch_path(spark, "digest-state")
+    late = F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")
+    runs, seen = [], 0
+    for name, part in (("first", ~late), ("appended", late), ("unchanged", None)):
+        if part is not None:
+            o.where(part).write.mode("append").parquet(path)
+        n = file_list(spark, path, "*.parquet").count()
+        d = materialise(I.stored_digest(spark, path, "orders", state), "digest-run")
+        runs.append(d.select(F.lit(name).alias("state"), "table_name", "row_count", "digest", (F.col("files_read") == n - seen).alias("few_read")))
+        seen = n
+    return reduce(DataFrame.unionByName, runs)
+
+
 @query("warehouse_fingerprint", f"""WITH d AS ({DIGESTS_SQL})
 SELECT left(sha256(string_agg(table_name || ':' || CAST(row_count AS VARCHAR) || ':' || CAST(digest AS VARCHAR) || chr(10), ''
   ORDER BY table_name)), 12) AS fingerprint, count(*) AS n_tables,

@@ -60,6 +60,12 @@ def file_list(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
         .select("path", "length", F.col("modificationTime").alias("modified"))
 
 
+def decoded_path(path) -> Column:
+    """A path as files are named, from the encoded one of ``_metadata``."""
+    c = F.col(path) if isinstance(path, str) else path
+    return F.url_decode(F.regexp_replace(c, r"\+", "%2B"))
+
+
 def _store_of(path: str):
     """The Arrow file system of a path, and the path inside it."""
     import pyarrow.fs as fs
@@ -96,7 +102,7 @@ def first_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     first = lines.select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("file"), at.alias("at"), "value") \
         .groupBy("name", "file").agg(F.regexp_replace(F.min_by("value", "at"), "^\ufeff|\r$", "").alias("line"))
-    return listed.join(first, F.col("path") == F.url_decode("file"), "left").select("path", F.coalesce("line", F.lit("")).alias("line"))
+    return listed.join(first, F.col("path") == decoded_path("file"), "left").select("path", F.coalesce("line", F.lit("")).alias("line"))
 
 
 def header_conformity(spark: SparkSession, path: str, expected: list[str], table: str, pattern: str = "*.csv") -> DataFrame:
@@ -126,7 +132,7 @@ def corpus_source(spark: SparkSession, corpus_dir: str) -> DataFrame:
     below = spark.read.option("recursiveFileLookup", True)
     path = F.col("_metadata.file_path")
     whole = below.option("pathGlobFilter", "*.{md,txt}").text(corpus_dir, wholetext=True).select(
-        F.url_decode(F.regexp_replace(F.regexp_extract(path, r"([^/]+)\.(md|txt)$", 1), r"\+", "%2B")).alias("doc_id"), path.alias("path"),
+        decoded_path(F.regexp_extract(path, r"([^/]+)\.(md|txt)$", 1)).alias("doc_id"), path.alias("path"),
         F.col("value").alias("text"))
     rows = below.option("pathGlobFilter", "*.{json,jsonl}").schema("doc_id string, text string").json(corpus_dir)
     return whole.unionByName(rows.where(F.col("doc_id").isNotNull()).select("doc_id", path.alias("path"), "text"))
