@@ -136,7 +136,7 @@ def item_rows(rows):
                     (3, "changed"), (33, "one two one"), (35, "a" * 5000), (36, " ".join(t for t in full))]
 
 
-@pytest.mark.parametrize("keep,limits", [(50, None), (3, None), (5, (600, 4))])
+@pytest.mark.parametrize("keep,limits", [(50, None), (3, None), (5, (100_000, 12))])
 def test_search(spark, docs, monkeypatch, keep, limits):
     rows = edge_rows()
     items = item_rows(rows)

@@ -183,6 +183,8 @@ def _search_block(docs: DataFrame, rows: list, keep: int) -> DataFrame:
         held.setdefault(r.item_id, set()).update(terms_of(r.text))
     names = list(held)
     terms = sorted(set().union(*held.values()))
+    if not terms:
+        return spark.createDataFrame([], "item_id long, id long, score long")
     number = {t: i for i, t in enumerate(terms)}
     hits = store(scan(docs, terms), "lexical-hits")
     total = hits.agg(F.count_if(F.col("n") > 0).alias("docs"), F.sum("n").alias("terms")).first()
