@@ -405,3 +405,13 @@ def test_pipeline(spark, tmp_path):
     left = {r.doc_id for r in now.collect()}
     assert {3000 + i for i in range(60)} <= left and not {2, 3, 4, 5, 6, 7, 8, 18} & left and 1 in left
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(left)
+
+
+def test_packing_gives_the_words_back_after_tokenizing(spark):
+    def held(batches):
+        packing.tokenizer(packing.default_tokenizer()).ids(["some words to keep"])
+        packing.forget()
+        for b in batches:
+            yield b.from_pydict({"n": [len(packing._TOKENIZERS)]})
+
+    assert {r.n for r in spark.range(4).mapInArrow(held, "n long").collect()} == {0}

@@ -14,6 +14,7 @@ be short.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_doc_id, doc_rows, record, small_batches, store, text_key
+from .common import as_doc_id, doc_rows, record, slices, small_batches, store, text_key
 
 WINDOW = 2048
 END_ID = 1                     # closes each document
@@ -120,6 +121,15 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
+def forget() -> None:
+    """Gives back the words that a worker keeps: workers serve later stages, which read
+    stored ids only."""
+    if _TOKENIZERS:
+        _TOKENIZERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 class Bm25:
     """Inverted index of a shard: for each term the documents and their BM25 weights.
     Terms of more than half of the documents weigh nothing and are left out, as the
@@ -204,6 +214,7 @@ def _tokens(batch: pa.RecordBatch, kind: str):
 def _totals(rows: DataFrame, cells) -> dict[int, int]:
     """Sums of ``cells(batch)``, (cell, n) arrays, over all batches."""
     def run(batches):
+        forget()
         for b in batches:
             if len(b):
                 at, n = cells(b)
@@ -242,8 +253,10 @@ def deal(rows: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> DataFram
     def tokenize(batches):
         own = tokenizer(path)
         for b in batches:
-            tokens = own.ids(b.column("text").to_pylist())
-            yield record(TOKENS, b.column("id"), b.column("tkey"), b.column("size"), [t.astype(kind).tobytes() for t in tokens])
+            for lo, hi in slices(b.column("size").to_numpy()):
+                part = b.slice(lo, hi - lo)
+                tokens = own.ids(part.column("text").to_pylist())
+                yield record(TOKENS, part.column("id"), part.column("tkey"), part.column("size"), [t.astype(kind).tobytes() for t in tokens])
 
     sized = rows.select("id", text_key().alias("tkey"), F.octet_length("text").cast("long").alias("size"), "text")
     taken = store(sized.mapInArrow(tokenize, "id long, tkey long, size long, tokens binary"), "op9-tokens")
@@ -286,6 +299,7 @@ def deal(rows: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> DataFram
     plan = rows.sparkSession.sparkContext.broadcast((known, np.array([planned[c] for c in known.tolist()], np.int64).reshape(-1, 2)))
 
     def dealt(batches):
+        forget()
         known, places = plan.value
         for b in batches:
             if len(b):
@@ -310,6 +324,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
     keyed = deal(doc_rows(docs), path, shard_bytes)
 
     def run(group: pa.Table) -> pa.Table:
+        forget()
         shard = group.column("shard")[0].as_py()
         group = group.sort_by([("id", "ascending"), ("tkey", "ascending")])
         tokens = [np.frombuffer(t, kind).astype("<u4") for t in group.column("tokens").to_pylist()]
