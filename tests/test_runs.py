@@ -75,3 +75,16 @@ def test_task_success_rules(spark):
 def test_cohen_kappa_perfect_and_chance(spark):
     df = spark.createDataFrame([(1, 1), (0, 0), (1, 1), (0, 0)], "a int, b int")
     assert R.cohen_kappa(df, "a", "b").collect()[0]["kappa"] == 1.0
+
+
+def test_loop_rate_across_blocks_of_steps(spark):
+    def run(name, *calls):
+        return [(name, "tool.call" if c != "-" else "node", c if c != "?" else None, "h", i) for i, c in enumerate(calls, 1)]
+
+    rows = [*run("at width", *"a----a"), *run("past width", *"a-----a"), *run("inside", *"-aa"), *run("null", *"-----?-?"),
+            *run("other", *"abcdefghijk"), *run("far", *"abcdefabcdef"), *run("third", *"a------a----a")]
+    ordered = spark.createDataFrame(rows, "run_id string, name string, tool string, args_hash string, step_no int")
+    df = R.loop_rate(ordered, 5)
+    got = df.first()
+    assert (got.n_runs, got.n_looped) == (7, 4)           # at width, inside, null, third
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()      # no row meets its earlier steps one by one
