@@ -88,3 +88,25 @@ def test_loop_rate_across_blocks_of_steps(spark):
     got = df.first()
     assert (got.n_runs, got.n_looped) == (7, 4)           # at width, inside, null, third
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()      # no row meets its earlier steps one by one
+
+
+def test_summary_goes_through_the_steps_once(spark):
+    rows = [("a", "tool.call", t, h, p, b, c) for t, h, p, b, c in
+            [("x", "1", True, 5, 0.25), ("x", "1", False, 7, 0.5), ("x", "2", None, 0, 0.25), ("y", "1", None, None, 0.5), (None, "1", None, None, 0.125),
+             ("z", None, None, 3, 0.125), ("z", None, None, 3, 0.125)]] + [("a", "run", None, None, None, None, 9.0), ("b", "run", None, None, None, None, 0.0)]
+    steps = spark.createDataFrame(rows, "run_id string, name string, tool string, args_hash string, passed boolean, bundle_tokens long, cost_usd double")
+    df = R.run_summary(steps)
+    got = {r.run_id: (r.steps, r.tool_calls, r.validation_failures, r.max_bundle, r.cost_usd, r.repeated_calls) for r in df.collect()}
+    assert got == {"a": (7, 6, 1, 7, 1.875, 1), "b": (0, 0, 0, None, 0.0, 0)}
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bound_attributes_are_those_of_the_map(spark):
+    from wardlens.plans import bindings as B
+    from wardlens.sources.files import typed_attributes
+    spans = B.spans_from_events(spark, "/root/testdata/sf0.001")
+    both = spans.select("attributes", typed_attributes("all_attributes").alias("of_map"))
+    assert both.schema["attributes"].dataType == both.schema["of_map"].dataType
+    assert both.where(~F.col("attributes").eqNullSafe(F.col("of_map"))).count() == 0
+    few = spans.select("run_id", "attributes.`agent.role`")._jdf.queryExecution().optimizedPlan().toString()
+    assert "map(" not in few and "sha2" not in few         # nothing else is computed
