@@ -415,3 +415,21 @@ def test_packing_gives_the_words_back_after_tokenizing(spark):
             yield b.from_pydict({"n": [len(packing._TOKENIZERS)]})
 
     assert {r.n for r in spark.range(4).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_a_part_of_a_word_met_before_is_not_tokenized_again():
+    tk = packing.WordTokenizer(packing.default_tokenizer())
+    model, seen = tk.model, []
+
+    class Counted:
+        def tokenize(self, part):
+            seen.append(part)
+            return model.tokenize(part)
+
+    tk.model = Counted()
+    tk.ids(["neighbour , ."])
+    got = tk.ids(["neighbour, Neighbour. (neighbour)"])[0]
+    assert seen == ["neighbour", ",", ".", "(", ")"]
+    assert got.tolist() == [*tk.tokenizer.encode("neighbour, neighbour. (neighbour)", add_special_tokens=False).ids, packing.END_ID]
+    letters = [chr(c) for c in range(0x250) if not tk.OTHER.search(chr(c)) and chr(c).isalpha()]
+    assert all(tk.PART.findall(c + c) == [c + c] for c in letters)       # a word of letters is one part

@@ -18,6 +18,7 @@ import gc
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ K1, B = 1.2, 0.75
 RARITY = 8                     # power of a token's log rarity in its weight as a key
 SUBS = 16                      # second keys for each shard that a large key fills
 CACHE_WORDS = 600_000          # words whose ids a worker keeps
+TOKENIZE_BYTES = 4 << 20       # text tokenized at a time: a word is looked up once in it
 
 PIECE = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                    ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -75,15 +77,18 @@ class WordTokenizer:
         self.words: dict[str, bytes] = {}                 # of late
         self.older: dict[str, bytes] = {}
 
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
     def _word(self, word: str) -> bytes:
         known = self.older.get(word)
         if known is None:
-            ids = []
-            for part in self.PART.findall(word):
-                if not part.isascii():
-                    part = part.encode().decode("latin-1").translate(self.letters)
-                ids.extend(t.id for t in self.model.tokenize(part))
-            known = np.array(ids, "<u4").tobytes()
+            if word.isalpha():                            # one part
+                known = self._part(word)
+            else:                                         # its parts can be words met before
+                known = b"".join([self.words.get(p) or self.older.get(p) or self._part(p) for p in self.PART.findall(word)])
         self.words[word] = known
         return known
 
@@ -96,10 +101,10 @@ class WordTokenizer:
         split = pc.utf8_split_whitespace(pc.utf8_lower(plain))
         coded = split.values.dictionary_encode()
         find = self.words.get
-        raw = [find(w) or self._word(w) for w in coded.dictionary.to_pylist()]
+        raw = [find(w) or self._word(w) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
         raw.append(np.array([END_ID], "<u4").tobytes())
         flat = np.frombuffer(b"".join(raw), "<u4")
-        sizes = np.array([len(r) >> 2 for r in raw])
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
         starts = np.cumsum(sizes) - sizes
         # the closing id goes after the last word of each text
         ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
@@ -253,7 +258,7 @@ def deal(rows: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> DataFram
     def tokenize(batches):
         own = tokenizer(path)
         for b in batches:
-            for lo, hi in slices(b.column("size").to_numpy()):
+            for lo, hi in slices(b.column("size").to_numpy(), TOKENIZE_BYTES):
                 part = b.slice(lo, hi - lo)
                 tokens = own.ids(part.column("text").to_pylist())
                 yield record(TOKENS, part.column("id"), part.column("tkey"), part.column("size"), [t.astype(kind).tobytes() for t in tokens])
