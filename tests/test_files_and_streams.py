@@ -57,6 +57,28 @@ def test_absent_or_empty_corpus_is_an_error(spark, tmp_path):
             Fs.corpus_source(spark, str(path))
 
 
+ODD_CORPUS = {"a b/1 x.txt": b"x", "_hidden/h.txt": b"x", ".hid/g.txt": b"x", "x=1/\u00e9%20+#/\u00fc+%41;&$?.md": b"y", "_x.txt": b"x",
+              "_a=b.txt": b"x", "z.TXT": b"x", "e.txt": b"", "bom.txt": b"\xef\xbb\xbfhi\r\n", "bytes.txt": b"a\xff\xfeb", "q'\"^`|~.txt": b"q",
+              "r.json": b'{"doc_id":"k","text":"t"}\r{"doc_id":5}\r\n\n[{"doc_id":"l","text":"u"},{"doc_id":"m"}]\n{"doc_id":"bad"\n'
+                        b'{"doc_id":"o","text":{"a":1}}\n{"doc_id":"p","text":"\xff"}', "s/[1].jsonl": b'{"doc_id":"v","text":"w"}\n'}
+
+
+def test_corpus_files_are_listed_and_read_in_tasks(spark, tmp_path, monkeypatch):
+    """No name of a file comes to the driver, and the rows are those of Spark's readers."""
+    for name, content in ODD_CORPUS.items():
+        (tmp_path / "c" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "c" / name).write_bytes(content)
+    path = str(tmp_path / "c")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for pattern in ("*", "*.{md,txt}", "?.json"):
+        assert rows(Fs.listed_in_tasks(spark, Fs._root(spark, path), pattern)) == rows(Fs.file_list(spark, path, pattern))
+    got = Fs.corpus_source(spark, path)
+    assert rows(got) == rows(Fs._corpus_by_reader(spark, path)) and len(rows(got)) == 12
+    assert not [f for f in got.inputFiles() + Fs.first_lines(spark, path).inputFiles() if "/c/" in f]
+    monkeypatch.setattr(Fs, "JSON_BYTES", 10)                         # long files of rows, which Spark splits
+    assert rows(Fs.corpus_source(spark, path)) == rows(got)
+
+
 def test_result_is_described_while_it_is_written(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
 
