@@ -133,10 +133,10 @@ def q_chunk_documents(spark, sf):
 
 
 def chunk_hits(spark, sf, k=K_LEX):
-    c = RV.chunk_documents(read_table(spark, sf, "documents", "doc_id", "text"))
-    hits = RV.bm25_topk(read_table(spark, sf, "benchmark", "item_id", "text"), c.select("chunk_id", "text"), k,
+    docs = read_table(spark, sf, "documents", "doc_id", "text")
+    hits = RV.bm25_topk(read_table(spark, sf, "benchmark", "item_id", "text"), RV.chunk_documents(docs).select("chunk_id", "text"), k,
                         did="chunk_id")
-    return hits.join(c.select(F.col("chunk_id").alias("item_id"), "doc_id"), "item_id")
+    return RV.with_parents(hits, docs)
 
 
 CHUNK_HITS_SQL = CHUNK_SQL + ", " + bm25_sql("ch", "chunks", "chunk_id", "benchmark", "item_id", K_LEX) + """,
